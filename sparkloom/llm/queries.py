@@ -1,0 +1,50 @@
+"""The queries of this subpackage, over whole tables and with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..runtime import table
+from .leakage import leaked_passages
+from .splitting import oversized, split_oversized
+from .tokens import encode_table
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_table(table(spark, d, "documents"))
+
+
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked passage with its tiles."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_prompts"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_passages(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items: how many documents hold them, and the most that one document covers."""
+    found = p7_passages(spark, d)
+    return found.groupBy("item_id", "passage").agg(
+        F.count_distinct("doc_id").alias("documents"), F.max("coverage").alias("most_covered"), F.max("longest").alias("longest")
+    )
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return oversized(table(spark, d, "documents"))
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
