@@ -7,10 +7,92 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import broadcast_if_small, norm_label, table
 from .leakage import leaked_passages
+from .mixing import mix_records, mix_to_weights, plan, report
+from .pairs import broken_pairs
+from .sampling import sample_to_targets, shares
 from .splitting import oversized, split_oversized
 from .tokens import encode_table
+from .truncation import truncated_texts, truncation_by_source
+
+
+_POOLS = {"pattern_library": "rec_id", "test_cases": "test_id"}
+#: Test cases up to which their prompts are sent to every executor; more are joined by shuffle.
+BROADCAST_PROMPTS = 20_000
+
+
+def _by_pool(spark: SparkSession, d: str):
+    """The records and the requests of each pool; requests name a pool once each."""
+    for pool, key in _POOLS.items():
+        requests = table(spark, d, "sample_targets").filter(norm_label(F.col("pool")) == pool)
+        yield key, table(spark, d, pool, key, "category"), requests
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Seats, available records and shortfalls of every request and category."""
+    reports = [shares(pool, requests, key) for key, pool, requests in _by_pool(spark, d)]
+    return reports[0].unionByName(reports[1])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_report(spark, d).filter("short").select("request_id", "category")
+
+
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The records drawn for every request."""
+    drawn = [sample_to_targets(pool, requests, key)[0].withColumnRenamed(key, "record_id") for key, pool, requests in _by_pool(spark, d)]
+    return drawn[0].unionByName(drawn[1])
+
+
+_MIX_COLUMNS = ("rec_id", "source", "category", "instruction", "output")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted, available and actual sizes and shares of every mix and member."""
+    return report(plan(mix_records(table(spark, d, "pattern_library", *_MIX_COLUMNS)), table(spark, d, "mix_weights")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_report(spark, d).filter("short").select("mix_id", "member")
+
+
+def p2_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The records of every mix and how often each is used."""
+    return mix_to_weights(table(spark, d, "pattern_library", *_MIX_COLUMNS), table(spark, d, "mix_weights"))[0]
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Test results with the prompt of their test, null if the test is unknown."""
+    results = table(spark, d, "test_results", "result_id", "test_name", "model", "response").withColumn("_name", norm_label(F.col("test_name")))
+    prompts = table(spark, d, "test_cases", "name", "prompt").groupBy(norm_label(F.col("name")).alias("_name")).agg(F.min("prompt").alias("prompt"))
+    return results.join(broadcast_if_small(prompts, BROADCAST_PROMPTS), "_name", "left")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    library = broken_pairs(table(spark, d, "pattern_library"), "rec_id", "instruction", "output")
+    results = broken_pairs(_answers(spark, d), "result_id", "prompt", "response")
+    named = lambda df, name, key: df.select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), "defect")
+    return named(library, "pattern_library", "rec_id").unionByName(named(results, "test_results", "result_id"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs by table and defect."""
+    return p4_found(spark, d).groupBy("table_name", "defect").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict on every response."""
+    return truncated_texts(_answers(spark, d), prompt_col="prompt")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_texts(spark, d).filter("truncated").select("result_id")
+
+
+def p5_models(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut responses of each model."""
+    return truncation_by_source(p5_texts(spark, d))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +125,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
+    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
