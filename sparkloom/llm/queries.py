@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, norm_label, table
 from .leakage import leaked_passages
 from .mixing import mix_records, mix_to_weights, plan, report
+from .nearduplicates import near_duplicate_groups, near_duplicate_pairs
 from .pairs import broken_pairs
 from .sampling import sample_to_targets, shares
 from .splitting import oversized, split_oversized
@@ -62,6 +63,15 @@ def p2_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix_to_weights(table(spark, d, "pattern_library", *_MIX_COLUMNS), table(spark, d, "mix_weights"))[0]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, d, "pattern_library", "rec_id", "instruction", "output"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its class, group, copies and links."""
+    return near_duplicate_groups(table(spark, d, "pattern_library", "rec_id", "instruction", "output"))
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Test results with the prompt of their test, null if the test is unknown."""
     results = table(spark, d, "test_results", "result_id", "test_name", "model", "response").withColumn("_name", norm_label(F.col("test_name")))
