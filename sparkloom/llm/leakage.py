@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tiling import mark
-from .words import HASHES, rolling, words
+from .words import HASHES, raw_words, rolling
 
 #: Windows of evaluation text sent to the executors at a time; more are handled in further blocks.
 BLOCK_WINDOWS = 1_000_000
@@ -21,7 +21,7 @@ _BITS = 22
 class _Index:
     """Rolling hashes of one block of evaluation passages, by a bitmap and a sorted array."""
 
-    def __init__(self, passages: list[tuple[int, str, list[str]]], least: int) -> None:
+    def __init__(self, passages: list[tuple[int, str, list[bytes]]], least: int) -> None:
         self.passages, self.least = passages, least
         hashes = [rolling(HASHES.array(ws), least) for _, _, ws in passages]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
@@ -82,7 +82,7 @@ def leaked_passages(
             for batch in batches:
                 out = []
                 for k, text in enumerate(batch.column(1).to_pylist()):
-                    ws = words(text)
+                    ws = raw_words(text)
                     if len(ws) < least:
                         continue
                     for p, seeds in index.seeds(rolling(HASHES.array(ws), least)).items():
@@ -102,7 +102,7 @@ def leaked_passages(
     short: dict[int, list] = defaultdict(list)
     for row in items.select(item_id, *passage_cols).filter(F.col(item_id).isNotNull()).dropDuplicates().toLocalIterator():
         for name in passage_cols:
-            ws = words(row[name])
+            ws = raw_words(row[name])
             if len(ws) >= min_words:
                 block.append((row[item_id], name, ws))
                 filled += len(ws)

@@ -9,7 +9,7 @@ import numpy as np
 from .words import rolling
 
 
-def tiles(text: list[str], pattern: list[str], text_hashes: np.ndarray, pattern_hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def tiles(text: list, pattern: list, text_hashes: np.ndarray, pattern_hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Non-overlapping common runs (text position, pattern position, length) of ``least`` words or more.
 
     Seeds are runs of ``least`` words with equal rolling hash, confirmed word by word. The longest
@@ -23,7 +23,7 @@ def tiles(text: list[str], pattern: list[str], text_hashes: np.ndarray, pattern_
     return mark(text, pattern, seeds, least)
 
 
-def mark(text: list[str], pattern: list[str], seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+def mark(text: list, pattern: list, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Tiles grown from given seeds; see :func:`tiles`."""
     matches, done = [], set()
     for i, j in sorted(seeds):

@@ -20,17 +20,29 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def raw_words(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, faster where it is ASCII."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(_LOWER).split()
+    return [w.encode("utf-8", "replace") for w in _WORD.findall(text.lower())]
+
+
 class WordHashes(dict):
-    """Hash by word, remembered within a Python worker up to ``CACHE_ENTRIES`` words."""
+    """Hash by word, as text or UTF-8, remembered within a Python worker up to ``CACHE_ENTRIES`` words."""
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    def __missing__(self, word: str | bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "replace"))
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[word] = h
         return h
 
-    def array(self, ws: list[str]) -> np.ndarray:
+    def array(self, ws: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
