@@ -5,6 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import asm
+from ..functions.text import any_of, lines, or_empty, seeded_order, slug, strip
+from ..operators import classify, curate, dedup, events, formats, graph, mix, profile, rewrite, segment, validate
+from ..runtime import norm_label, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -28,3 +35,554 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# --- SQL fragments ---------------------------------------------------------------------------------
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
+
+
+def _norm(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({x}), '^\s+|\s+$', '', 'g'), '[-\s]', '_', 'g')"
+
+
+def _any(x: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({x}, '{w.lower().replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+def _hits(x: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"contains({x}, '{w.lower().replace(chr(39), chr(39) * 2)}')::int" for w in words) + ")"
+
+
+def _uniform(seed: int, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 8))::bigint / 4294967296.0"
+
+
+# --- deduplication and profiles --------------------------------------------------------------------
+
+_LIBRARY = "(select * from (select *, row_number() over (partition by rec_id order by loaded_at) as rn from pattern_library) where rn = 1)"
+
+
+def _library(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """pattern_library, each rec_id once."""
+    return dedup.first_per_key(table(spark, d, "pattern_library", "rec_id", "loaded_at", *columns), F.col("rec_id"), [F.col("loaded_at")])
+
+
+_KEY = f"sha1({_strip(chr(39) * 0 + 'coalesce(instruction, ' + chr(39) * 2 + ')')} || chr(10) || {_strip('coalesce(input, ' + chr(39) * 2 + ')')} || chr(10) || {_strip('coalesce(output, ' + chr(39) * 2 + ')')})"
+
+
+@query(f"""select lang, source, count(*) as kept, sum(n_chars) as chars from (
+  select *, row_number() over (partition by sha1({_strip("text")}) order by doc_id) as rn from documents where {_strip("coalesce(text, '')")} <> '') where rn = 1 group by lang, source""")
+def gold_dedup(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source", "n_chars").filter(strip(or_empty(F.col("text"))) != "").withColumn("key", dedup.record_key("text")).drop("text")
+    kept = dedup.first_per_key(docs, F.col("key"), [F.col("doc_id")])
+    return kept.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"""with r as (select *, {_strip("coalesce(instruction, '')")} = '' or {_strip("coalesce(output, '')")} = '' as missing from pattern_library),
+k as (select *, case when missing then 'missing' when row_number() over (partition by missing, {_KEY} order by loaded_at, rec_id) > 1 then 'duplicate' else 'kept' end as status from r)
+select {_norm("source")} as source, status, count(*) as n from k group by all""")
+def gold_report(spark, d):
+    rows = table(spark, d, "pattern_library", "rec_id", "loaded_at", "instruction", "input", "output", "source")
+    return dedup.gold(rows, [F.col("loaded_at"), F.col("rec_id")]).groupBy(norm_label(F.col("source")).alias("source"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select kind, count(*) as files, count(distinct md5(text)) as distinct_files, count(*) - count(distinct md5(text)) as duplicates from documents where text <> '' group by kind""")
+def content_dedup(spark, d):
+    docs = table(spark, d, "documents", "kind", "text").filter("text <> ''").groupBy("kind", F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return docs.groupBy("kind").agg(F.sum("n").alias("files"), F.count(F.lit(1)).alias("distinct_files"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"))
+
+
+@query("""select rec_id, key from (select rec_id, substr(instruction, 1, 100) as key, row_number() over (partition by substr(instruction, 1, 100) order by rec_id, loaded_at) as rn from pattern_library where coalesce(instruction, '') <> '') where rn = 1""")
+def prefix_key_dedup(spark, d):
+    rows = table(spark, d, "pattern_library", "rec_id", "instruction", "loaded_at").withColumn("key", F.substring("instruction", 1, 100)).filter("key <> ''").drop("instruction")
+    return dedup.first_per_key(rows, F.col("key"), [F.col("rec_id"), F.col("loaded_at")]).select("rec_id", "key")
+
+
+@query(f"""with p as (select rec_id, instruction, {_norm("source")} as source from {_LIBRARY}), a as (select * from p where source = 'synthetic'),
+b as (select * from (select *, row_number() over (partition by instruction order by rec_id) as rn from p where source = 'distilled') where rn = 1)
+select rec_id, source from a union all select rec_id, source from b where not exists (select 1 from a where a.instruction = b.instruction)""")
+def combine_priority_antijoin(spark, d):
+    rows = _library(spark, d, "instruction", "source").withColumn("source", norm_label(F.col("source")))
+    return dedup.combine_by_priority(rows.filter("source = 'synthetic'"), rows.filter("source = 'distilled'"), "instruction", [F.col("rec_id")]).select("rec_id", "source")
+
+
+@query("""select count(*) as total, 0 as parse_errors, count(*) filter (coalesce(instruction, '') = '') as missing_instruction, count(*) filter (coalesce(output, '') = '') as missing_output,
+sum(length(coalesce(instruction, ''))) as instruction_chars, sum(length(coalesce(output, ''))) as output_chars, sum(length(coalesce(output, ''))) / count(*) as mean_output, max(length(coalesce(output, ''))) as max_output,
+count(*) filter (contains(coalesce(output, ''), '```')) as fenced from pattern_library""")
+def qa_profile(spark, d):
+    return profile.qa_profile(table(spark, d, "pattern_library", "instruction", "output"))
+
+
+@query("select coalesce(nullif(domain, ''), 'unknown') as domain, count(*) as n from pattern_library group by all")
+def qa_domain_histogram(spark, d):
+    return profile.histogram(table(spark, d, "pattern_library", "domain"), F.coalesce(F.nullif("domain", F.lit("")), F.lit("unknown")), "domain")
+
+
+@query(f"select coalesce({_norm('source')}, 'unknown') as source, count(*) as n from pattern_library group by all order by n desc, source limit 5")
+def qa_source_top5(spark, d):
+    return profile.top_values(table(spark, d, "pattern_library", "source"), F.coalesce(norm_label(F.col("source")), F.lit("unknown")), "source")
+
+
+# --- cleaning and gates ----------------------------------------------------------------------------
+
+
+def _clean_sql(x: str) -> str:
+    for p in curate.MARKERS:
+        x = f"regexp_replace({x}, '{p}', '', 'gi')"
+    x = rf"regexp_replace({x}, '\borg\s+\$[0-9A-Fa-f]+\b', '', 'gi')"
+    return _strip(rf"regexp_replace({_strip(rf'''regexp_replace({x}, '\s+', ' ', 'g')''')}, '[\s,;:]+$', '')")
+
+
+@query(f"select rec_id, {_clean_sql('instruction')} as cleaned, {_clean_sql('instruction')} <> instruction as changed from {_LIBRARY}")
+def clean_instructions(spark, d):
+    cleaned = curate.clean_instruction(F.col("instruction"))
+    return _library(spark, d, "instruction").select("rec_id", cleaned.alias("cleaned"), (cleaned != F.col("instruction")).alias("changed"))
+
+
+@query(f"""with c as (select rec_id, {_strip("coalesce(output, '')")} as o, {_clean_sql(_strip("coalesce(instruction, '')"))} as i from {_LIBRARY})
+select case when o = '' then 'drop_missing_output' when i = '' then 'drop_empty_instruction' when contains(lower(i), 'todo') then 'drop_todo_instruction' else 'kept' end as reason, count(*) as n from c group by 1""")
+def normalize_reject_stats(spark, d):
+    return curate.reject_stats(curate.normalize_records(_library(spark, d, "instruction", "output", "domain", "source")))
+
+
+@query()
+def normalize_records(spark, d):
+    return curate.normalize_records(_library(spark, d, "instruction", "output", "domain", "source")).drop("loaded_at")
+
+
+@query(rf"""with l as (select doc_id, {_strip("unnest(string_split(text, chr(10)))")} as line from documents),
+w as (select doc_id, upper(regexp_extract(regexp_replace(regexp_replace(line, '^#_[^:]*:\s*', ''), '^[A-Za-z0-9_]+:\s*', ''), '^(\S+)', 1)) as h from l where line <> '' and not starts_with(line, ';'))
+select doc_id, case when bool_or(h in ({", ".join(repr(m) for m in asm.MNEMONICS)})) then 'code' when bool_or(lower(h) in ({", ".join(repr(m) for m in asm.DIRECTIVES)})) then 'data' else 'unknown' end as kind from (select doc_id, h from w union all select doc_id, '' from documents where text is not null) group by doc_id""")
+def output_kind(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", asm.output_kind(F.col("text")).alias("kind"))
+
+
+@query("""select rec_id, length(coalesce(output, '')) >= 50 and length(coalesce(instruction, '')) >= 10 and (contains(output, '$') or contains(output, 'LDA') or contains(output, 'STA') or contains(output, 'JSR') or contains(output, 'JSL')
+or contains(output, 'RTS') or contains(output, 'RTL') or contains(output, '#$') or contains(output, 'db ') or contains(output, 'dw ')) as strict, coalesce(length(output), 0) >= 20 and length(coalesce(instruction, '')) >= 10 and (contains(output, '$') or contains(output, 'byte')) as relaxed from """ + _LIBRARY)
+def quality_gate(spark, d):
+    i, o = F.col("instruction"), F.col("output")
+    return _library(spark, d, "instruction", "output").select("rec_id", curate.quality_gate(i, o).alias("strict"), curate.quality_gate(i, o, 20, signs=["$", "byte"]).alias("relaxed"))
+
+
+@query("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview, case when length(text) > 500 then substr(text, 1, 450) || ' [more]' else text end as reply from documents where text is not null")
+def previews(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", curate.preview(t, 200).alias("preview"), curate.preview(t, 500, " [more]", 450).alias("reply"))
+
+
+@query("""with w as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as tags from part) select p_partkey from w where list_has_any(tags, ['green', 'small', 'red', 'steel'])""")
+def tag_overlap_filter(spark, d):
+    return table(spark, d, "part", "p_partkey", "p_name").filter(F.arrays_overlap(F.split(F.lower("p_name"), " "), F.array(*map(F.lit, ["green", "small", "red", "steel"])))).select("p_partkey")
+
+
+# --- classifiers -----------------------------------------------------------------------------------
+
+
+def _domain_sql() -> str:
+    parts = []
+    for k, (name, (keywords, patterns, required)) in enumerate(classify.DOMAIN_RULES.items()):
+        score = f"2.0 * {_hits('low', keywords)}" + "".join(f" + 3.0 * regexp_matches(t, '(?i){p}')::int" for p in patterns)
+        parts.append(f"select rec_id, {k} as o, '{name}' as domain, " + (f"case when {_any('low', required)} then {score} else 0.0 end" if required else score) + " as score from x")
+    return f"""with x as (select rec_id, instruction || ' ' || coalesce(output, '') as t, lower(instruction || ' ' || coalesce(output, '')) as low from {_LIBRARY}), s as ({" union all ".join(parts)})
+select rec_id, domain, least(score::double / 10, 1.0) as confidence from (select *, row_number() over (partition by rec_id order by score desc, o) as rn from s) where rn = 1 and least(score::double / 10, 1.0) >= 0.3"""
+
+
+@query(_domain_sql())
+def classify_argmax(spark, d):
+    text = F.concat(F.col("instruction"), F.lit(" "), or_empty(F.col("output")))
+    rows = _library(spark, d, "instruction", "output").select("rec_id", classify.domain(text).alias("c"))
+    return rows.select("rec_id", "c.domain", "c.confidence").filter("confidence >= 0.3")
+
+
+@query(f"""with x as (select doc_id, lower(text) as low from documents where text is not null), m as (select doc_id, case when {_any("low", classify.POOLS["oos"])} then 'oos' when {_any("low", classify.POOLS["asm"])} then 'asm' end as pool from x
+union all select doc_id, 'debug' from x where {_any("low", classify.POOLS["debug"])}) select pool, count(*) as n from m where pool is not null group by pool""")
+def multi_label_pools(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    return docs.select(F.explode(classify.pools(F.col("text"))).alias("pool")).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with x as (select test_id, prompt, lower(prompt) as low from test_cases) select test_id, case when length(prompt) >= 10 then case {" ".join(f"when {_any('low', k)} then '{n}'" for n, k in classify.ROUTES.items())} else 'general' end end as route from x""")
+def router_first_match(spark, d):
+    return table(spark, d, "test_cases", "test_id", "prompt").select("test_id", classify.route(F.col("prompt")).alias("route"))
+
+
+_EXPERTS = {"timing": ["cycles", "frames", "latency", "scanline"], "layout": ["table", "entries", "bytes"], "build": ["build", "steps", "place"], "fault": ["fault", "stale", "flickers", "wrong"]}
+
+
+@query(f"""with x as (select test_id, lower(prompt) as low from test_cases), s as ({" union all ".join(f"select test_id, {k} as o, '{n}' as expert, {_hits('low', w)} / {len(w)}.0 as share from x" for k, (n, w) in enumerate(_EXPERTS.items()))})
+select test_id, case when share > 0 then expert else 'timing' end as expert, case when share > 0 then share::double else 0.3 end as share from (select *, row_number() over (partition by test_id order by share desc, o) as rn from s) where rn = 1""")
+def router_normalised(spark, d):
+    return table(spark, d, "test_cases", "test_id", "prompt").select("test_id", classify.expert(F.col("prompt"), _EXPERTS, ("timing", 0.3)).alias("e")).select("test_id", "e.expert", "e.share")
+
+
+@query(rf"""select test_id, case when regexp_matches(prompt, '(?i)explain\s+(what|how|why)|what\s+(does|is)\s+(the\s+)?(address|memory|register)|describe\s+(the|how)|what\s+(is|are)\s+stored?\s+(in|at)|tell\s+me\s+about') then 'explanation' else 'code_generation' end as category,
+case when regexp_matches(prompt, '(?i)\b(optimize|improve|refactor|efficient)\b') then 'optimize' when regexp_matches(prompt, '(?i)\b(debug|fix|fail(ing)?|issue|error|bug)\b') then 'debug' when regexp_matches(prompt, '(?i)\b(hook|asar|patch)\b|\borg\s+\$[0-9A-Fa-f]{{4,6}}\b') then 'hook' else 'write' end as intent from test_cases""")
+def intent_category(spark, d):
+    p = F.col("prompt")
+    return table(spark, d, "test_cases", "test_id", "prompt").select("test_id", classify.eval_category(p).alias("category"), classify.intent(p).alias("intent"))
+
+
+@query(f"""with x as (select unnest(string_split(text, chr(10))) as line from documents where kind = 'commit_log'), s as (select lower(line) as low from x where regexp_matches(line, '^    [A-Z]'))
+select case {" ".join(f"when {_any('low', k)} then '{n}'" for n, k in classify.COMMITS.items())} else 'other' end as commit_type, count(*) as n from s group by 1""")
+def commit_types(spark, d):
+    docs = table(spark, d, "documents", "kind", "text").filter("kind = 'commit_log'").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
+    return docs.groupBy(classify.commit_type(F.col("line")).alias("commit_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""select case {" ".join(f"when lower(regexp_extract(path, '([.][A-Za-z0-9]+)$', 1)) = '{e}' then '{k}'" for e, k in classify.FILE_KINDS.items())} else 'unknown' end as file_kind, count(*) as n from documents where path is not null group by 1""")
+def file_kinds(spark, d):
+    return table(spark, d, "documents", "path").filter("path is not null").groupBy(classify.file_kind(F.col("path")).alias("file_kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with x as (select lower(error) as low from test_results where error is not null) select case {" ".join(f"when {_any('low', k)} then '{n}'" for n, k in classify.ERROR_FAMILIES.items())} else 'other' end as family, count(*) as n from x group by 1""")
+def error_families(spark, d):
+    return table(spark, d, "test_results", "error").filter("error is not null").groupBy(classify.error_family(F.col("error")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- formats ---------------------------------------------------------------------------------------
+
+
+@query(f"""select rec_id, '<|im_start|>system' || chr(10) || 'Help.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || instruction || case when coalesce(input, '') <> '' then chr(10) || chr(10) || input else '' end || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+|| case when coalesce(thinking, '') <> '' then '<thinking>' || chr(10) || thinking || chr(10) || '</thinking>' || chr(10) || chr(10) else '' end || coalesce(output, '') || '<|im_end|>' || chr(10) as chat from {_LIBRARY}""")
+def chatml_text(spark, d):
+    rows = _library(spark, d, "instruction", "input", "output", "thinking")
+    return rows.select("rec_id", formats.chat_text(formats.chatml("Help.", F.col("instruction"), F.col("input"), F.col("output"), F.col("thinking"))).alias("chat"))
+
+
+@query("""select item_id, '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || case when coalesce(input, '') <> '' then '### Input:' || chr(10) || input || chr(10) || chr(10) else '' end || '### Response:' || chr(10) as prompt from eval_prompts""")
+def response_prompts(spark, d):
+    return table(spark, d, "eval_prompts", "item_id", "instruction", "input").select("item_id", formats.response_prompt(F.col("instruction"), F.col("input")).alias("prompt"))
+
+
+# --- splits and samples ----------------------------------------------------------------------------
+
+_SPLIT = f"""select rec_id, s as source, case when row_number() over (partition by s order by substr(md5('42|' || rec_id::varchar), 1, 15), rec_id) <= least(greatest(round_even(count(*) over (partition by s) * 0.02, 0), 1), count(*) over (partition by s)) then 'eval' else 'train' end as split
+from (select rec_id, coalesce({_norm("source")}, 'unknown') as s from {_LIBRARY})"""
+
+
+@query(_SPLIT)
+def stratified_split(spark, d):
+    rows = _library(spark, d, "source").select("rec_id", F.coalesce(norm_label(F.col("source")), F.lit("unknown")).alias("source"))
+    return mix.stratified_split(rows, "source", "rec_id")
+
+
+@query(f"""select source, count(*) as total, count(*) filter (split = 'train') as train, count(*) filter (split = 'eval') as eval, count(*) filter (split = 'train') * 100.0::double / sum(count(*) filter (split = 'train')) over () as ratio_percent from ({_SPLIT}) group by source""")
+def mix_ratio(spark, d):
+    return mix.mix_report(stratified_split(spark, d), "source")
+
+
+@query("select split, count(*) as n, min(o_orderkey) as lo, max(o_orderkey) as hi from (select o_orderkey, case when row_number() over (order by o_orderkey) <= floor((select count(*) from orders) * 0.9) then 'train' else 'val' end as split from orders) group by split")
+def ordered_split_90_10(spark, d):
+    return mix.ordered_split(table(spark, d, "orders", "o_orderkey"), "o_orderkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query(f"select doc_id from documents where {_uniform(42, 'doc_id::varchar')} < 0.1")
+def hash_sample(spark, d):
+    return mix.hash_sample(table(spark, d, "documents", "doc_id"), "doc_id", 0.1)
+
+
+@query("select doc_id from documents order by md5('42|' || doc_id::varchar), doc_id limit 50")
+def fixed_sample(spark, d):
+    return mix.fixed_sample(table(spark, d, "documents", "doc_id"), "doc_id", 50)
+
+
+@query(f"select result_id from test_results where {_uniform(7, 'result_id::varchar')} < 0.6 * coalesce(score, 0)")
+def quality_weighted_select(spark, d):
+    return mix.hash_sample(table(spark, d, "test_results", "result_id", "score"), "result_id", F.coalesce("score", F.lit(0.0)) * 0.6, 7).select("result_id")
+
+
+# --- events ----------------------------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query("select event_id, last_value(case when event_type = 'purchase' then event_type || user_id::varchar end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as last_purchase from events")
+def sticky_forward_fill(spark, d):
+    value = F.when(F.col("event_type") == "purchase", F.concat("event_type", F.col("user_id").cast("string")))
+    return events.sticky(_events(spark, d), value, ["user_id"], ["ts", "event_id"], "last_purchase").select("event_id", "last_purchase")
+
+
+@query("select e.event_id, coalesce(f.t < e.ts, false) as seen_before from events e left join (select user_id, min(ts) as t from events where event_type = 'click' group by 1) f using (user_id)")
+def seen_before_join(spark, d):
+    return events.seen_before(_events(spark, d), F.col("event_type") == "click", ["user_id"], "ts").select("event_id", "seen_before")
+
+
+_LAGS = ", ".join(f"lag(event_type, {k}) over w as t{k}, lag(value < 20, {k}) over w as f{k}" for k in range(1, 5))
+
+
+@query(f"""with x as (select event_id, event_type as t0, coalesce(value < 20, false) as f0, {_LAGS} from events window w as (partition by user_id order by ts, event_id)),
+y as (select *, list_distinct(list_filter([case when not f0 then t0 end, case when not f1 then t1 end, case when not f2 then t2 end, case when not f3 then t3 end, case when not f4 then t4 end], lambda v: v is not null)) as good from x)
+select event_id, case when t2 is null then null when f0 and f1 and f2 and t0 = t1 and t1 = t2 then 'spinning' when len(good) >= 2 then 'making_progress' end as state from y""")
+def spinning_detector(spark, d):
+    return events.progress(_events(spark, d), ["user_id"], ["ts", "event_id"], "event_type", F.coalesce(F.col("value") < 20, F.lit(False))).select("event_id", "state")
+
+
+@query("select event_id, string_agg(event_type, ' > ') over (partition by user_id order by ts, event_id rows between 9 preceding and current row) as context from events")
+def rolling_context(spark, d):
+    return events.rolling_context(_events(spark, d), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "context")
+
+
+@query()
+def tool_rollup_running_avg(spark, d):
+    return events.tool_rollup(_events(spark, d), "event_type", F.col("value") < 20, F.col("value"), F.struct("ts", "event_id"))
+
+
+@query("select event_type, count(*) as n, count(*) / sum(count(*)) over () as share from events group by event_type")
+def event_share_of_total(spark, d):
+    return events.share_of_total(_events(spark, d), "event_type")
+
+
+@query("select model, substr(split_part(error, ':', 1), 1, 30) as error_type, count(*) as n from test_results where coalesce(error, '') <> '' group by all")
+def error_type_histogram(spark, d):
+    return events.error_types(table(spark, d, "test_results", "model", "error"), "error", "model")
+
+
+@query(f"""with t as (select {_norm("test_name")} as test_name, model, count(*) as attempts, count(*) filter (passed) as passes from test_results where test_name is not null group by all)
+select model, test_name, attempts, passes, rank from (select *, row_number() over (partition by model order by passes::double / attempts desc, attempts desc, test_name) as rank from t) where rank <= 5""")
+def top_tests_per_model(spark, d):
+    rows = table(spark, d, "test_results", "test_name", "model", "passed").filter("test_name is not null")
+    each = rows.groupBy(norm_label(F.col("test_name")).alias("test_name"), "model").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("passed").alias("passes"))
+    return events.top_per_group(each, "model", [(F.col("passes") / F.col("attempts")).desc(), F.col("attempts").desc(), F.col("test_name")])
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) as event_type, max(ts) as ts from events group by user_id")
+def latest_state(spark, d):
+    return events.latest(_events(spark, d), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "ts")
+
+
+@query("select user_id, count(*) as gaps, max(g) as longest from (select user_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) as u, (epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts))) / 1e6 as g from events) where u > 15 * 60 * 1000000 group by user_id")
+def idle_gaps(spark, d):
+    return events.idle_gaps(_events(spark, d), ["user_id"], "ts").groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"), F.max("gap_seconds").alias("longest"))
+
+
+@query("select time_bucket(interval '5 minutes', ts) as window_start, event_type, count(*) as n from events group by all")
+def event_window_counts(spark, d):
+    start = F.window(F.col("ts").cast("timestamp"), "5 minutes")["start"].cast("timestamp_ntz")
+    return _events(spark, d).groupBy(start.alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_id from (select event_id, row_number() over (partition by user_id order by ts, event_id) as k from events) where k % 5 = 0")
+def reflect_every_fifth(spark, d):
+    return events.every_nth(_events(spark, d), ["user_id"], ["ts", "event_id"], 5).select("event_id")
+
+
+@query("select event_id, sum((value >= 20)::int) over w as next_step, max(case when value >= 20 then ts end) over w as last_success from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)")
+def success_steps(spark, d):
+    return events.steps(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("value") >= 20).select("event_id", "next_step", "last_success")
+
+
+@query("select event_type, count(*) as n, sum((props::json->>'$.k')::bigint) as k from events group by event_type")
+def json_props_projection(spark, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return _events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
+
+
+# --- segmentation and rewriting --------------------------------------------------------------------
+
+
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where text is not null),
+s as (select *, sum(starts_with(line, '#')::int) over (partition by doc_id order by k) as section_no from l),
+b as (select doc_id, section_no, max(case when starts_with(line, '#') then {_strip("regexp_replace(line, '^#+', '')")} end) as title, {_strip("coalesce(string_agg(line, chr(10) order by k) filter (not starts_with(line, '#')), '')")} as body from s group by all)
+select doc_id, section_no, title, substr(body, 1, 2000) as body from b where length(body) >= 120""")
+def doc_sections(spark, d):
+    return segment.sections(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query("""with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null), e as (select doc_id, ls, unnest(ls) as line, generate_subscripts(ls, 1) as k from l)
+select doc_id, k - 1 as line_no, line, array_to_string(ls[greatest(k - 2, 1):k - 1], chr(10)) as before, array_to_string(ls[k + 1:k + 2], chr(10)) as after from e where regexp_matches(line, '(JSL|JSR) [A-Z]')""")
+def context_lines(spark, d):
+    return segment.context(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", "(JSL|JSR) [A-Z]")
+
+
+@query()
+def commented_blocks(spark, d):
+    return segment.commented_blocks(table(spark, d, "documents", "doc_id", "text", "kind").filter("kind = 'asm_source'"), "doc_id", "text")
+
+
+@query()
+def completion_windows(spark, d):
+    return segment.completion_windows(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query(r"""with t as (select rec_id, regexp_split_to_array(instruction, '\s+') as p, regexp_split_to_array(coalesce(output, ''), '\s+') as c from pattern_library where loaded_at = (select max(q.loaded_at) from pattern_library q where q.rec_id = pattern_library.rec_id))
+select rec_id, least(len(p), greatest(60 - len(c), 0)) as prefix_tokens, least(len(c), 60) as completion_tokens from t""")
+def token_trim(spark, d):
+    rows = dedup.first_per_key(table(spark, d, "pattern_library", "rec_id", "loaded_at", "instruction", "output"), F.col("rec_id"), [-F.unix_micros(F.col("loaded_at").cast("timestamp"))])
+    cut = segment.trim_tokens(F.split("instruction", r"\s+"), F.split(or_empty(F.col("output")), r"\s+"), F.expr("cast(array() as array<string>)"), 60)
+    return rows.select("rec_id", F.size(cut["prefix"]).alias("prefix_tokens"), F.size(cut["completion"]).alias("completion_tokens"))
+
+
+_STYLES = [("polite", "Please {}"), ("terse", "Task: {}"), ("team", "For the team: {}"), ("review", "In review: {}")]
+
+
+@query(f"""with v as (select item_id, instruction, '' as o, 'original' as style, instruction as variant from eval_prompts union all
+{" union all ".join(f"select item_id, instruction, md5('42|' || item_id::varchar || '|{s}'), '{s}', replace('{t}', '{{}}', instruction) from eval_prompts" for s, t in _STYLES)})
+select item_id, style, variant from (select *, row_number() over (partition by item_id order by o, style) as k from v) where k <= 3""")
+def paraphrase_expand(spark, d):
+    return segment.paraphrases(table(spark, d, "eval_prompts", "item_id", "instruction"), "item_id", "instruction", _STYLES)
+
+
+@query(rf"""with l as (select doc_id, {_strip("unnest(string_split(text, chr(10)))")} as line from documents where text is not null) select upper(regexp_extract(line, '\$([0-9A-Fa-f]{{4,6}})', 1)) as address, count(*) as n, count(distinct doc_id) as documents from l where regexp_matches(line, '\$[0-9A-Fa-f]{{4,6}}') group by 1""")
+def address_usage(spark, d):
+    line = F.explode(lines(F.col("text")))
+    rows = table(spark, d, "documents", "doc_id", "text").select("doc_id", line.alias("line")).filter(F.col("line").rlike(r"\$[0-9A-Fa-f]{4,6}"))
+    return rows.groupBy(F.upper(F.regexp_extract("line", r"\$([0-9A-Fa-f]{4,6})", 1)).alias("address")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query()
+def symbol_enrich(spark, d):
+    """Listings with hardware addresses named; symbols of two sources merged by precedence."""
+    # A few hardware registers and their addresses.
+    rows = [("2100", "INIDISP", 2, 0), ("2115", "VMAIN", 2, 1), ("2116", "VMADDL", 2, 2), ("4200", "NMITIMEN", 2, 3), ("420B", "MDMAEN", 2, 4), ("420C", "HDMAEN", 2, 5), ("4212", "HVBJOY", 2, 6), ("2100", "screen", 1, 0)]
+    symbols = rewrite.merge_symbols(spark.createDataFrame(rows, "address string, name string, priority int, line_no int"))
+    return rewrite.enrich(_library(spark, d, "output"), "rec_id", "output", symbols).select("rec_id", "enriched")
+
+
+@query()
+def label_rewrite(spark, d):
+    labels = F.regexp_extract_all("text", F.lit(r"JSL ([A-Za-z_][A-Za-z0-9_]*)"), 1)
+    docs = table(spark, d, "documents", "doc_id", "text", "kind").filter("kind = 'asm_source'")
+    return docs.select("doc_id", rewrite.replace_labels(F.col("text"), labels).alias("rewritten"))
+
+
+# --- validators ------------------------------------------------------------------------------------
+
+
+_IN = ", ".join(f"'{m}'" for m in asm.MNEMONICS)
+
+
+@query(rf"""with r as (select result_id, any_value(response) as t from test_results group by 1), l as (select result_id, {_strip("split_part(unnest(string_split(t, chr(10))), ';', 1)")} as c from r),
+h as (select result_id, upper(regexp_extract({_strip("split_part(c, ':', -1)")}, '^(\S+)', 1)) as w from l where c <> ''),
+k as (select result_id, count(*) as found, count(*) filter (w in ({_IN})) as known from h where w in ({_IN}) or regexp_matches(w, '^[A-Z]{{2,4}}') group by 1)
+select result_id, case when found is null then 0.5 else least(known / found + case when regexp_matches(upper(t), '{"|".join(asm.REGISTERS)}') then 0.1 else 0.0 end, 1.0) end as score from r left join k using (result_id)""")
+def asm_verdict(spark, d):
+    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "response", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
+    return rows.select("result_id", validate.listing(F.col("response")).alias("v")).select("result_id", F.col("v.score").alias("score"))
+
+
+@query()
+def semantic_score(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "kind").filter("kind = 'asm_source'")
+    return docs.select("doc_id", validate.semantic_score(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def bracket_balance(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", validate.bracket_balance(F.col("text")).alias("unbalanced"))
+
+
+@query()
+def text_reply_verdict(spark, d):
+    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "response", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
+    return rows.select("result_id", validate.text_reply(F.col("response")).alias("v")).select("result_id", "v.*")
+
+
+def _tested(spark, d):
+    """Each result once, with the keywords of its test case."""
+    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "test_name", "model", "response", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
+    cases = table(spark, d, "test_cases", "name", "expected_keywords", "anti_keywords", "category").withColumn("_name", norm_label(F.col("name"))).drop("name")
+    return rows.withColumn("_name", norm_label(F.col("test_name"))).join(cases, "_name")
+
+
+_TESTED = f"(select r.*, c.expected_keywords, c.anti_keywords, c.category from (select result_id, min(test_name) as test_name, min(model) as model, min(response) as response from test_results group by 1) r join test_cases c on {_norm('r.test_name')} = {_norm('c.name')})"
+_COVER = "case when coalesce(len(expected_keywords), 0) = 0 then 1.0 else len(list_filter(expected_keywords, lambda k: contains(lower(coalesce(response, '')), lower(k)))) / len(expected_keywords) end"
+_ANTI = "coalesce(len(list_filter(anti_keywords, lambda k: contains(lower(coalesce(response, '')), lower(k)))), 0) > 0"
+
+
+@query(f"with x as (select result_id, {_COVER} as cover, {_ANTI} as anti_found from {_TESTED}) select result_id, case when anti_found then cover * 0.5 else cover end as score, case when anti_found then false else cover >= 0.6 end as passed, anti_found from x")
+def keyword_coverage(spark, d):
+    return _tested(spark, d).select("result_id", validate.expert_test(F.col("response"), F.col("expected_keywords"), F.col("anti_keywords")).alias("v")).select("result_id", "v.*")
+
+
+@query("select model, count(*) as total, count(*) filter (passed) as passed, count(*) filter (passed) / count(*) as pass_rate, count(*) filter (latency_ms > 1000) as slow, max(latency_ms) as worst from (select result_id, min(model) as model, bool_or(passed) as passed, min(latency_ms) as latency_ms from test_results group by 1) group by model")
+def expert_test_rollup(spark, d):
+    rows = table(spark, d, "test_results", "result_id", "model", "passed", "latency_ms").groupBy("result_id").agg(F.min("model").alias("model"), F.bool_or("passed").alias("passed"), F.min("latency_ms").alias("latency_ms"))
+    total = F.count(F.lit(1))
+    return rows.groupBy("model").agg(total.alias("total"), F.count_if("passed").alias("passed"), (F.count_if("passed") / total).alias("pass_rate"), F.count_if(F.col("latency_ms") > 1000).alias("slow"), F.max("latency_ms").alias("worst"))
+
+
+@query(f"select coalesce(nullif({_norm('category')}, ''), 'uncategorized') as category, count(*) as total from {_TESTED} group by 1")
+def eval_by_category(spark, d):
+    return _tested(spark, d).groupBy(F.coalesce(F.nullif(norm_label(F.col("category")), F.lit("")), F.lit("uncategorized")).alias("category")).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query()
+def eval_report(spark, d):
+    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "model", "score", "passed", "error", "latency_ms", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
+    return profile.eval_report(rows, F.col("score"), F.col("passed"), F.coalesce(F.col("error").startswith("timeout"), F.lit(False)), F.col("latency_ms"), ["model"])
+
+
+@query("select keyword, count(*) as n from (select result_id, unnest(missing_keywords) as keyword from (select result_id, any_value(missing_keywords) as missing_keywords from test_results group by 1)) group by keyword order by n desc, keyword limit 5")
+def missing_concepts_top5(spark, d):
+    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "missing_keywords", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
+    return profile.top_values(rows.select(F.explode("missing_keywords").alias("k")), F.col("k"), "keyword")
+
+
+@query("""select doc_id, list_filter(['traceback', 'cuda_oom', 'runtime_error', 'value_error', 'assert_error', 'exception', 'error_line'], lambda x: regexp_matches(text, case x when 'traceback' then '(?i)Traceback' when 'cuda_oom' then '(?i)CUDA out of memory' when 'runtime_error' then '(?i)RuntimeError' when 'value_error' then '(?i)ValueError'
+when 'assert_error' then '(?i)AssertionError' when 'exception' then '(?i)Exception' else '(?im)^error' end)) as errors from documents where text is not null""")
+def log_errors(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", validate.log_errors(F.col("text")).alias("errors"))
+
+
+# --- graph, catalog, integrity ---------------------------------------------------------------------
+
+
+@query(f"""with e as (select rec_id, list_distinct(list_transform(coalesce(kg_entities, []), lambda x: lower(x))) as es, coalesce(kg_validated, false) as v from {_LIBRARY}), n as (select distinct lower(unnest(kg_entities)) as k from pattern_library where kg_validated),
+f as (select rec_id, count(*) as found from (select rec_id, unnest(es) as k from e) join n using (k) group by 1), c as (select rec_id, v, len(es) as mentioned, coalesce(found, 0) as found from e left join f using (rec_id))
+select rec_id, mentioned, found, mentioned - found as missing, case when mentioned = 0 then 1.0 else found / mentioned end as coverage from c""")
+def kg_coverage(spark, d):
+    rows = _library(spark, d, "kg_entities", "kg_validated")
+    nodes = table(spark, d, "pattern_library", "kg_entities", "kg_validated").filter("kg_validated").select(F.explode("kg_entities").alias("name")).distinct()
+    found = graph.coverage(rows, "rec_id", "kg_entities", nodes.select(F.col("name").alias("id"), "name"), "kg_validated")
+    return found.drop("score")
+
+
+@query("""with e as (select n_name as source, r_name as target from nation join region on n_regionkey = r_regionkey) select source, target, case when contains(lower(source), 'ia') then 'outgoing' else 'incoming' end as direction from e where contains(lower(source), 'ia') or contains(lower(target), 'ia')""")
+def kg_neighbours(spark, d):
+    n, r = table(spark, d, "nation", "n_name", "n_regionkey"), table(spark, d, "region", "r_regionkey", "r_name")
+    return graph.neighbours(n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.lit("in").alias("relation")), "ia").drop("relation")
+
+
+@query("""with o as (select p_partkey, p_brand, p_name from part where p_partkey % 7 = 0), k as (select p_partkey, 'id override' as v, 1 as r from part where p_partkey % 14 = 0)
+select p.p_partkey, case when p.p_partkey % 14 = 0 then 'by id' when p.p_partkey % 7 = 0 then 'by name' else p.p_brand end as p_brand from part p""")
+def override_priority_join(spark, d):
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_brand").withColumn("alias", F.concat(F.lit("n"), F.col("p_partkey").cast("string")))
+    by_id = parts.filter("p_partkey % 14 = 0").select(F.col("p_partkey").cast("string").alias("override_key"), F.lit("by id").alias("p_brand"))
+    by_name = parts.filter("p_partkey % 7 = 0").select(F.col("alias").alias("override_key"), F.lit("by name").alias("p_brand"))
+    return graph.override(parts, by_id.unionByName(by_name), ["p_partkey", "alias"], "p_partkey", ["p_brand"]).select("p_partkey", "p_brand")
+
+
+@query("""select doc_id, regexp_replace(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substr(sha1(path), 1, 8) as paper_id from documents where path is not null""")
+def paper_ids(spark, d):
+    return table(spark, d, "documents", "doc_id", "path").filter("path is not null").select("doc_id", F.concat(slug(F.col("path")), F.lit("-"), F.substring(F.sha1("path"), 1, 8)).alias("paper_id"))
+
+
+@query("""with e as (select doc_id, n_chars as size, md5(text) as h from documents where doc_id % 10 <> 1), a as (select doc_id, case when doc_id % 10 = 2 then n_chars + 1 else n_chars end as size, case when doc_id % 10 = 3 then md5(text || '!') else md5(text) end as h from documents where doc_id % 10 <> 0)
+select coalesce(e.doc_id, a.doc_id) as doc_id, case when a.doc_id is null then 'missing' when e.doc_id is null then 'extra' when e.size is distinct from a.size then 'size_mismatch' when e.h is distinct from a.h then 'corrupted' else 'verified' end as status from e full outer join a on e.doc_id = a.doc_id""")
+def manifest_diff(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "n_chars", "text")
+    m = F.col("doc_id") % 10
+    expected = docs.filter(m != 1).select("doc_id", F.col("n_chars").alias("size"), F.md5("text").alias("h"))
+    actual = docs.filter(m != 0).select("doc_id", F.when(m == 2, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.when(m == 3, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("h"))
+    return graph.manifest_diff(expected, actual, "doc_id", "size", "h")
+
+
+@query("""select project, count(*) as files, sum(n_chars) as bytes, max(updated_at) as latest from documents where project is not null group by project having count(*) filter (split_part(path, '/', -1) in ('hud_util.asm', 'room_core.asm')) > 0""")
+def registry_rollup(spark, d):
+    docs = table(spark, d, "documents", "project", "path", "n_chars", "updated_at").filter("project is not null").withColumn("name", F.substring_index("path", "/", -1))
+    return graph.registry(docs, "project", "name", "n_chars", "updated_at", ["hud_util.asm", "room_core.asm"])
+
+
+@query("select label, count(*) as n, min(len(embedding)) as dims from embeddings group by label")
+def embedding_inventory(spark, d):
+    return table(spark, d, "embeddings", "label", "embedding").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dims"))
+
+
+@query("select p_brand, count(*) as n, grouping(p_brand) = 1 as is_total from part group by rollup (p_brand)")
+def suite_rollup(spark, d):
+    return profile.totals_by(table(spark, d, "part", "p_brand"), "p_brand")
