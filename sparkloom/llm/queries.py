@@ -138,5 +138,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+def _norm(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({x}), '^\s+|\s+$', '', 'g'), '[-\s]', '_', 'g')"
+
+
+_SQL = {
+    "p1_found": f"""with p as (select distinct 'pattern_library' as pool, rec_id as id, {_norm("category")} as c from pattern_library union all select distinct 'test_cases', test_id, {_norm("category")} from test_cases),
+n as (select pool, count(distinct id) as n from p group by 1), k as (select pool, c, count(distinct id) as k from p group by 1, 2)
+select request_id, t.category from sample_targets t join n on n.pool = {_norm("t.pool")} left join k on k.pool = n.pool and k.c = {_norm("t.category")} where coalesce(k, 0) < greatest(target_share * sample_share * n, min_rows)""",
+    "p2_found": f"""with r as (select distinct rec_id, {_norm("source")} as source, {_norm("category")} as category, coalesce(length(instruction), 0) + coalesce(length(output), 0) as s from pattern_library),
+t as (select sum(s) as t from r), m as (select 'source' as dimension, source as member, sum(s) as s from r group by all union all select 'category', category, sum(s) from r group by all)
+select mix_id, w.member from mix_weights w cross join t left join m on m.dimension = w.dimension and m.member = {_norm("w.member")} where coalesce(s, 0) * max_repeats < weight * mix_share * t""",
+    "p7_found": r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents), i as (select item_id, regexp_extract_all(lower(unnest([instruction, expected_output])), '[\p{L}\p{N}]+') as ws from eval_prompts),
+dg as (select doc_id, array_to_string(ws[k:k + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as k from d)), ig as (select distinct item_id, array_to_string(ws[k:k + 11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as k from i))
+select distinct doc_id, item_id from dg join ig using (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
