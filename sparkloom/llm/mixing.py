@@ -29,7 +29,8 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= total:
         return counts.copy()
     longest = int(lengths.max())
-    spare = min(budget, max(2 * longest, min(KNAPSACK, budget // 50)))
+    # A budget of few records is left to the program as a whole.
+    spare = budget if budget <= 64 * longest else max(2 * longest, min(KNAPSACK, budget // 50))
     # Integers only: shares of large counts would lose records in floating point.
     take = np.array([int(c) * (budget - spare) // total for c in counts.tolist()], dtype=np.int64)
     rest = budget - int((lengths * take).sum())

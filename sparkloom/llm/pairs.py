@@ -23,7 +23,7 @@ _WRAPPER_LINE = re.compile(r"^\s*(?:#{1,6}\s*)?\W*(?:question|instruction|prompt
 
 # Phrases in which an answer is declined; an answer of nothing but such sentences is a refusal.
 _DECLINED = re.compile(
-    r"\b(?:i|we|the assistant|the model)\b[^.]{0,40}?\b(?:can'?t|cannot|can not|could not|couldn'?t|won'?t|will not|unable|not able|not allowed|not permitted|not going|not in a position|not comfortable)\b[^.]{0,30}?\b(?:help|assist|answer|write|provide|comply|produce|respond|discuss|generate|fulfil|fulfill|do that|do this|continue|share|complete|give)\b"
+    r"\b(?:i|we|the assistant|the model)\b[^.]{0,24}?\b(?:can'?t|cannot|can not|could not|couldn'?t|won'?t|will not|unable|not able|not allowed|not permitted|not going|not in a position|not comfortable)\s+(?:be able\s+)?(?:to\s+)?(?:\w+\s+)?(?:help|assist|answer|write|provide|comply|produce|respond|discuss|generate|fulfil|fulfill|do that|do this|continue|share|complete|give)\b"
     r"|\bunable to (?:help|assist|answer|comply|respond|provide)\b"
     r"|\b(?:i|we) (?:must|have to|need to|will have to) (?:pass|decline|refuse|skip)\b|\b(?:has|have|had|needs?) to be (?:declined|refused|rejected)\b|\b(?:i|we) (?:decline|refuse)\b"
     r"|\bchosen to (?:skip|decline|pass)\b|\boutside (?:of )?(?:what i|my|the scope)\b|\babove my pay grade\b|\bno answer (?:can|will) be given\b|\binappropriate for me\b"
