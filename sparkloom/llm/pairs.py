@@ -18,7 +18,7 @@ _STAND_INS = set(
     "n a|na|none|null|nil|nan|nul|tbd|tba|todo|empty|blank|void|undefined|missing|unknown|no output|no answer|no response|no content|no data|no text|not available|not applicable|"
     "output|answer|response|placeholder|leer|keine antwort|vide|aucune réponse|vacío|sin respuesta|vazio|sem resposta|k a|n d|s o|なし|無し|未定".split("|")
 )
-_WRAPPERS = set("question instruction instructions prompt input task user human q request query response answer a assistant output frage pregunta anweisung".split())
+_LEAD = re.compile(r"\W*(?:\w+ ){0,4}\w+:\s+")
 _WRAPPER_LINE = re.compile(r"^\s*(?:#{1,6}\s*)?\W*(?:question|instruction|prompt|input|task|user|human|q|request|query|response|answer|assistant|output)\W*$", re.I)
 
 # Phrases in which an answer is declined; an answer of nothing but such sentences is a refusal.
@@ -140,17 +140,32 @@ def is_refusal(answer: str) -> bool:
 
 
 def is_echo(answer: str, question: str) -> bool:
-    """Whether an answer holds nothing but the question, by greedy string tiling of their words."""
+    """Whether an answer holds nothing but the question, once or several times, by greedy string tiling.
+
+    A lead of up to five words before a colon and lines that only name a part (such as a response
+    heading) are left out first. What one tiling does not cover is tiled again. A short excerpt of the
+    question can be a sound answer; words of the answer's own at its end make it one.
+    """
     kept = "\n".join(x for x in answer.split("\n") if not _WRAPPER_LINE.match(x))
-    a, q = words(kept), words(question)
-    while a and a[0] in _WRAPPERS and q[:1] != a[:1]:
-        a = a[1:]
-    if not a or len(a) < 0.5 * len(q) and len(a) < 12 or len(a) > 1.3 * len(q) + 4:
-        return False
-    if sum((Counter(a) & Counter(q)).values()) < 0.95 * len(a):
-        return False  # no tiling can cover more
-    covered = sum(n for _, _, n in tiles(a, q, HASHES.array(a), HASHES.array(q), min(3, len(a))))
-    return covered >= 0.9 * len(a)
+    q = words(question)
+    options = [kept]
+    if lead := _LEAD.match(kept):
+        options.append(kept[lead.end() :])
+    for option in options:
+        a = words(option)
+        known = set(q)
+        if not a or len(a) < 0.5 * len(q) and len(a) < 12 or sum(w in known for w in a) < 0.95 * len(a):
+            continue  # no tiling can cover more
+        rest, least = a, min(3, len(a))
+        while rest:
+            found = tiles(rest, q, HASHES.array(rest), HASHES.array(q), least)
+            used = {k for i, _, n in found for k in range(i, i + n)}
+            if not used or len(used) < min(len(rest), 0.5 * len(q)) * 0.5:
+                break
+            rest = [w for k, w in enumerate(rest) if k not in used]
+        if len(rest) <= 0.05 * len(a) and a[-1:] != rest[-1:]:
+            return True
+    return False
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
