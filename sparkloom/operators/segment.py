@@ -51,7 +51,7 @@ def commented_blocks(df: DataFrame, key: str, text: str, most_lines: int = 40) -
     kind = F.when(strip(F.col("line")).startswith(";"), "comment").when(strip(F.col("line")).rlike(r"^[A-Za-z_][A-Za-z0-9_]*:$"), "label").otherwise("code")
     t = line_table(df, key, text).withColumn("kind", kind)
     t = t.withColumn("owner", F.sum(F.when(F.col("kind") == "label", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    t = t.withColumn("run", F.sum(F.when(F.col("kind") != "comment", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    t = t.withColumn("run", F.coalesce(F.sum(F.when(F.col("kind") != "comment", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     comments = t.filter(F.col("kind") == "comment").groupBy(key, "run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", strip(F.regexp_replace(strip(F.col("line")), "^;+", "")).alias("c")))), lambda x: x["c"]), " ").alias("comment"), F.max("line_no").alias("_end")
     )

@@ -17,8 +17,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, drop_bad
     A line that is no JSON object is kept with its text in ``_corrupt_record``, or with ``drop_bad`` left
     out. Bytes that are no UTF-8 are replaced.
     """
-    full = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    df = full.withColumn("src_file", F.input_file_name())
+    text = spark.read.text(path).filter(strip(F.col("value")) != "").select("value", F.input_file_name().alias("src_file"))
+    parsed = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    df = text.select(parsed.alias("_r"), "src_file").select("_r.*", "src_file")
     return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record") if drop_bad else df
 
 
