@@ -32,6 +32,36 @@ def raw_words(text: str | None) -> list[bytes]:
     return [w.encode("utf-8", "replace") for w in _WORD.findall(text.lower())]
 
 
+def word_bytes(text: str | None) -> bytes:
+    """The words of a text as lower-cased UTF-8 between blanks."""
+    if not text:
+        return b""
+    return text.encode().translate(_LOWER) if text.isascii() else b" ".join(raw_words(text))
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of texts given by :func:`word_bytes`, and the number of words of each text.
+
+    All words of a batch are hashed at once: prefix sums of a polynomial over the bytes, modulo 2**64.
+    """
+    flat, counts = [], []
+    for k in range(0, len(texts), 1024):
+        part = texts[k : k + 1024]
+        raw = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[1:] = raw != 32
+        change = np.diff(inside)
+        begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        up, down = _powers_to(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(raw * up[: len(raw)], out=sums[1:], dtype=np.uint64)
+        flat.append(mix((sums[end] - sums[begin]) * down[begin]))
+        bounds = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        counts.append(np.diff(np.searchsorted(begin, bounds), prepend=0))
+    none = np.empty(0, np.uint64)
+    return np.concatenate([none, *flat]), np.concatenate([none.astype(np.int64), *counts])
+
+
 class WordHashes(dict):
     """Hash by word, as text or UTF-8, remembered within a Python worker up to ``CACHE_ENTRIES`` words."""
 
