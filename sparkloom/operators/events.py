@@ -55,23 +55,32 @@ def idle_gaps(df: DataFrame, keys: list[str], ts: str, minutes: int = 15) -> Dat
     return df.withColumn("gap_seconds", gap / 1e6).filter(F.col("gap_seconds") > minutes * 60)
 
 
-def tool_rollup(df: DataFrame, tool: str, failed: Column, duration: Column, order: Column) -> DataFrame:
+def tool_rollup(df: DataFrame, tool: str, failed: Column, duration: Column, order: Column, slice_of: Column | None = None) -> DataFrame:
     """Calls, failures, mean duration and the order-dependent running average by tool.
 
     The running average is that of a counter which skips calls without a positive duration but divides
-    by the number of all calls so far: each such call shrinks the effect of the next. It equals a
-    weighted mean, so it comes from window sums instead of a fold over a collected list: the value after
-    the last call is sum(d_i / n_i x product of later (1 - 1/n_j)), which telescopes over positive
-    calls. Ranks and products run within a tool; a hot tool is one window partition.
+    by the number of all calls so far. The n-th call with duration d > 0 maps an average a to
+    a (n - 1) / n + d / n; such maps compose, so the value after the last call is the sum of d / n times
+    the product of the later (n - 1) / n. ``slice_of`` is a column that does not fall as ``order`` rises,
+    such as the day: calls are numbered and composed within (tool, slice) and the slices' results are
+    composed again, so a tool with a third of the calls is spread over its slices.
     """
-    w = W.partitionBy(tool).orderBy(order)
-    numbered = df.withColumn("_d", duration).withColumn("_f", failed).withColumn("_n", F.row_number().over(w).cast("double"))
-    positive = numbered.filter(F.col("_d") > 0)
-    after = W.partitionBy(tool).orderBy(F.col("_n").desc()).rowsBetween(W.unboundedPreceding, -1)
-    shrink = F.exp(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.log1p(-1 / F.col("_n"))).otherwise(0.0)).over(after), F.lit(0.0)))
-    averages = positive.withColumn("_w", shrink * F.col("_d") / F.col("_n")).groupBy(tool).agg(F.sum("_w").alias("running_avg"))
+    part = slice_of if slice_of is not None else F.lit(0)
+    keyed = df.withColumn("_d", duration).withColumn("_s", part)
+    sizes = keyed.groupBy(tool, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = W.partitionBy(tool).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(tool).alias("_t"), F.col("_s").alias("_u"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    inner = W.partitionBy(tool, "_s").orderBy(order)
+    numbered = keyed.withColumn("_k", F.row_number().over(inner)).join(offsets, F.col(tool).eqNullSafe(F.col("_t")) & F.col("_s").eqNullSafe(F.col("_u")))
+    n = (F.col("_k") + F.col("_before")).cast("double")
+    shrunk = numbered.withColumn("_n", n).withColumn("_l", F.when((F.col("_d") > 0) & (F.col("_n") > 1), F.log1p(-1 / F.col("_n"))).otherwise(0.0))
+    later = W.partitionBy(tool, "_s").orderBy(F.col("_n").desc()).rowsBetween(W.unboundedPreceding, -1)
+    weight = F.exp(F.coalesce(F.sum("_l").over(later), F.lit(0.0)))
+    slices = shrunk.withColumn("_w", F.when(F.col("_d") > 0, weight * F.col("_d") / F.col("_n"))).groupBy(tool, "_s").agg(F.sum("_w").alias("_p"), F.sum("_l").alias("_l"))
+    after = W.partitionBy(tool).orderBy(F.col("_s").desc()).rowsBetween(W.unboundedPreceding, -1)
+    averages = slices.withColumn("_p", F.col("_p") * F.exp(F.coalesce(F.sum("_l").over(after), F.lit(0.0)))).groupBy(F.col(tool).alias("_t")).agg(F.sum("_p").alias("running_avg"))
     totals = df.groupBy(tool).agg(F.count(F.lit(1)).alias("calls"), F.count_if(failed).alias("failures"), F.avg(F.when(duration > 0, duration)).alias("mean_positive"))
-    return totals.join(averages, tool, "left").withColumn("running_avg", F.coalesce("running_avg", F.lit(0.0)))
+    return totals.join(averages, F.col(tool).eqNullSafe(F.col("_t")), "left").drop("_t").withColumn("running_avg", F.coalesce("running_avg", F.lit(0.0)))
 
 
 def share_of_total(df: DataFrame, key: str, value: Column | None = None) -> DataFrame:

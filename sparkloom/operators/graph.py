@@ -83,3 +83,21 @@ def entities(text: Column) -> Column:
     from .dedup import distinct_ignoring_case
 
     return distinct_ignoring_case(F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in ENTITY_PATTERNS))))
+
+
+def with_default(df: DataFrame, lookup: DataFrame, key: str, value: str, default: Column | str | float) -> DataFrame:
+    """``df`` with ``value`` from ``lookup`` by ``key``, ``default`` where it has none."""
+    side = lookup.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    joined = df.join(broadcast_if_small(side, BROADCAST_NODES), F.col(key).eqNullSafe(F.col("_k")), "left")
+    return joined.withColumn(value, F.coalesce("_v", default if isinstance(default, Column) else F.lit(default))).drop("_k", "_v")
+
+
+def listing_with_state(entries: DataFrame, log: DataFrame, key: str, order: str, state: str, gone: str) -> DataFrame:
+    """``entries`` with the latest state of an append log; those whose state is ``gone`` are left out, unknown ones are ``untracked``."""
+    last = log.groupBy(key).agg(F.max_by(state, order).alias(state))
+    return entries.join(last, key, "left").withColumn(state, F.coalesce(state, F.lit("untracked"))).filter(F.col(state) != gone)
+
+
+def active(expires_at: Column, now: Column | None = None) -> Column:
+    """Whether something has not expired; no expiry means active."""
+    return expires_at.isNull() | (expires_at > (now if now is not None else F.current_timestamp()))

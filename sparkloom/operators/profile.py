@@ -53,3 +53,31 @@ def eval_report(df: DataFrame, score: Column, passed: Column, error: Column, lat
 def totals_by(df: DataFrame, key: str) -> DataFrame:
     """Rows by key and in all (null key, ``is_total``), by one grouping-sets aggregate."""
     return df.rollup(key).agg(F.count(F.lit(1)).alias("n"), F.grouping(key).cast("boolean").alias("is_total"))
+
+
+def validation_summary(df: DataFrame, attempted: Column, valid: Column, score: Column, family: Column, keys: list[str] | None = None) -> DataFrame:
+    """Rows, attempts, passes, failures, skips, pass rate of the attempts, mean score of all and of valid ones, distinct failure families."""
+    tried = F.coalesce(attempted, F.lit(False))
+    passed, n = tried & F.coalesce(valid, F.lit(False)), F.count_if(tried)
+    return (df.groupBy(*keys) if keys else df.groupBy()).agg(
+        F.count(F.lit(1)).alias("total"),
+        n.alias("attempted"),
+        F.count_if(passed).alias("passed"),
+        (n - F.count_if(passed)).alias("failed"),
+        (F.count(F.lit(1)) - n).alias("skipped"),
+        (F.count_if(passed) / F.nullif(n, F.lit(0))).alias("pass_rate"),
+        F.avg(F.when(tried, score)).alias("mean_score"),
+        F.avg(F.when(passed, score)).alias("mean_score_valid"),
+        F.count_distinct(F.when(tried & ~F.coalesce(valid, F.lit(False)), family)).alias("failure_families"),
+    )
+
+
+def expert_rollup(df: DataFrame, expert: str, reason: Column, confidence: Column, completed: Column) -> DataFrame:
+    """Calls, share of all, completions, mean and low confidences (under 0.5) and reasons (50 code points) by expert."""
+    short = F.substring(reason, 1, 50)
+    reasons = df.filter(reason.isNotNull()).groupBy(expert, short.alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    reasons = reasons.groupBy(expert).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_r", "_n")))).alias("reasons"))
+    each = df.groupBy(expert).agg(F.count(F.lit(1)).alias("calls"), F.count_if(completed).alias("completed"), F.count_if(confidence < 0.5).alias("low_confidence"), F.avg(confidence).alias("mean_confidence"))
+    total = each.agg(F.sum("calls").alias("_t"))
+    shared = each.crossJoin(F.broadcast(total)).withColumn("share", F.col("calls") / F.col("_t")).drop("_t")  # one row
+    return shared.join(reasons, expert, "left")

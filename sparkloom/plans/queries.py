@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import asm
 from ..functions.text import any_of, lines, or_empty, seeded_order, slug, strip
-from ..operators import classify, curate, dedup, events, formats, graph, mix, profile, rewrite, segment, validate
+from ..operators import classify, curate, dedup, events, formats, graph, mix, profile, rewrite, routines, segment, validate
 from ..runtime import norm_label, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,9 +327,14 @@ def rolling_context(spark, d):
     return events.rolling_context(_events(spark, d), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "context")
 
 
+@query("select event_type, count(*) as calls, count(*) filter (value < 20) as failures from events group by event_type")
+def tool_rollup(spark, d):
+    return tool_rollup_running_avg(spark, d).select("event_type", "calls", "failures")
+
+
 @query()
 def tool_rollup_running_avg(spark, d):
-    return events.tool_rollup(_events(spark, d), "event_type", F.col("value") < 20, F.col("value"), F.struct("ts", "event_id"))
+    return events.tool_rollup(_events(spark, d), "event_type", F.col("value") < 20, F.col("value"), F.struct("ts", "event_id"), F.date_trunc("day", F.col("ts").cast("timestamp")))
 
 
 @query("select event_type, count(*) as n, count(*) / sum(count(*)) over () as share from events group by event_type")
@@ -476,7 +481,10 @@ def bracket_balance(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", validate.bracket_balance(F.col("text")).alias("unbalanced"))
 
 
-@query()
+@query(rf"""with r as (select result_id, any_value(response) as t from test_results group by 1), x as (select result_id, t, length({_strip("t")}) as n, len(regexp_extract_all(t, '[A-Za-z]+')) as words,
+regexp_matches(t, '\$[0-9A-Fa-f]{{2,6}}')::int + regexp_matches(t, '(?i)\b(LDA|STA|JMP|JSR|RTS|RTL)\b')::int + regexp_matches(t, '(?i)\blink\b')::int + regexp_matches(t, '(?i)\b(rupee|heart|sword|shield|item)\b')::int + regexp_matches(t, '(?i)\b(WRAM|SRAM|ROM|bank)\b')::int as terms from r),
+b as (select *, case when n < 20 then 0.1 when n < 50 then 0.4 else 0.7 end::double as base from x), c as (select *, case when words < 5 then least(base, 0.2) when words >= 20 then least(base + 0.2::double, 1.0) else base end as s from b)
+select result_id, n >= 20 and words >= 5 as valid, case when terms >= 2 then least(s + 0.1::double, 1.0) else s end as score, words, terms from c""")
 def text_reply_verdict(spark, d):
     rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "response", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
     return rows.select("result_id", validate.text_reply(F.col("response")).alias("v")).select("result_id", "v.*")
@@ -586,3 +594,79 @@ def embedding_inventory(spark, d):
 @query("select p_brand, count(*) as n, grouping(p_brand) = 1 as is_total from part group by rollup (p_brand)")
 def suite_rollup(spark, d):
     return profile.totals_by(table(spark, d, "part", "p_brand"), "p_brand")
+
+
+# --- routines, summaries, lookups ------------------------------------------------------------------
+
+
+def _techniques_sql(t: str) -> str:
+    tests = []
+    for name, signs in routines.TECHNIQUES:
+        glue = " and " if isinstance(signs, tuple) else " or "
+        tests.append((name, "(" + glue.join(f"contains({t}, '{s}')" for s in signs) + ")"))
+    tests.insert(8, ("loop with counter", rf"regexp_matches({t}, '(?s)\bLDX\b.*#\$0[0-9A-F]\b.*\bDEX\b.*\bBPL\b')"))
+    return "array_to_string(list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in tests) + "], lambda v: v is not null), '; ')"
+
+
+@query(f"select rec_id, {_techniques_sql('upper(coalesce(output, ' + chr(39) * 2 + '))')} as techniques from {_LIBRARY}")
+def technique_tags(spark, d):
+    return _library(spark, d, "output").select("rec_id", F.array_join(routines.techniques(F.col("output")), "; ").alias("techniques"))
+
+
+@query()
+def routine_samples(spark, d):
+    rows = _library(spark, d, "output", "category").withColumn("name", F.concat(F.lit("Routine"), F.col("rec_id").cast("string"))).filter("output is not null")
+    return routines.routine_samples(rows, "rec_id", "name", "output", norm_label(F.col("category")))
+
+
+@query(rf"""with d as (select item_id, regexp_replace({_clean_sql("coalesce(expected_output, '')")}, '[.]+$', '') as t from eval_prompts) select item_id, case when length(t) >= 8 and regexp_matches(t, '[A-Za-z]') then 'Write a 65816 routine that ' || t || '.' else '' end as instruction from d""")
+def inverted_instructions(spark, d):
+    return table(spark, d, "eval_prompts", "item_id", "expected_output").select("item_id", routines.description_to_instruction(F.col("expected_output")).alias("instruction"))
+
+
+@query(r"""select test_id, coalesce(nullif(regexp_extract(prompt, '(\$[0-9A-Fa-f]{2}:[0-9A-Fa-f]{4})', 1), ''), nullif(regexp_extract(prompt, '(\$[0-9A-Fa-f]{6})', 1), ''), nullif(regexp_extract(prompt, '(\$[0-9A-Fa-f]{5})', 1), ''), nullif(regexp_extract(prompt, '(\$[0-9A-Fa-f]{4})', 1), '')) as address from test_cases""")
+def prompt_addresses(spark, d):
+    return table(spark, d, "test_cases", "test_id", "prompt").select("test_id", routines.extract_address(F.col("prompt")).alias("address"))
+
+
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null),
+m as (select doc_id, line_no, upper(regexp_extract(line, '(?i);\s*(TODO|FIXME|HACK|XXX|BUG|NOTE)\s*:?\s*(.+)', 1)) as marker, lower(regexp_extract(line, '(?i);\s*(TODO|FIXME|HACK|XXX|BUG|NOTE)\s*:?\s*(.+)', 2)) as low from l where regexp_matches(line, '(?i);\s*(TODO|FIXME|HACK|XXX|BUG|NOTE)\s*:?\s*(.+)'))
+select doc_id, line_no, marker, case {" ".join(f"when {_any('low', w)} then '{t}'" for t, w in routines.TASKS.items())} else 'unknown' end as task_type from m""")
+def task_cases(spark, d):
+    return routines.task_cases(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "line_no", "marker", "task_type")
+
+
+@query(f"""with s as (select lower(line) as low from (select unnest(string_split(text, chr(10))) as line from documents where kind = 'commit_log') where regexp_matches(line, '^    [A-Z]'))
+select case when {_any("low", ["fix", "bug", "crash", "issue", "regress"])} then 'farore' else 'oos_specialist' end as expert, case {" ".join(f"when {_any('low', w)} then '{n}'" for n, w in routines.SYSTEMS.items())} else 'Core' end as system, count(*) as n from s group by all""")
+def commit_profiles(spark, d):
+    docs = table(spark, d, "documents", "kind", "text").filter("kind = 'commit_log'").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
+    return docs.select(routines.commit_profile(F.col("line")).alias("c")).groupBy("c.expert", "c.system").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with r as (select result_id, min(model) as model, bool_or(passed) as passed, any_value(score) as score, any_value(error) as error from test_results group by 1)
+select model, count(*) as total, count(*) filter (error is null) as attempted, count(*) filter (error is null and passed) as passed, count(*) filter (error is null) - count(*) filter (error is null and passed) as failed, count(*) filter (error is not null) as skipped,
+count(*) filter (error is null and passed) / nullif(count(*) filter (error is null), 0) as pass_rate from r group by model""")
+def validation_summary(spark, d):
+    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "model", "passed", "score", "error", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
+    found = profile.validation_summary(rows, F.col("error").isNull(), F.col("passed"), F.col("score"), classify.error_family(F.col("error")), ["model"])
+    return found.drop("mean_score", "mean_score_valid", "failure_families")
+
+
+@query()
+def expert_rollup(spark, d):
+    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "expert", "score", "passed", "error", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
+    return profile.expert_rollup(rows, "expert", F.col("error"), F.col("score"), F.col("passed"))
+
+
+@query("select r.result_id, coalesce(e.harness_version, 'unknown') as harness_version from (select distinct result_id, run_id from test_results) r left join eval_runs e using (run_id)")
+def lookup_with_default(spark, d):
+    rows = table(spark, d, "test_results", "result_id", "run_id").distinct()
+    return graph.with_default(rows, table(spark, d, "eval_runs", "run_id", "harness_version"), "run_id", "harness_version", "unknown").select("result_id", "harness_version")
+
+
+@query("""with e as (select l_orderkey, l_linenumber, l_quantity from lineitem), t as (select l_orderkey, sum(l_quantity) as quantity, count(*) as n from e group by 1) select o_orderpriority, count(*) as orders, sum(n) as n, sum(quantity) as quantity from orders join t on o_orderkey = l_orderkey group by 1""")
+def order_enrichment(spark, d):
+    """A large equi join after pre-aggregating its larger side."""
+    t = table(spark, d, "lineitem", "l_orderkey", "l_quantity").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
+    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
+    return o.join(t, o.o_orderkey == t.l_orderkey).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))

@@ -14,6 +14,13 @@ def log(spark, rows=None):
 def test_running_average(spark):
     got = {r["tool"]: r for r in events.tool_rollup(log(spark), "tool", F.lit(False), F.col("d"), F.col("seq")).collect()}
     assert abs(got["a"]["running_avg"] - 40 / 3) < 1e-9 and got["a"]["mean_positive"] == 15.0 and got["a"]["calls"] == 3
+    rows = [(k, "u", "t", float(k * 7 % 5) - 1) for k in range(60)]
+    avg = 0.0
+    for k, (_, _, _, d) in enumerate(rows, 1):
+        avg = (avg * (k - 1) + d) / k if d > 0 else avg
+    for part in (None, F.floor(F.col("seq") / 9)):
+        got = events.tool_rollup(log(spark, rows), "tool", F.lit(False), F.col("d"), F.col("seq"), part).first()
+        assert abs(got["running_avg"] - avg) < 1e-9
     one = events.tool_rollup(log(spark, [(1, "u", "x", 0.0)]), "tool", F.lit(False), F.col("d"), F.col("seq")).first()
     assert one["running_avg"] == 0.0
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import asm
 from sparkloom.functions.text import argmax, lines, seeded_uniform, slug, strip
-from sparkloom.operators import classify, curate, dedup, formats, graph, mix, profile, rewrite, segment, validate
+from sparkloom.operators import classify, curate, dedup, formats, graph, mix, profile, rewrite, routines, segment, validate
 from sparkloom.runtime import exact_rank, norm_label
 
 
@@ -209,3 +209,37 @@ def test_formats_and_profile(spark):
     scores = spark.createDataFrame([(0.0,), (0.75,), (0.0,), (0.2,), (0.0,)], "s double")
     r = profile.eval_report(scores, F.col("s"), F.col("s") >= 0.6, F.lit(False), F.lit(0.0)).first()
     assert r["passed"] == 1 and abs(r["avg_score"] - 0.19) < 1e-9 and r["avg_latency"] is None
+
+
+def test_routines(spark):
+    assert one(spark, routines.techniques(F.lit("phb\nplb\nLDX #$07\n.l\nDEX\nBPL .l\nRTL"))) == ["bank switching with data bank register preservation", "long return from subroutine", "loop with counter"]
+    assert one(spark, routines.techniques(F.lit(None).cast("string"))) == []
+    assert one(spark, routines.is_data_only(F.lit("; c\nTab:\n#_01: db 1\n dw 2"))) is True
+    assert one(spark, routines.is_data_only(F.lit("Tab:\n db 1\n RTS"))) is False
+    assert one(spark, routines.is_room_data(F.lit("GFX_x"))) and not one(spark, routines.is_room_data(F.lit("LinkGraphicsX")))
+    assert abs(one(spark, routines.routine_quality(F.lit("\n".join(["JSL Foo"] * 8)), F.lit("spawn_entity"))) - 0.65) < 1e-9
+    assert one(spark, routines.description_to_instruction(F.lit("adds two numbers. ;"))) == "Write a 65816 routine that adds two numbers."
+    assert one(spark, routines.description_to_instruction(F.lit("$12"))) == ""
+    assert one(spark, routines.extract_address(F.lit("at $EE1ED or $02:8000"))) == "$02:8000"
+    assert one(spark, routines.is_long_context(F.lit("lda.l Foo"))) and not one(spark, routines.is_long_context(F.lit("LDA Foo")))
+    df = spark.createDataFrame([(1, "a\n LDA $1 ; TODO: fix the crash\nb"), (2, None)], "id int, text string")
+    t = routines.task_cases(df, "id", "text").first()
+    assert (t["marker"], t["task"], t["task_type"], t["category"], t["difficulty"], t["before"]) == ("TODO", "fix the crash", "bug", "todos", "hard", "a")
+    c = one(spark, routines.commit_profile(F.lit("Fix HUD bug")))
+    assert (c["expert"], c["system"]) == ("farore", "Menu")
+    assert one(spark, routines.explanation(F.lit("LDA $1\nRTS"))) == "This code loads values, returns."
+    r = spark.createDataFrame([(1, "Foo", "JSL Bar\nRTS"), (2, "GFX_a", "RTS"), (3, "Tab", "db 1")], "id int, name string, code string")
+    assert {x["id"] for x in routines.routine_samples(r, "id", "name", "code", F.lit("x")).collect()} == {1}
+
+
+def test_summaries_and_lookups(spark):
+    df = spark.createDataFrame([("m", True, True, 1.0, None), ("m", True, False, 0.5, "label"), ("m", None, None, None, None)], "m string, a boolean, v boolean, s double, f string")
+    r = profile.validation_summary(df, F.col("a"), F.col("v"), F.col("s"), F.col("f"), ["m"]).first()
+    assert (r["total"], r["attempted"], r["passed"], r["failed"], r["skipped"], r["pass_rate"], r["mean_score"], r["failure_families"]) == (3, 2, 1, 1, 1, 0.5, 0.75, 1)
+    e = profile.expert_rollup(df, "m", F.col("f"), F.col("s"), F.col("v")).first()
+    assert (e["calls"], e["share"], e["completed"], e["reasons"]) == (3, 1.0, 1, {"label": 1})
+    look = graph.with_default(df.select("m").distinct(), spark.createDataFrame([("x", "v")], "m string, w string"), "m", "w", "none")
+    assert look.first()["w"] == "none"
+    entries = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    logged = spark.createDataFrame([("a", 1, "kept"), ("a", 2, "purged"), ("b", 1, "kept")], "k string, n int, s string")
+    assert {r["k"]: r["s"] for r in graph.listing_with_state(entries, logged, "k", "n", "s", "purged").collect()} == {"b": "kept", "c": "untracked"}
