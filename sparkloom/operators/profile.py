@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty
@@ -78,6 +79,5 @@ def expert_rollup(df: DataFrame, expert: str, reason: Column, confidence: Column
     reasons = df.filter(reason.isNotNull()).groupBy(expert, short.alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
     reasons = reasons.groupBy(expert).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_r", "_n")))).alias("reasons"))
     each = df.groupBy(expert).agg(F.count(F.lit(1)).alias("calls"), F.count_if(completed).alias("completed"), F.count_if(confidence < 0.5).alias("low_confidence"), F.avg(confidence).alias("mean_confidence"))
-    total = each.agg(F.sum("calls").alias("_t"))
-    shared = each.crossJoin(F.broadcast(total)).withColumn("share", F.col("calls") / F.col("_t")).drop("_t")  # one row
+    shared = each.withColumn("share", F.col("calls") / F.sum("calls").over(W.partitionBy()))  # one row for each expert
     return shared.join(reasons, expert, "left")

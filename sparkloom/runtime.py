@@ -56,6 +56,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row, by an equi join on a constant."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(total.limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def norm_label(column):
     """Dirty labels as compared everywhere: trimmed, lower case, hyphens and blanks as underscores.
 
