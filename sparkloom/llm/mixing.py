@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, cut_lineage, exact_rank, norm_label, seeded
+from ..runtime import broadcast_if_small, cut_lineage, exact_rank, norm_label, seeded, with_total
 
 #: Budget, in units of size, that the knapsack fills exactly after the proportional part.
 KNAPSACK = 1 << 17
@@ -81,7 +81,7 @@ def plan(records: DataFrame, weights: DataFrame) -> DataFrame:
         by_length = one if by_length is None else by_length.unionByName(one)
     asked = weights.select("mix_id", F.lower(F.trim("dimension")).alias("dimension"), "mix_share", "member", "weight", F.coalesce("max_repeats", F.lit(1)).cast("bigint").alias("max_repeats"))
     asked = asked.withColumn("key", norm_label(F.col("member")))
-    joined = asked.join(by_length.filter(F.col("key").isNotNull()), ["dimension", "key"], "left").crossJoin(F.broadcast(total))  # one row
+    joined = with_total(asked.join(by_length.filter(F.col("key").isNotNull()), ["dimension", "key"], "left"), total)
     wanted = F.coalesce(F.col("weight") * F.col("mix_share") * F.col("total"), F.lit(0.0))
     schema = _PLAN.format(m=weights.schema["mix_id"].dataType.simpleString())
     names = [c.split()[0] for c in schema.split(", ")]

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, exact_rank, norm_label, seeded
+from ..runtime import broadcast_if_small, exact_rank, norm_label, seeded, with_total
 
 #: Requests' rows up to which they are sent to every executor; more are joined by shuffle.
 BROADCAST_TARGETS = 100_000
@@ -63,7 +63,7 @@ def shares(pool: DataFrame, targets: DataFrame, id_col: str, category: str = "ca
     counts = records.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("pool_rows"))
     asked = targets.select("request_id", "sample_share", "category", "target_share", F.col("min_rows").cast("bigint").alias("min_rows")).withColumn("_k", norm_label(F.col("category")))
-    known = asked.join(counts, asked["_k"] == counts["_c"], "left").crossJoin(F.broadcast(total))  # one row
+    known = with_total(asked.join(counts, asked["_k"] == counts["_c"], "left"), total)
     wanted = F.coalesce(F.col("target_share") * F.col("sample_share") * F.col("pool_rows"), F.lit(0.0))
     known = known.withColumn("available", F.coalesce("_n", F.lit(0))).withColumn("wanted", wanted)
     known = known.withColumn("short", F.col("available") < F.greatest("wanted", F.coalesce("min_rows", F.lit(0)).cast("double")))
