@@ -41,7 +41,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Only where that setting is absent (single-machine tests) is a temporary folder used.
     """
     sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
