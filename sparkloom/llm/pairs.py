@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .structure import stops_inside, visible
+from .structure import is_code, stops_inside, visible
 from .tiling import tiles
 from .words import HASHES, words
 
@@ -181,6 +181,8 @@ def defect(question: str | None, answer: str | None) -> str | None:
     asked = question_language(question)
     if asked:
         given, score = language(answer)
+        if given and given != asked and "\n" in answer:  # comments of a listing are not the answer's prose
+            given, score = language("\n".join(x for x in answer.split("\n") if not is_code(x)))
         if given and given != asked and score[asked] <= 0.6 * score[given] and score[given] - score[asked] >= 1.5:
             return "other_language"
     return None

@@ -115,7 +115,8 @@ def stops_inside(text: str | None, strict: bool = False) -> str | None:
     if is_code(last) and len(lines) > 1 and not item:
         head = re.sub(r"^[>\s]+", "", last).split()[0].lower()
         if len(lines) > 1 and is_code(lines[-2]) or head in _LEAVES:
-            return None if head in _LEAVES and (head in ("rts", "rtl", "rti", "stp") or len(last.split()) > 1) else "code_block"
+            returns = head in ("rts", "rtl", "rti", "stp")
+            return None if returns or head in _LEAVES and len(last.split()) > 1 and not strict else "code_block"
     tokens = body.split()
     if not item and len(lines) == 1 and len(tokens) <= 5 and len(body) <= 32:
         word = tokens[-1]
