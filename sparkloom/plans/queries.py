@@ -225,10 +225,10 @@ def intent_category(spark, d):
     return table(spark, d, "test_cases", "test_id", "prompt").select("test_id", classify.eval_category(p).alias("category"), classify.intent(p).alias("intent"))
 
 
-@query(f"""with x as (select unnest(string_split(text, chr(10))) as line from documents where kind = 'commit_log'), s as (select lower(line) as low from x where regexp_matches(line, '^    [A-Z]'))
+@query(f"""with x as (select unnest(string_split(text, chr(10))) as line from documents), s as (select lower(line) as low from x where regexp_matches(line, '^    [A-Z]'))
 select case {" ".join(f"when {_any('low', k)} then '{n}'" for n, k in classify.COMMITS.items())} else 'other' end as commit_type, count(*) as n from s group by 1""")
 def commit_types(spark, d):
-    docs = table(spark, d, "documents", "kind", "text").filter("kind = 'commit_log'").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
+    docs = table(spark, d, "documents", "text").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
     return docs.groupBy(classify.commit_type(F.col("line")).alias("commit_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -406,7 +406,7 @@ def context_lines(spark, d):
 
 @query()
 def commented_blocks(spark, d):
-    return segment.commented_blocks(table(spark, d, "documents", "doc_id", "text", "kind").filter("kind = 'asm_source'"), "doc_id", "text")
+    return segment.commented_blocks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query()
@@ -451,7 +451,7 @@ def symbol_enrich(spark, d):
 @query()
 def label_rewrite(spark, d):
     labels = F.regexp_extract_all("text", F.lit(r"JSL ([A-Za-z_][A-Za-z0-9_]*)"), 1)
-    docs = table(spark, d, "documents", "doc_id", "text", "kind").filter("kind = 'asm_source'")
+    docs = table(spark, d, "documents", "doc_id", "text")
     return docs.select("doc_id", rewrite.replace_labels(F.col("text"), labels).alias("rewritten"))
 
 
@@ -472,7 +472,7 @@ def asm_verdict(spark, d):
 
 @query()
 def semantic_score(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text", "kind").filter("kind = 'asm_source'")
+    docs = table(spark, d, "documents", "doc_id", "text")
     return docs.select("doc_id", validate.semantic_score(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
@@ -556,13 +556,13 @@ def kg_neighbours(spark, d):
     return graph.neighbours(n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.lit("in").alias("relation")), "ia").drop("relation")
 
 
-@query("""with o as (select p_partkey, p_brand, p_name from part where p_partkey % 7 = 0), k as (select p_partkey, 'id override' as v, 1 as r from part where p_partkey % 14 = 0)
-select p.p_partkey, case when p.p_partkey % 14 = 0 then 'by id' when p.p_partkey % 7 = 0 then 'by name' else p.p_brand end as p_brand from part p""")
+@query("""with m as (select distinct model, 'model ' || model as v from test_results where model is not null), e as (select distinct expert, 'expert ' || expert as v from test_cases where expert is not null)
+select run_id, coalesce(m.v, e.v, harness_version) as harness_version from eval_runs left join m on m.model = eval_runs.model left join e on e.expert = eval_runs.expert""")
 def override_priority_join(spark, d):
-    parts = table(spark, d, "part", "p_partkey", "p_name", "p_brand").withColumn("alias", F.concat(F.lit("n"), F.col("p_partkey").cast("string")))
-    by_id = parts.filter("p_partkey % 14 = 0").select(F.col("p_partkey").cast("string").alias("override_key"), F.lit("by id").alias("p_brand"))
-    by_name = parts.filter("p_partkey % 7 = 0").select(F.col("alias").alias("override_key"), F.lit("by name").alias("p_brand"))
-    return graph.override(parts, by_id.unionByName(by_name), ["p_partkey", "alias"], "p_partkey", ["p_brand"]).select("p_partkey", "p_brand")
+    by_model = table(spark, d, "test_results", "model").filter("model is not null").distinct().select(F.col("model").alias("override_key"), F.concat(F.lit("model "), F.col("model")).alias("harness_version"))
+    by_expert = table(spark, d, "test_cases", "expert").filter("expert is not null").distinct().select(F.col("expert").alias("override_key"), F.concat(F.lit("expert "), F.col("expert")).alias("harness_version"))
+    runs = table(spark, d, "eval_runs", "run_id", "model", "expert", "harness_version")
+    return graph.override(runs, by_model.unionByName(by_expert), ["model", "expert"], "run_id", ["harness_version"]).select("run_id", "harness_version")
 
 
 @query("""select doc_id, regexp_replace(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substr(sha1(path), 1, 8) as paper_id from documents where path is not null""")
@@ -570,14 +570,14 @@ def paper_ids(spark, d):
     return table(spark, d, "documents", "doc_id", "path").filter("path is not null").select("doc_id", F.concat(slug(F.col("path")), F.lit("-"), F.substring(F.sha1("path"), 1, 8)).alias("paper_id"))
 
 
-@query("""with e as (select doc_id, n_chars as size, md5(text) as h from documents where doc_id % 10 <> 1), a as (select doc_id, case when doc_id % 10 = 2 then n_chars + 1 else n_chars end as size, case when doc_id % 10 = 3 then md5(text || '!') else md5(text) end as h from documents where doc_id % 10 <> 0)
-select coalesce(e.doc_id, a.doc_id) as doc_id, case when a.doc_id is null then 'missing' when e.doc_id is null then 'extra' when e.size is distinct from a.size then 'size_mismatch' when e.h is distinct from a.h then 'corrupted' else 'verified' end as status from e full outer join a on e.doc_id = a.doc_id""")
+@query("""with a as (select run_id, count(distinct result_id)::int as size, min(model) as h from test_results where run_id is not null group by 1)
+select coalesce(e.run_id, a.run_id) as run_id, case when a.run_id is null then 'missing' when e.run_id is null then 'extra' when e.n_tests is distinct from a.size then 'size_mismatch' when e.model is distinct from a.h then 'corrupted' else 'verified' end as status from eval_runs e full outer join a on e.run_id = a.run_id""")
 def manifest_diff(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "n_chars", "text")
-    m = F.col("doc_id") % 10
-    expected = docs.filter(m != 1).select("doc_id", F.col("n_chars").alias("size"), F.md5("text").alias("h"))
-    actual = docs.filter(m != 0).select("doc_id", F.when(m == 2, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.when(m == 3, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("h"))
-    return graph.manifest_diff(expected, actual, "doc_id", "size", "h")
+    """Registered runs against what was delivered of them."""
+    expected = table(spark, d, "eval_runs", "run_id", "n_tests", "model").select("run_id", F.col("n_tests").alias("size"), F.col("model").alias("h"))
+    results = table(spark, d, "test_results", "run_id", "result_id", "model").filter("run_id is not null")
+    actual = results.groupBy("run_id").agg(F.count_distinct("result_id").cast("int").alias("size"), F.min("model").alias("h"))
+    return graph.manifest_diff(expected, actual, "run_id", "size", "h")
 
 
 @query("""select project, count(*) as files, sum(n_chars) as bytes, max(updated_at) as latest from documents where project is not null group by project having count(*) filter (split_part(path, '/', -1) in ('hud_util.asm', 'room_core.asm')) > 0""")
@@ -636,10 +636,10 @@ def task_cases(spark, d):
     return routines.task_cases(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "line_no", "marker", "task_type")
 
 
-@query(f"""with s as (select lower(line) as low from (select unnest(string_split(text, chr(10))) as line from documents where kind = 'commit_log') where regexp_matches(line, '^    [A-Z]'))
+@query(f"""with s as (select lower(line) as low from (select unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '^    [A-Z]'))
 select case when {_any("low", ["fix", "bug", "crash", "issue", "regress"])} then 'farore' else 'oos_specialist' end as expert, case {" ".join(f"when {_any('low', w)} then '{n}'" for n, w in routines.SYSTEMS.items())} else 'Core' end as system, count(*) as n from s group by all""")
 def commit_profiles(spark, d):
-    docs = table(spark, d, "documents", "kind", "text").filter("kind = 'commit_log'").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
+    docs = table(spark, d, "documents", "text").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
     return docs.select(routines.commit_profile(F.col("line")).alias("c")).groupBy("c.expert", "c.system").agg(F.count(F.lit(1)).alias("n"))
 
 
