@@ -21,6 +21,12 @@ _MNEMONIC = re.compile(r"^[A-Z]{3}$|^[a-z]{3}$")
 _LEAVES = {"rts", "rtl", "rti", "jmp", "jml", "bra", "brl", "stp"}
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）"}
 _CLOSERS = {")", "]", "}", "”", "»", "」", "』", "）"}
+_MARKS = re.compile("[" + re.escape("".join({*_PAIRS, *_CLOSERS, '"'})) + "]")
+# What stands in brackets or quotation marks without opening one: code spans, single quoted marks, half-open intervals.
+_SPAN = re.compile(r"`[^`\n]*`|(['\"])[()\[\]{}<>'\"“”„«»]\1")
+_INTERVAL = re.compile(r"\[[^\[\](),\n]{1,40},[^\[\](),\n]{1,40}\)|\([^\[\](),\n]{1,40},[^\[\](),\n]{1,40}\]")
+# Elements that end where the next one of their kind begins.
+_IMPLIED = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "blank", "none", "empty", "wbr", "source", "col"}
 # Words that no answer ends with.
@@ -46,7 +52,8 @@ def open_at_end(text: str) -> list[str]:
     paragraph, so one that is never closed does not hide what follows.
     """
     stack: list[str] = []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    for at, line in enumerate(lines):
         if line.count("```") % 2 or line.lstrip("> \t").startswith("~~~"):
             if stack and stack[-1] == "fence":
                 stack.pop()
@@ -58,28 +65,48 @@ def open_at_end(text: str) -> list[str]:
         if not line.strip():
             stack = [s for s in stack if s[0] == "<"]
             continue
-        straight = 0
-        for ch in line:
-            if stack and len(stack[-1]) == 1 and _PAIRS.get(stack[-1]) == ch:
+        before = list(stack)
+        if "`" in line or "'" in line or '"' in line:
+            line = _SPAN.sub(" ", line)
+        marks = line
+        if "," in line and ("[" in line or "]" in line):
+            marks = _INTERVAL.sub(" ", line)
+        quoted = '"' in stack
+        for mark in _MARKS.finditer(marks):
+            ch = mark.group()
+            # A mark that may also close opens only before a word; a quotation can end in a later paragraph.
+            opens = marks[mark.end() : mark.end() + 1].strip(" \t.,;:!?)]") != ""
+            if ch == '"':  # after a digit it is a measure, unless it closes a quotation
+                if quoted or opens and not marks[max(0, mark.start() - 1) : mark.start()].isdigit():
+                    quoted = not quoted
+            elif stack and ch in _closers(stack[-1]):
                 stack.pop()
+            elif ch in "“»" and not ("«" in stack and ch == "»"):
+                stack.extend(ch if opens else "")
             elif ch in _PAIRS:
                 stack.append(ch)
-            elif ch in _CLOSERS and any(_PAIRS.get(s) == ch for s in stack):
-                while stack and _PAIRS.get(stack.pop()) != ch:
+            elif ch in _CLOSERS and any(ch in _closers(s) for s in stack):
+                while stack and ch not in _closers(stack.pop()):
                     pass
-            straight += ch == '"'
-        if straight % 2:
-            stack.pop() if stack and stack[-1] == '"' else stack.append('"')
+        if quoted != ('"' in stack):
+            stack.append('"') if quoted else stack.remove('"')
         if "<" in line:
             for close, name, single in _TAG.findall(line):
                 tag = f"<{name.lower()}>"
                 if close and tag in stack:
                     del stack[len(stack) - 1 - stack[::-1].index(tag) :]
-                elif not close and not single and name.lower() not in _VOID and f"</{name}" in text:
+                elif not close and not single and name.lower() not in _VOID and f"</{name}" in text and not (stack[-1:] == [tag] and name.lower() in _IMPLIED):
                     stack.append(tag)
+        if len(stack) > len(before) and at + 1 < len(lines) and is_code(line):
+            stack = before  # an instruction ends with its line
     return stack
 
 
+def _closers(opener: str) -> str:
+    """The marks that close an opening one; low quotation marks have two, guillemets may point inwards."""
+    return "“”" if opener == "„" else "«" if opener == "»" else _PAIRS.get(opener, "")
+
+
 def is_code(line: str) -> bool:
     """Whether a line reads as one instruction or label of an assembly listing."""
     return bool(_CODE.match(line))
@@ -88,7 +115,8 @@ def is_code(line: str) -> bool:
 def stops_inside(text: str | None, strict: bool = False) -> str | None:
     """What a text stops inside: code_block, word, list_item, sentence, mark, or None if it is complete.
 
-    A text with nothing visible is complete here (it is empty, not cut). With ``strict`` (the length
+    A text with nothing visible is complete here (it is empty, not cut). One that leaves a bracket, a
+    quotation or markup open is cut, whatever it ends with. With ``strict`` (the length
     speaks for a cut) an unpunctuated short answer is not let pass.
     """
     text = visible(text)
@@ -104,9 +132,11 @@ def stops_inside(text: str | None, strict: bool = False) -> str | None:
         return "code_block"
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1].strip()
+    item = _ITEM.match(last)
+    if stack:
+        return "list_item" if item else "code_block" if len(lines) > 1 and is_code(last) else "sentence"
     if last.endswith(("```", "~~~")):
         return None
-    item = _ITEM.match(last)
     body = last[item.end() :] if item else last
     if item and not body.strip():
         return "list_item"
