@@ -117,41 +117,45 @@ def stops_inside(text: str | None, strict: bool = False) -> str | None:
 
     A text with nothing visible is complete here (it is empty, not cut). One that leaves a bracket, a
     quotation or markup open is cut, whatever it ends with. With ``strict`` (the length
-    speaks for a cut) an unpunctuated short answer is not let pass.
+    speaks for a cut) a jump's operand or a full stop after half a file name is not let pass.
     """
+    return endings(text)[strict]
+
+
+def endings(text: str | None) -> tuple[str | None, str | None]:
+    """What :func:`stops_inside` says without and with ``strict``, from one parse."""
     text = visible(text)
     tail = max(0, len(text) - 48)
     mark = _CUT_MARK.search(text, tail)
     if mark:
         rest = visible(text[: mark.start()])
-        return "mark" if any(c.isalnum() for c in rest) else None
+        return ("mark",) * 2 if any(c.isalnum() for c in rest) else (None, None)
     if not any(c.isalnum() for c in text):
-        return None
+        return None, None
     stack = open_at_end(text)
     if stack and stack[-1] == "fence":
-        return "code_block"
+        return ("code_block",) * 2
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1].strip()
     item = _ITEM.match(last)
     if stack:
-        return "list_item" if item else "code_block" if len(lines) > 1 and is_code(last) else "sentence"
+        return ("list_item" if item else "code_block" if len(lines) > 1 and is_code(last) else "sentence",) * 2
     if last.endswith(("```", "~~~")):
-        return None
+        return None, None
     body = last[item.end() :] if item else last
     if item and not body.strip():
-        return "list_item"
+        return ("list_item",) * 2
     if _END.search(body):
-        return "word" if strict and _STUB.search(body) else None
+        return None, "word" if _STUB.search(body) else None
     if is_code(last) and len(lines) > 1 and not item:
         head = re.sub(r"^[>\s]+", "", last).split()[0].lower()
         if len(lines) > 1 and is_code(lines[-2]) or head in _LEAVES:
             returns = head in ("rts", "rtl", "rti", "stp")
-            return None if returns or head in _LEAVES and len(last.split()) > 1 and not strict else "code_block"
+            return None if returns or head in _LEAVES and len(last.split()) > 1 else "code_block", None if returns else "code_block"
     tokens = body.split()
+    inside = "list_item" if item else "sentence" if body[-1] in ",;:" or len(tokens) > 1 else "word"
     if not item and len(lines) == 1 and len(tokens) <= 5 and len(body) <= 32:
         word = tokens[-1]
         if body[-1] not in ",;:-/([{" and word.lower() not in _DANGLING and text[-1:] == body[-1:]:
-            return None
-    if item:
-        return "list_item"
-    return "sentence" if body[-1] in ",;:" or len(tokens) > 1 else "word"
+            return None, None  # short answers repeat, so their lengths are frequent without any cut
+    return inside, inside
