@@ -124,8 +124,6 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Whether an answer declines and gives none: each sentence declines or is a short aside."""
-    if len(answer) > 600:
-        return False
     text = visible(answer.replace("’", "'"))
     low = text.lower()
     if not any(stem in low for stem in _STEMS) or not _DECLINED.search(text):
