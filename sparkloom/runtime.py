@@ -38,15 +38,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def cut_lineage(df: DataFrame) -> DataFrame:
     """An eager, reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) is a temporary folder used.
+    Where that setting is absent a temporary folder is used on a single machine; a cluster is refused, as
+    its executors share no such folder.
     """
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a scan gives fewer tasks than there are cores, before Python stages.
+
+    A small file is one task; a table of many splits is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it is measured to hold at most ``max_rows`` rows, else ``df``.
 
@@ -57,8 +69,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
-    """``df`` with the columns of a table of one row, by an equi join on a constant."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(total.limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """``df`` with the columns of a table of one row, by a cross join with that broadcast row."""
+    return df.crossJoin(F.broadcast(total.limit(1)))
 
 
 def norm_label(column):
