@@ -3,138 +3,37 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .structure import is_code, stops_inside, visible
+from ..runtime import spread
+from .endings import EndModel, fit_ends
+from .languages import Languages
+from .lengths import length_limits
+from .refusals import is_refusal
+from .structure import endings, visible
 from .tiling import tiles
-from .words import HASHES, words
+from .words import HASHES, each_word, words
 
 # What stands in for a missing answer, as words.
 _STAND_INS = set(
     "n a|na|none|null|nil|nan|nul|tbd|tba|todo|empty|blank|void|undefined|missing|unknown|no output|no answer|no response|no content|no data|no text|not available|not applicable|"
     "output|answer|response|placeholder|leer|keine antwort|vide|aucune réponse|vacío|sin respuesta|vazio|sem resposta|k a|n d|s o|なし|無し|未定".split("|")
 )
+_LONGEST_STAND_IN = max(len(x.split()) for x in _STAND_INS)
+_FENCE_MARK = re.compile("```[a-z]*")
+#: Questions whose language a task remembers, as many answers share one.
+_QUESTIONS_KEPT = 20_000
 _LEAD = re.compile(r"\W*(?:\w+ ){0,4}\w+:\s+")
 _WRAPPER_LINE = re.compile(r"^\s*(?:#{1,6}\s*)?\W*(?:question|instruction|prompt|input|task|user|human|q|request|query|response|answer|assistant|output)\W*$", re.I)
 
-# Phrases in which an answer is declined; an answer of nothing but such sentences is a refusal.
-_DECLINED = re.compile(
-    r"\b(?:i|we|the assistant|the model)\b[^.]{0,24}?\b(?:can'?t|cannot|can not|could not|couldn'?t|won'?t|will not|unable|not able|not allowed|not permitted|not going|not in a position|not comfortable)\s+(?:be able\s+)?(?:to\s+)?(?:\w+\s+)?(?:help|assist|answer|write|provide|comply|produce|respond|discuss|generate|fulfil|fulfill|do that|do this|continue|share|complete|give)\b"
-    r"|\bunable to (?:help|assist|answer|comply|respond|provide)\b"
-    r"|\b(?:i|we) (?:must|have to|need to|will have to) (?:pass|decline|refuse|skip)\b|\b(?:has|have|had|needs?) to be (?:declined|refused|rejected)\b|\b(?:i|we) (?:decline|refuse)\b"
-    r"|\bchosen to (?:skip|decline|pass)\b|\boutside (?:of )?(?:what i|my|the scope)\b|\babove my pay grade\b|\bno answer (?:can|will) be given\b|\binappropriate for me\b"
-    r"|\b(?:i'?d|i would|we would) rather not\b|\b(?:do not|don'?t) have (?:enough|sufficient) information to (?:respond|answer)\b|\blet us talk about something (?:other|else)\b|\blet'?s talk about something (?:other|else)\b|\bnot touching\b"
-    r"|\b(?:kann|darf|möchte|werde|muss)\b[^.]{0,30}\bich\b[^.]{0,40}\b(?:nicht|nichts|keine|ablehnen)\b|\bich (?:kann|darf|möchte|werde|muss)\b[^.]{0,60}\b(?:nicht|nichts|keine|ablehnen)\b|\bbin ich nicht (?:in der lage|befugt)\b|\bich bin nicht (?:in der lage|befugt)\b|\banfrage\b[^.]{0,30}\bab(?:lehnen|gelehnt)\b"
-    r"|\bje ne (?:peux|suis|puis|veux|dois|saurais)\b[^.]{0,60}\b(?:aider|répondre|pas en mesure|continuer|écrire|autorisé|dire)\b|\b(?:doit|dois) (?:être )?(?:refus|déclin)\w*|\bje (?:refuse|décline|préfère ne pas)\b"
-    r"|\bno (?:puedo|podemos|estoy|me es posible|voy a|debo)\b[^.]{0,60}\b(?:ayudar|responder|condiciones|autorizad[oa]|escribir|continuar|contestar)\b|\bdebo (?:rechazar|declinar)\b|\bprefiero no\b"
-    r"|\bnão (?:posso|podemos|estou|consigo|vou|devo)\b[^.]{0,60}\b(?:ajudar|responder|condições|autorizad[oa]|escrever|continuar)\b|\b(?:devo|tenho de|preciso) recusar\b|\b(?:precisa|deve|tem de) ser recusad[oa]\b|\bprefiro não\b"
-    r"|(?:お答え|回答|お手伝い|対応)[^。]{0,12}(?:できません|できかねます|いたしかねます)|申し訳(?:ありません|ございません)|お断り",
-    re.I,
-)
-# Each phrase above holds one of these.
-_STEMS = (
-    "can't|cannot|cant |can not|could not|couldn't|couldnt|won't|wont |will not|unable|not able|not allowed|not permitted|not going|not in a position|not comfortable|must |have to|need to|to be |decline|refus|chosen to|outside|pay grade|answer |inappropriate|rather not|information to|talk about|not touching|"
-    "nicht|keine|ablehn|abgelehnt|je ne|déclin|préfère ne|puedo|podemos|estoy|no me es|no voy|no debo|debo |prefiero no|não|recus|でき|いたし|申し訳|お断り"
-).split("|")
-_TECHNICAL = re.compile(r"[$#]\w|```|\b[A-Z]{3} [$#(]|\w\(")
-#: Words that sentences beside the refusal itself may have in all, such as a pointer to someone else.
-_ASIDE_WORDS = 16
-
-# Frequent words by language.
-_LANGUAGE_WORDS = {
-    "en": "the and of to in is that with for when which a an on by from at it this these what how does do before after as not are into while because than then per each every only once so out list write explain show where why describe step through code use uses find name state annotate review summarise summarize give between without block returns return should document part new plain walk",
-    "de": "der die das und ist von nach wenn den dem des ein eine einen einem nicht mit zu zum zur auf für im wird werden wurde weil damit danach darf sind bei aus vor noch einmal ob wie was warum macht dieser diese dieses welche schreibe erkläre beschreibe zeige liegt nur sich wir haben hat soll den jeder alte um folgenden schritt nutzt ergab vorher doppelt viel zeilen messung abschnitt",
-    "fr": "le la les et est des du de que pour dans une un au aux avant après sur par avec sans quand si ne pas plus qui ce cette ces vers depuis chaque nous avons car puis encore fait faire écris explique décris comment pourquoi quel quelle utilise pendant se où sont doit montre liste d'abord deux fois code suivant l'entrée",
-    "es": "el los las y es del que para en una un con al antes después cuando por su se lo si la sin cada nos hemos porque luego qué cómo quién esta este usa desde hacia durante muestra escribe explica describe sigue vale toca tras entrada más le ya mitad rutina hace otra vez sobre debe de queda paso pasos siguiente código listado fragmento sacado cuál cuáles",
-    "pt": "o os as e é do da dos das que para em uma um com não ao aos antes depois quando por seu se sem cada mudamos porque até qual esta este usa desde durante mostra escreva explique descreva vale após no na nos nas pela pelo mais já metade rotina faz fica são código seguir passo passos tirado trecho deixa",
-    "it": "il lo gli e è della delle dei che per una un con non prima dopo quando nella nel sono alla ogni perché senza come cosa questa questo scrivi spiega",
-    "nl": "de het een en van is dat voor met niet op te zijn wordt naar wanneer voordat nadat deze dit wat hoe waarom schrijf leg bij uit aan om maar",
-}
-_LANGUAGES = {w: [k for k, ws in _LANGUAGE_WORDS.items() if w in ws.split()] for ws in _LANGUAGE_WORDS.values() for w in ws.split()}
-_LETTERS = {"es": "¿¡ñ", "pt": "ãõ", "de": "ßäöü", "fr": "èêàœùëîï", "es pt": "íú", "fr pt": "ç"}
-_SCRIPTS = [(re.compile(p), k) for p, k in (("[぀-ヿㇰ-ㇿｦ-ﾟ]", "ja"), ("[가-힯ᄀ-ᇿ]", "ko"), ("[Ѐ-ӿ]", "cyrl"), ("[؀-ۿ]", "arab"), ("[֐-׿]", "hebr"), ("[ऀ-ॿ]", "deva"), ("[Ͱ-Ͽ]", "grek"), ("[฀-๿]", "thai"), ("[一-鿿]", "zh"))]
-_OTHER_SCRIPT = re.compile("[Ͱ-ࣿऀ-ᇿ぀-鿿가-힯ｦ-ﾟ]")
-_FENCED = re.compile(r"```.*?(?:```|$)", re.S)
-_QUOTED = re.compile(r"[“„][^”“\n]*[”“]|«[^»\n]*»|\"[^\"\n]*\"|`[^`\n]*`|「[^」\n]*」|『[^』\n]*』")
-_PUNCTUATION = ".,;:!?¡¿()[]{}…*-–—_>"
-_QUESTIONS: dict[str, str | None] = {}
-_QUESTIONS_KEPT = 20_000
-
-
-def prose(text: str) -> str:
-    """The text without code blocks and quotations."""
-    if "`" in text:
-        text = _FENCED.sub("\n", text)
-    return _QUOTED.sub(" ", text) if "“" in text or "„" in text or '"' in text or "«" in text or "`" in text or "「" in text or "『" in text else text
-
-
-def language(text: str | None) -> tuple[str | None, Counter]:
-    """The language of a text's prose and the evidence by language; None if there is too little.
-
-    Other scripts than the Latin one are counted by letter. For the Latin one the evidence is frequent
-    words, less for a word that several languages share, and letters; names of routines, registers and
-    instructions are no words here.
-    """
-    if not text:
-        return None, Counter()
-    text = prose(text)
-    score: Counter = Counter()
-    if not text.isascii():
-        if _OTHER_SCRIPT.search(text):
-            letters = sum(map(str.isalpha, text))
-            for pattern, name in _SCRIPTS:
-                n = len(pattern.findall(text))
-                if n >= 4 and n >= 0.25 * letters:
-                    return name, Counter({name: n})
-        for names, chars in _LETTERS.items():
-            n = min(3, sum(map(text.count, chars)))
-            for k in names.split() if n else ():
-                score[k] += n * (1.0 if names in ("es", "pt") else 0.4)
-    for token in (text.lower() if text.isupper() else text).split():
-        w = token.strip(_PUNCTUATION)
-        if w.isalpha() and (w.islower() or w.istitle()) and (known := _LANGUAGES.get(w.lower())):
-            for k in known:
-                score[k] += 1 / len(known)
-    if not score:
-        return None, score
-    (best, a), *rest = score.most_common(2)
-    return (best if a >= 1.5 and a >= 1.4 * (rest[0][1] if rest else 0) else None), score
-
-
-def question_language(text: str | None) -> str | None:
-    """The language of a question, remembered, as many answers share one."""
-    if not text:
-        return None
-    if text not in _QUESTIONS:
-        if len(_QUESTIONS) >= _QUESTIONS_KEPT:
-            _QUESTIONS.clear()
-        _QUESTIONS[text] = language(text)[0]
-    return _QUESTIONS[text]
-
-
 def is_empty(answer: str | None) -> bool:
     """No answer: nothing visible, mere marks, or a stand-in for a missing value."""
-    ws = words(visible(answer))
-    return not ws or ws in (["asm"], ["text"], ["code"]) and not re.search(r"[^\W_]", re.sub("```[a-z]*", "", answer)) or len(ws) <= 3 and " ".join(ws) in _STAND_INS and len(visible(answer)) <= 24
-
-
-def is_refusal(answer: str) -> bool:
-    """Whether an answer declines and gives none: each sentence declines or is a short aside."""
-    text = visible(answer.replace("’", "'"))
-    low = text.lower()
-    if not any(stem in low for stem in _STEMS) or not _DECLINED.search(text):
-        return False
-    aside = 0
-    for sentence in re.split(r"(?<=[.!?。])\s*(?=\S)(?!asm\b)|\n+", text):
-        if not _DECLINED.search(sentence):
-            aside += len(words(sentence))
-            if _TECHNICAL.search(sentence):
-                return False
-    return aside <= _ASIDE_WORDS
+    ws = list(islice(each_word(answer), _LONGEST_STAND_IN + 1))
+    return not ws or " ".join(ws) in _STAND_INS or not re.search(r"[^\W_]", _FENCE_MARK.sub("", answer)) if len(ws) <= _LONGEST_STAND_IN else False
 
 
 def is_echo(answer: str, question: str) -> bool:
@@ -144,7 +43,11 @@ def is_echo(answer: str, question: str) -> bool:
     heading) are left out first. What one tiling does not cover is tiled again. A short excerpt of the
     question can be a sound answer; words of the answer's own at its end make it one.
     """
-    kept = "\n".join(x for x in answer.split("\n") if not _WRAPPER_LINE.match(x))
+    lines = answer.split("\n")
+    end = next((w for x in reversed(lines) if not _WRAPPER_LINE.match(x) for w in words(x)[-1:]), None)
+    if end is None or end not in question.lower():
+        return False  # words of its own at the end
+    kept = "\n".join(x for x in lines if not _WRAPPER_LINE.match(x))
     q = words(question)
     options = [kept]
     if lead := _LEAD.match(kept):
@@ -166,41 +69,77 @@ def is_echo(answer: str, question: str) -> bool:
     return False
 
 
-def defect(question: str | None, answer: str | None) -> str | None:
-    """empty, echo, refusal, truncated or other_language, the first that holds; None for a sound answer."""
+def defects(question: str | None, answer: str | None, ends: EndModel | None = None, languages: Languages | None = None, asked: tuple[str, ...] = ()) -> tuple[str | None, str | None]:
+    """What :func:`defect` says of an answer at any length, and of one at a significant length of its source."""
     if is_empty(answer):
-        return "empty"
+        return ("empty",) * 2
     if question and is_echo(answer, question):
-        return "echo"
+        return ("echo",) * 2
     if is_refusal(answer):
-        return "refusal"
-    if stops_inside(answer):
-        return "truncated"
-    asked = question_language(question)
-    if asked:
-        given, score = language(answer)
-        if given and given != asked and "\n" in answer:  # comments of a listing are not the answer's prose
-            given, score = language("\n".join(x for x in answer.split("\n") if not is_code(x)))
-        if given and given != asked and score[asked] <= 0.6 * score[given] and score[given] - score[asked] >= 1.5:
-            return "other_language"
-    return None
-
-
-def broken_pairs(df: DataFrame, id_col: str, question_col: str, answer_col: str) -> DataFrame:
+        return ("refusal",) * 2
+    sure, at_limit = endings(answer, ends)
+    other = None
+    if not sure and asked and languages and languages.differs(asked, answer):
+        other = "other_language"
+    return "truncated" if sure else other, "truncated" if at_limit else other
+
+
+def defect(question: str | None, answer: str | None, ends: EndModel | None = None, languages: Languages | None = None) -> str | None:
+    """empty, echo, refusal, truncated or other_language, the first that holds; None for a sound answer.
+
+    Without ``ends`` every ending without a mark is a cut, without ``languages`` no language is told.
+    """
+    return defects(question, answer, ends, languages, languages.plausible(question) if languages else ())[0]
+
+
+def broken_pairs(
+    df: DataFrame,
+    id_col: str,
+    question_col: str,
+    answer_col: str,
+    languages: Languages | None = None,
+    ends: EndModel | None = None,
+    source: str | None = None,
+) -> DataFrame:
     """(``id_col``, defect) of each distinct id whose answer is defective.
 
-    Without a question (null or empty) only the answer counts: neither ``echo`` nor ``other_language``
-    is given then. A null answer is ``empty``. Rows with a null id are left out; of rows that share an
-    id the first defect in alphabetical order stands. Texts are read whole; only ids and defects of
-    defective rows are shuffled.
+    ``ends`` is fitted on the answers themselves if it is not given. With a ``source`` an answer that is
+    complete but for its closing mark is ``truncated`` if its length is significant for its source, as in
+    :func:`.truncation.truncated_texts`. Without a question (null or empty) only the answer counts: neither
+    ``echo`` nor ``other_language`` is given then. A null answer is ``empty``. Rows with a null id are left
+    out; of rows that share an id the first defect in alphabetical order stands. Texts are read whole;
+    only ids, lengths and defects are shuffled. Other columns are ignored.
     """
-    schema = f"{id_col} {df.select(id_col).schema[0].dataType.simpleString()}, defect string"
+    if ends is None:
+        ends = fit_ends(df, id_col, answer_col)
+    shared = df.sparkSession.sparkContext.broadcast((ends, languages))
+    kind = lambda c: df.select(c).schema[0].dataType.simpleString()
+    schema = f"_id {kind(id_col)}, _source {kind(source) if source else 'string'}, _n int, _plain string, _limit string"
 
     def run(batches):
+        ends, languages = shared.value
+        asked: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            found = [defect(q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            rows = [k for k, x in enumerate(found) if x]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([found[k] for k in rows], pa.string())], [id_col, "defect"])
-
-    found = df.select(id_col, question_col, answer_col).mapInArrow(run, schema)
-    return found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("defect").alias("defect"))
+            found, rows = [], []
+            answers = batch.column(3).to_pylist()
+            for k, (question, answer) in enumerate(zip(batch.column(2).to_pylist(), answers)):
+                if languages and question and question not in asked:
+                    if len(asked) >= _QUESTIONS_KEPT:
+                        asked.clear()
+                    asked[question] = languages.plausible(question)
+                one = defects(question, answer, ends, languages, asked.get(question, ()))
+                if one[0] or one[1]:
+                    found.append(one)
+                    rows.append(k)
+            at = pa.array(rows, pa.int64())
+            lengths = pa.array([len(answers[k] or "") for k in rows], pa.int32())
+            plain, limit = (pa.array([x[s] for x in found], pa.string()) for s in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lengths, plain, limit], ["_id", "_source", "_n", "_plain", "_limit"])
+
+    flat = df.select(F.col(id_col).alias("_id"), (F.col(source) if source else F.lit(None).cast("string")).alias("_source"), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"))
+    found = spread(flat).mapInArrow(run, schema).filter(F.col("_id").isNotNull())
+    if source:
+        lengths = flat.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.min(F.struct("_source", F.length("_a").alias("_n"))).alias("r")).select("r.*")
+        limits = length_limits(lengths, "_source", "_n").select("_source", "_n", F.lit(True).alias("_hit"))
+        found = found.join(limits, ["_source", "_n"], "left").withColumn("_plain", F.when(F.col("_hit"), F.col("_limit")).otherwise(F.col("_plain")))
+    return found.filter(F.col("_plain").isNotNull()).groupBy(F.col("_id").alias(id_col)).agg(F.min("_plain").alias("defect"))

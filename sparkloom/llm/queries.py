@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, norm_label, table
+from .languages import fit_languages
 from .leakage import leaked_passages
 from .mixing import mix_records, mix_to_weights, plan, report
 from .nearduplicates import near_duplicate_groups, near_duplicate_pairs
@@ -80,8 +81,9 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    library = broken_pairs(table(spark, d, "pattern_library"), "rec_id", "instruction", "output")
-    results = broken_pairs(_answers(spark, d), "result_id", "prompt", "response")
+    languages = fit_languages(table(spark, d, "documents", "doc_id", "lang", "text"))
+    library = broken_pairs(table(spark, d, "pattern_library"), "rec_id", "instruction", "output", languages)
+    results = broken_pairs(_answers(spark, d), "result_id", "prompt", "response", languages, source="model")
     named = lambda df, name, key: df.select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), "defect")
     return named(library, "pattern_library", "rec_id").unionByName(named(results, "test_results", "result_id"))
 

@@ -6,11 +6,16 @@ import re
 
 #: Characters that show nothing: white space, format and filler characters.
 INVISIBLE = "\\s­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ\x00-\x1f"
-_EDGE = re.compile(f"^[{INVISIBLE}]+|[{INVISIBLE}]+$")
+_EDGES = "".join(filter(re.compile(f"[{INVISIBLE}]").match, map(chr, range(0x10000))))
 _CUT_MARK = re.compile(
-    r"(?:\.{3,}|…|‥|⋯|[\[(<{*]*\s*(?:truncated|cut(?: off| short)?|continued|continues|cont|snip(?:ped)?|incomplete|output limit|max(?:imum)? (?:tokens|length)|length limit|end of stream|eos|\.\.\.|…)[^\w\[(<{]{0,3}[\])>}*]+)$",
+    r"(?:\.{3,}|…|‥|⋯|[\[(<{*]*\s*(?:truncated|cut(?: off| short)?|continued|continues|cont|snip(?:ped)?|incomplete|output limit|max(?:imum)? (?:tokens|length)|length limit|end of stream|eos|\.\.\.|…)[^\w\[(<{]*[\])>}*])$",
     re.I,
 )
+#: Characters that a text with a cut mark may end with.
+_MARK_ENDS = ("...", "…", "‥", "⋯", "]", ")", ">", "}", "*")
+_OPENERS = re.compile(r"[(\[{“„«»「『（\"<`]|^[> \t]*~~~", re.M)
+#: A line of nothing but a heading, which the text after it would have to follow.
+_BARE_HEADING = re.compile(r"^\s*#{1,6}\s+\S[^.!?]*$")
 _END = re.compile(r"[.!?。！？‽؟।][\"'’”»«)\]}」』*_~`]*$")
 _FENCE = re.compile(r"^\s*(?:>\s*)*(`{3,}|~{3,})")
 _ITEM = re.compile(r"^\s*(?:>\s*)*(?:[-*+•‣–]|\(?(?:\d{1,3}|[a-zA-Z])[.)])(?:\s+|$)")
@@ -41,7 +46,7 @@ _DANGLING = set(
 
 def visible(text: str | None) -> str:
     """The text without white space and invisible characters at either end."""
-    return _EDGE.sub("", text) if text else ""
+    return text.strip(_EDGES) if text else ""
 
 
 def open_at_end(text: str) -> list[str]:
@@ -52,6 +57,8 @@ def open_at_end(text: str) -> list[str]:
     paragraph, so one that is never closed does not hide what follows.
     """
     stack: list[str] = []
+    if not _OPENERS.search(text):
+        return stack
     lines = text.split("\n")
     for at, line in enumerate(lines):
         if line.count("```") % 2 or line.lstrip("> \t").startswith("~~~"):
@@ -112,30 +119,38 @@ def is_code(line: str) -> bool:
     return bool(_CODE.match(line))
 
 
-def stops_inside(text: str | None, strict: bool = False) -> str | None:
+def stops_inside(text: str | None, strict: bool = False, ends=None) -> str | None:
     """What a text stops inside: code_block, word, list_item, sentence, mark, or None if it is complete.
 
-    A text with nothing visible is complete here (it is empty, not cut). One that leaves a bracket, a
-    quotation or markup open is cut, whatever it ends with. With ``strict`` (the length
-    speaks for a cut) a jump's operand or a full stop after half a file name is not let pass.
+    With ``strict`` the length speaks for a cut; see :func:`endings`.
     """
-    return endings(text)[strict]
+    return endings(text, ends)[strict]
 
 
-def endings(text: str | None) -> tuple[str | None, str | None]:
-    """What :func:`stops_inside` says without and with ``strict``, from one parse."""
+def endings(text: str | None, ends=None) -> tuple[str | None, str | None]:
+    """What a text surely stops inside, and what it stops inside if its length speaks for a cut.
+
+    A text with nothing visible is complete here (it is empty, not cut). One that ends with a cut mark or
+    leaves a code block, bracket, quotation or markup open is cut. So is one that ends without a mark, but
+    for whole sentences by the classifier ``ends`` (see :class:`.endings.EndModel`), which like a jump's
+    operand or a full stop after half a file name are cut only at a length that speaks for it. Without
+    ``ends`` every ending without a mark is a cut. Headings at the end that nothing follows are left out.
+    """
     text = visible(text)
-    tail = max(0, len(text) - 48)
-    mark = _CUT_MARK.search(text, tail)
-    if mark:
-        rest = visible(text[: mark.start()])
-        return ("mark",) * 2 if any(c.isalnum() for c in rest) else (None, None)
+    if text.endswith(_MARK_ENDS):
+        line = text.rfind("\n") + 1
+        mark = _CUT_MARK.search(text, line)
+        if mark:
+            rest = visible(text[: mark.start()])
+            return ("mark",) * 2 if any(c.isalnum() for c in rest) else (None, None)
     if not any(c.isalnum() for c in text):
         return None, None
     stack = open_at_end(text)
     if stack and stack[-1] == "fence":
         return ("code_block",) * 2
     lines = [x for x in text.split("\n") if x.strip()]
+    while len(lines) > 1 and _BARE_HEADING.match(lines[-1]):
+        lines.pop()
     last = lines[-1].strip()
     item = _ITEM.match(last)
     if stack:
@@ -149,13 +164,15 @@ def endings(text: str | None) -> tuple[str | None, str | None]:
         return None, "word" if _STUB.search(body) else None
     if is_code(last) and len(lines) > 1 and not item:
         head = re.sub(r"^[>\s]+", "", last).split()[0].lower()
-        if len(lines) > 1 and is_code(lines[-2]) or head in _LEAVES:
+        if is_code(lines[-2]) or head in _LEAVES:
             returns = head in ("rts", "rtl", "rti", "stp")
             return None if returns or head in _LEAVES and len(last.split()) > 1 else "code_block", None if returns else "code_block"
     tokens = body.split()
     inside = "list_item" if item else "sentence" if body[-1] in ",;:" or len(tokens) > 1 else "word"
     if not item and len(lines) == 1 and len(tokens) <= 5 and len(body) <= 32:
         word = tokens[-1]
-        if body[-1] not in ",;:-/([{" and word.lower() not in _DANGLING and text[-1:] == body[-1:]:
+        if body[-1] not in ",;:-/([{" and word.lower() not in _DANGLING:
             return None, None  # short answers repeat, so their lengths are frequent without any cut
+    if ends and body[-1] not in ",;:-/" and ends.ends(body):
+        return None, inside
     return inside, inside

@@ -20,6 +20,11 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def each_word(text: str | None):
+    """The words of :func:`words` one by one, for a look at the first of them."""
+    return (m.group().lower() for m in _WORD.finditer(text)) if text else iter(())
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
