@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small
 
-BROADCAST_NODES = 200_000
 
 
 def node_keys(nodes: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def coverage(mentions: DataFrame, key: str, entities: str, nodes: DataFrame, val
     tagged = F.coalesce(F.col(validated), F.lit(False)) if validated else F.lit(False)
     base = mentions.select(key, tagged.alias("_v"), F.array_distinct(F.transform(F.coalesce(F.col(entities), F.expr("cast(array() as array<string>)")), F.lower)).alias("_e"))
     each = base.select(key, F.explode("_e").alias("lookup"))
-    found = each.join(broadcast_if_small(node_keys(nodes), BROADCAST_NODES), "lookup", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    found = each.join(broadcast_if_small(node_keys(nodes)), "lookup", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("found"))
     n = F.size("_e")
     joined = base.join(found, key, "left").withColumn("found", F.coalesce("found", F.lit(0)))
     cover = F.when(n == 0, 1.0).otherwise(F.col("found") / n)
@@ -54,7 +53,7 @@ def override(catalog: DataFrame, overrides: DataFrame, keys: list[str], row_key:
     equality, which spares the nested loop of an OR of four conditions.
     """
     tries = catalog.select(row_key, F.posexplode(F.array(*(F.col(k).cast("string") for k in keys))).alias("rank", "override_key")).filter("override_key is not null")
-    hit = tries.join(broadcast_if_small(overrides, BROADCAST_NODES), "override_key").groupBy(row_key).agg(F.min_by(F.struct(*fields), "rank").alias("_o"))
+    hit = tries.join(broadcast_if_small(overrides), "override_key").groupBy(row_key).agg(F.min_by(F.struct(*fields), "rank").alias("_o"))
     joined = catalog.join(hit, row_key, "left")
     new = {f: F.coalesce(F.nullif(F.col(f"_o.{f}"), F.lit("")), F.col(f)) for f in fields}
     return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in catalog.columns))
@@ -88,7 +87,7 @@ def entities(text: Column) -> Column:
 def with_default(df: DataFrame, lookup: DataFrame, key: str, value: str, default: Column | str | float) -> DataFrame:
     """``df`` with ``value`` from ``lookup`` by ``key``, ``default`` where it has none."""
     side = lookup.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
-    joined = df.join(broadcast_if_small(side, BROADCAST_NODES), F.col(key).eqNullSafe(F.col("_k")), "left")
+    joined = df.join(broadcast_if_small(side), F.col(key).eqNullSafe(F.col("_k")), "left")
     return joined.withColumn(value, F.coalesce("_v", default if isinstance(default, Column) else F.lit(default))).drop("_k", "_v")
 
 

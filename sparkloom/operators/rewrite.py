@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.text import lines, strip
 from ..runtime import broadcast_if_small
 
-BROADCAST_SYMBOLS = 200_000
 
 
 def scan_symbols(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,7 +36,7 @@ def enrich(df: DataFrame, key: str, code: str, symbols: DataFrame, safe: bool =
     inside a longer one is left alone; otherwise it is plain text. Rows without any hit are left out.
     """
     found = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.upper(F.col(code)), F.lit(r"\$([0-9A-F]{2,6})"), 1))).alias("address"))
-    named = found.join(broadcast_if_small(symbols, BROADCAST_SYMBOLS), "address").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct((-F.length("address")).alias("o"), "address", "name"))).alias("_map"))
+    named = found.join(broadcast_if_small(symbols), "address").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct((-F.length("address")).alias("o"), "address", "name"))).alias("_map"))
     tail = "(?![0-9A-Fa-f])" if safe else ""
     swap = F.aggregate("_map", F.col(code), lambda acc, m: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\$"), m["address"], F.lit(tail)), m["name"]))
     return df.join(named, F.col(key) == F.col("_key")).withColumn("enriched", swap).filter(F.col("enriched") != F.col(code)).drop("_key", "_map")

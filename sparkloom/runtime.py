@@ -59,13 +59,42 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it is measured to hold at most ``max_rows`` rows, else ``df``.
+#: Bytes up to which a side of a join is sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
-    The count stops at ``max_rows + 1`` rows, so measuring a large side is cheap; beyond the bound
-    the join is left to Spark, which shuffles it.
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, measure: bool = False) -> DataFrame:
+    """``df`` with a broadcast hint if it is known to take at most ``max_bytes``, else ``df``.
+
+    What Spark knows of the plan decides without running anything. With ``measure``, for frames that are
+    already written, their rows and the bytes of their texts are counted. Beyond the bound the join is
+    left to Spark, which shuffles it or broadcasts what turns out small.
+    """
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known > max_bytes and measure:
+        wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+        text = sum(wide[1:], wide[0]) if wide else F.lit(0)
+        known = df.agg((F.count(F.lit(1)) * (32 + 16 * len(df.columns)) + F.coalesce(F.sum(text.cast("bigint")), F.lit(0))).alias("b")).first()["b"]
+    return F.broadcast(df) if known <= max_bytes else df
+
+
+#: Bits of the filter of :func:`maybe_among`, 16 MB when every bit is set.
+FILTER_BITS = 1 << 27
+_PAGE = 1 << 15
+
+
+def maybe_among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key may be one of ``wanted``, before they are shuffled to be joined with it.
+
+    A bit map of hashes, built in the cluster and broadcast in pages; its size is bounded by
+    ``FILTER_BITS`` however many keys there are, and none of them is lost. Null keys are dropped.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    place = lambda c: F.pmod(F.xxhash64(F.lit(97), c), F.lit(FILTER_BITS))
+    pages = wanted.select(place(F.col(key)).alias("_at")).groupBy(F.expr(f"int(_at div {_PAGE})").alias("_page")).agg(F.bitmap_construct_agg(F.expr(f"_at % {_PAGE}")).alias("_bits"))
+    at = df.filter(F.col(key).isNotNull()).withColumn("_at", place(F.col(key)))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, int((_at % {_PAGE}) div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("(shiftright(_byte, int(_at % 8)) & 1) = 1")
+    return at.join(F.broadcast(pages), F.expr(f"int(_at div {_PAGE})") == F.col("_page")).withColumn("_byte", byte).filter(hit).select(*df.columns)
 
 
 def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
