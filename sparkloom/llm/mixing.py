@@ -12,8 +12,6 @@ from ..runtime import broadcast_if_small, cut_lineage, exact_rank, norm_label, s
 
 #: Budget, in units of size, that the knapsack fills exactly after the proportional part.
 KNAPSACK = 1 << 17
-#: Rows of the plan (mixes x members x lengths) up to which it is sent to every executor.
-BROADCAST_PLAN = 200_000
 DIMENSIONS = ("source", "category")
 
 
@@ -130,7 +128,7 @@ def mix_to_weights(df: DataFrame, weights: DataFrame, id_col: str = "rec_id", te
     records = mix_records(df, id_col, texts)
     planned = plan(records, weights)
     planned = cut_lineage(planned)  # counts by mix, member and length only; read twice
-    used = broadcast_if_small(planned.filter((F.col("take") > 0) | (F.col("repeats") > 0)), BROADCAST_PLAN)
+    used = broadcast_if_small(planned.filter((F.col("take") > 0) | (F.col("repeats") > 0)))
     parts = None
     for dim in DIMENSIONS:
         one = used.filter(F.col("dimension") == dim).select("mix_id", "member", F.col("key").alias("_key"), F.col("size").alias("_size"), "take", "repeats", "have")

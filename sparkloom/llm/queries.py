@@ -20,8 +20,6 @@ from .truncation import truncated_texts, truncation_by_source
 
 
 _POOLS = {"pattern_library": "rec_id", "test_cases": "test_id"}
-#: Test cases up to which their prompts are sent to every executor; more are joined by shuffle.
-BROADCAST_PROMPTS = 20_000
 
 
 def _by_pool(spark: SparkSession, d: str):
@@ -77,7 +75,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Test results with the prompt of their test, null if the test is unknown."""
     results = table(spark, d, "test_results", "result_id", "test_name", "model", "response").withColumn("_name", norm_label(F.col("test_name")))
     prompts = table(spark, d, "test_cases", "name", "prompt").groupBy(norm_label(F.col("name")).alias("_name")).agg(F.min("prompt").alias("prompt"))
-    return results.join(broadcast_if_small(prompts, BROADCAST_PROMPTS), "_name", "left")
+    return results.join(broadcast_if_small(prompts), "_name", "left")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, exact_rank, norm_label, seeded, with_total
 
-#: Requests' rows up to which they are sent to every executor; more are joined by shuffle.
-BROADCAST_TARGETS = 100_000
 
 _SEATS = "request_id {rid}, category string, target_share double, min_rows bigint, pool_rows bigint, sample_rows bigint, available bigint, wanted double, seats bigint, floor_seats bigint, cut double, short boolean"
 
@@ -87,9 +85,9 @@ def sample_to_targets(pool: DataFrame, targets: DataFrame, id_col: str, category
     report = shares(pool, targets, id_col, category)
     records = pool.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), norm_label(F.col(category)).alias("_c"))
     records = records.groupBy("_id").agg(F.min("_c").alias("_c"))
-    named = broadcast_if_small(targets.select(norm_label(F.col("category")).alias("_c")).distinct(), BROADCAST_TARGETS)
+    named = broadcast_if_small(targets.select(norm_label(F.col("category")).alias("_c")).distinct())
     ranked = exact_rank(records.join(named, "_c", "left_semi").withColumn("_h", seeded(seed, F.col("_id"))), ["_c"], "_h", "_id", "rank")
     seats = report.filter(F.col("seats") > 0).select("request_id", "category", norm_label(F.col("category")).alias("_c"), "target_share", "seats")
-    drawn = ranked.join(broadcast_if_small(seats, BROADCAST_TARGETS), "_c").filter(F.col("rank") <= F.col("seats"))
+    drawn = ranked.join(broadcast_if_small(seats), "_c").filter(F.col("rank") <= F.col("seats"))
     priority = (F.col("rank") - F.lit(0.5)) / F.col("target_share")
     return drawn.select("request_id", "category", F.col("_id").alias(id_col), "rank", priority.alias("priority")), report
