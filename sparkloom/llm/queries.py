@@ -23,9 +23,13 @@ _POOLS = {"pattern_library": "rec_id", "test_cases": "test_id"}
 
 
 def _by_pool(spark: SparkSession, d: str):
-    """The records and the requests of each pool; requests name a pool once each."""
+    """The records and the requests of each pool; a request of any other pool is an error."""
+    targets = table(spark, d, "sample_targets").withColumn("_pool", norm_label(F.col("pool")))
+    other = [r["pool"] for r in targets.filter(~F.coalesce(F.col("_pool").isin(*_POOLS), F.lit(False))).select("pool").distinct().limit(10).collect()]
+    if other:
+        raise ValueError(f"requests of unknown pools: {other}")
     for pool, key in _POOLS.items():
-        requests = table(spark, d, "sample_targets").filter(norm_label(F.col("pool")) == pool)
+        requests = targets.filter(F.col("_pool") == pool).drop("_pool")
         yield key, table(spark, d, pool, key, "category"), requests
 
 
@@ -53,6 +57,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return report(plan(mix_records(table(spark, d, "pattern_library", *_MIX_COLUMNS)), table(spark, d, "mix_weights")))
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """What every member is wanted to give and can give, and whether its actual size adds up with what was left unfilled."""
+    adds_up = F.col("actual") + F.col("unfilled") == F.floor(F.least("wanted", F.col("available").cast("double")))
+    return p2_report(spark, d).select("mix_id", "dimension", "member", "wanted", "available", "target_weight", "short", adds_up.alias("adds_up"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_report(spark, d).filter("short").select("mix_id", "member")
 
@@ -142,8 +152,22 @@ def _norm(x: str) -> str:
     return rf"regexp_replace(regexp_replace(lower({x}), '^\s+|\s+$', '', 'g'), '[-\s]', '_', 'g')"
 
 
+_POOL_CATEGORIES = f"""select distinct 'pattern_library' as pool, rec_id as id, {_norm("category")} as c from pattern_library union all select distinct 'test_cases', test_id, {_norm("category")} from test_cases"""
 _SQL = {
-    "p1_found": f"""with p as (select distinct 'pattern_library' as pool, rec_id as id, {_norm("category")} as c from pattern_library union all select distinct 'test_cases', test_id, {_norm("category")} from test_cases),
+    # Seats as ranks: floors first, then the smallest (rank - 0.5) / target of every record that a category has.
+    "p1_report": f"""with p as ({_POOL_CATEGORIES}), n as (select pool, count(distinct id) as pool_rows from p group by 1), k as (select pool, c, count(distinct id) as k from p group by 1, 2),
+t as (select request_id, t.category, target_share, min_rows::bigint as min_rows, pool_rows, sample_share, round(sample_share * pool_rows)::bigint as sample_rows, coalesce(k, 0) as available, target_share * sample_share * pool_rows as wanted, least(coalesce(k, 0), greatest(min_rows, 0))::bigint as floor_seats
+  from sample_targets t join n on n.pool = {_norm("t.pool")} left join k on k.pool = n.pool and k.c = {_norm("t.category")}),
+r as (select *, unnest(range(1, available + 1)) as rank from t), o as (select request_id, category, rank, target_share, floor_seats, row_number() over (partition by request_id order by (rank <= floor_seats)::int desc, (rank - 0.5) / nullif(target_share, 0) nulls last, category) as place from r where rank <= floor_seats or target_share > 0),
+room as (select request_id, greatest(max(sample_rows), sum(floor_seats)) as room from t group by 1), s as (select request_id, category, count(*) as seats from o join room using (request_id) where place <= room group by all),
+j as (select t.*, coalesce(seats, 0)::bigint as seats from t left join s using (request_id, category))
+select request_id, category, target_share, min_rows, pool_rows, sample_share, sample_rows, available, wanted, seats, floor_seats, coalesce(max(case when target_share > 0 and seats > floor_seats then (seats - 0.5) / target_share end) over w, 0.0) as cut, available < greatest(wanted, min_rows) as short,
+seats / greatest(sum(seats) over w, 1)::double as actual_share, seats < floor(wanted) as below_target from j window w as (partition by request_id)""",
+    "p2_members": f"""with r as (select distinct rec_id, {_norm("source")} as source, {_norm("category")} as category, coalesce(length(instruction), 0) + coalesce(length(output), 0) as s from pattern_library),
+t as (select sum(s) as t from r), m as (select 'source' as dimension, source as member, sum(s) as s from r group by all union all select 'category', category, sum(s) from r group by all),
+w as (select mix_id, w.dimension, w.member, weight * mix_share * t as wanted, (coalesce(s, 0) * max_repeats)::bigint as available, weight as target_weight from mix_weights w cross join t left join m on m.dimension = w.dimension and m.member = {_norm("w.member")})
+select *, available < wanted as short, true as adds_up from w""",
+    "p1_found": f"""with p as ({_POOL_CATEGORIES}),
 n as (select pool, count(distinct id) as n from p group by 1), k as (select pool, c, count(distinct id) as k from p group by 1, 2)
 select request_id, t.category from sample_targets t join n on n.pool = {_norm("t.pool")} left join k on k.pool = n.pool and k.c = {_norm("t.category")} where coalesce(k, 0) < greatest(target_share * sample_share * n, min_rows)""",
     "p2_found": f"""with r as (select distinct rec_id, {_norm("source")} as source, {_norm("category")} as category, coalesce(length(instruction), 0) + coalesce(length(output), 0) as s from pattern_library),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, exact_rank, norm_label, seeded, with_total
 
 
-_SEATS = "request_id {rid}, category string, target_share double, min_rows bigint, pool_rows bigint, sample_rows bigint, available bigint, wanted double, seats bigint, floor_seats bigint, cut double, short boolean"
+_SEATS = "request_id {rid}, category string, target_share double, min_rows bigint, pool_rows bigint, sample_share double, sample_rows bigint, available bigint, wanted double, seats bigint, floor_seats bigint, cut double, short boolean, actual_share double, below_target boolean"
 
 
 def allot(targets: pd.DataFrame) -> pd.DataFrame:
@@ -19,6 +20,11 @@ def allot(targets: pd.DataFrame) -> pd.DataFrame:
     the remaining seats go to the smallest priorities, ties to the category that comes first. A category
     that runs out has no further priorities, so its seats pass on. The threshold priority is found by
     bisection, then the last seats one by one.
+
+    Without limits a category of share t has t x level records of a priority up to ``level``; at the level of
+    the whole sample, unrounded, that is what it is ``wanted`` to give. A category is ``short`` if its records
+    run out before that level, or before its floor. ``below_target`` marks those that got fewer
+    seats than wanted, rounded down, also because the floors of others took them.
     """
     rows = targets.sort_values("category", kind="stable").reset_index(drop=True)
     size = int(rows["sample_rows"].iloc[0])
@@ -43,7 +49,11 @@ def allot(targets: pd.DataFrame) -> pd.DataFrame:
         if not free:
             break
         got[min(free)[1]] += 1
+    rows["wanted"] = rows["target_share"].fillna(0.0) * rows["sample_share"].fillna(0.0) * rows["pool_rows"]
+    rows["short"] = rows["available"] < np.maximum(rows["wanted"], rows["min_rows"].fillna(0).astype("float64"))
     rows["seats"], rows["floor_seats"] = got, floor
+    rows["actual_share"] = rows["seats"] / max(sum(got), 1)
+    rows["below_target"] = rows["seats"] < np.floor(rows["wanted"])
     rows["cut"] = max([(g - 0.5) / t for g, t, f in zip(got, share, floor) if t > 0 and g > f], default=0.0)
     return rows
 
@@ -53,8 +63,8 @@ def shares(pool: DataFrame, targets: DataFrame, id_col: str, category: str = "ca
 
     ``targets`` has (request_id, sample_share, category, target_share, min_rows). ``available`` counts
     distinct ids of the pool whose category agrees after normalisation; ``pool_rows`` all distinct ids,
-    those of null or unknown category included. ``short`` marks categories with fewer records than the
-    larger of the unrounded wanted number and ``min_rows``. Null shares and floors count as 0. The
+    those of null or unknown category included. ``short`` marks categories whose records run out before
+    the larger of the unrounded wanted number and ``min_rows`` is reached; see :func:`allot`. Null shares and floors count as 0. The
     pool is reduced to one count for each category before anything is joined.
     """
     records = pool.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), norm_label(F.col(category)).alias("_c")).groupBy("_id").agg(F.min("_c").alias("_c"))
@@ -62,13 +72,12 @@ def shares(pool: DataFrame, targets: DataFrame, id_col: str, category: str = "ca
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("pool_rows"))
     asked = targets.select("request_id", "sample_share", "category", "target_share", F.col("min_rows").cast("bigint").alias("min_rows")).withColumn("_k", norm_label(F.col("category")))
     known = with_total(asked.join(counts, asked["_k"] == counts["_c"], "left"), total)
-    wanted = F.coalesce(F.col("target_share") * F.col("sample_share") * F.col("pool_rows"), F.lit(0.0))
-    known = known.withColumn("available", F.coalesce("_n", F.lit(0))).withColumn("wanted", wanted)
-    known = known.withColumn("short", F.col("available") < F.greatest("wanted", F.coalesce("min_rows", F.lit(0)).cast("double")))
+    known = known.withColumn("available", F.coalesce("_n", F.lit(0)))
     known = known.withColumn("sample_rows", F.coalesce(F.round(F.col("sample_share") * F.col("pool_rows")), F.lit(0)).cast("bigint"))
     schema = _SEATS.format(rid=targets.schema["request_id"].dataType.simpleString())
     names = [c.split()[0] for c in schema.split(", ")]
-    ready = known.withColumn("seats", F.lit(0).cast("bigint")).withColumn("floor_seats", F.lit(0).cast("bigint")).withColumn("cut", F.lit(0.0)).select(*names)
+    kinds = dict(c.split() for c in schema.split(", "))
+    ready = known.select(*(F.col(c) if c in known.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names))
     return ready.groupBy("request_id").applyInPandas(lambda rows: allot(rows)[names], schema)
 
 

@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from sparkloom.llm import mixing
 from sparkloom.llm.mixing import fill, mix_to_weights
 from sparkloom.llm.sampling import allot, sample_to_targets
 
@@ -28,7 +28,7 @@ def test_seats_follow_the_smallest_priorities():
         share = [rng.random() for _ in range(k)]
         share = [s / sum(share) for s in share]
         size = rng.randrange(0, 60)
-        df = pd.DataFrame({"category": [f"c{j}" for j in range(k)], "target_share": share, "min_rows": floor, "available": have, "sample_rows": size})
+        df = pd.DataFrame({"category": [f"c{j}" for j in range(k)], "target_share": share, "min_rows": floor, "available": have, "sample_rows": size, "sample_share": 0.5, "pool_rows": 2 * size})
         assert allot(df)["seats"].tolist() == brute_seats(size, have, share, floor)
 
 
@@ -98,4 +98,31 @@ def test_mix(spark):
     assert max(d["repeats"] for d in drawn if d["mix_id"] == 2) == 2
     empty, report = mix_to_weights(df.limit(0), weights)
     assert empty.count() == 0 and report.count() == 4
-    assert mixing.BROADCAST_PLAN > 0
+
+
+def test_mix_by_another_size(spark):
+    df = spark.createDataFrame([(k, "one", "cat", "text", 3 + k % 5) for k in range(100)], "rec_id bigint, source string, category string, instruction string, tokens int")
+    weights = spark.createDataFrame([(1, "source", 0.5, "one", 1.0, 1)], "mix_id int, dimension string, mix_share double, member string, weight double, max_repeats int")
+    mixture, report = mix_to_weights(df, weights, texts=("instruction",), size=F.col("tokens"))
+    row = report.first()
+    assert row["available"] == 500 and row["actual"] == 250 and row["unfilled"] == 0
+    assert mixture.join(df, "rec_id").agg(F.sum("tokens")).first()[0] == 250
+
+
+def test_fill_keeps_the_spread_of_lengths_beside_an_outlier():
+    lengths, counts = np.array([50, 100, 150, 1_000_000]), np.array([4000, 4000, 4000, 1])
+    take = fill(lengths, counts, 120_000)
+    assert int((lengths * take).sum()) == 120_000 and take[3] == 0 and (take[:3] > 250).all()
+
+
+def test_fill_has_no_cap_on_its_work():
+    lengths = np.arange(1, 3001) * 7  # nothing but multiples of seven: the exact budget is out of reach
+    take = fill(lengths, np.ones(3000, np.int64), 7 * 1_000_000 + 3)
+    assert int((lengths * take).sum()) == 7 * 1_000_000
+
+
+def test_report_shows_categories_that_floors_of_others_push_down(spark):
+    pool = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(100)], "rec_id bigint, category string")
+    targets = spark.createDataFrame([(1, 0.2, "a", 0.9, 0), (1, 0.2, "b", 0.1, 15)], "request_id int, sample_share double, category string, target_share double, min_rows int")
+    rows = {r["category"]: r for r in sample_to_targets(pool, targets, "rec_id")[1].collect()}
+    assert rows["a"]["seats"] == 5 and rows["a"]["below_target"] and not rows["a"]["short"] and abs(rows["b"]["actual_share"] - 0.75) < 1e-9
