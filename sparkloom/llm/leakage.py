@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from .tiling import mark
 from .words import HASHES, raw_words, rolling
 
-#: Windows of evaluation text sent to the executors at a time; more are handled in further blocks.
-BLOCK_WINDOWS = 1_000_000
+#: Words of evaluation text sent to the executors at a time, 16 bytes each and the words themselves; more
+#: are handled in further blocks, each with a scan of its own.
+BLOCK_WORDS = 4_000_000
 _BITS = 22
 
 
 class _Index:
-    """Rolling hashes of one block of evaluation passages, by a bitmap and a sorted array."""
+    """Rolling hashes of evaluation passages that are searched by runs of ``least`` words: a bitmap and a sorted array.
+
+    It is built once and broadcast as it is.
+    """
 
     def __init__(self, passages: list[tuple[int, str, list[bytes]]], least: int) -> None:
         self.passages, self.least = passages, least
@@ -28,7 +32,7 @@ class _Index:
         owner = np.repeat(np.arange(len(passages)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else owner
         order = np.argsort(flat, kind="stable")
-        self.keys, self.owner, self.place = flat[order], owner[order], place[order]
+        self.keys, self.owner, self.place = flat[order], owner[order].astype(np.int32), place[order].astype(np.int32)
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(flat >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -61,9 +65,9 @@ def leaked_passages(
     come from greedy string tiling, so a passage given in parts or in another order is seen as a whole.
     A passage shorter than ``min_words`` words is searched as a whole if it has any word.
 
-    The evaluation side is a query set against all rows: it is sent out in blocks of at most
-    ``BLOCK_WINDOWS`` windows, the corpus is only scanned and never shuffled. Null and empty texts or
-    passages match nothing; repeated rows of the corpus come out as often as they came in; repeated
+    The evaluation side is a query set against all rows: up to ``BLOCK_WORDS`` words of it, whatever their
+    passages' lengths, are sent out for one scan of the corpus, which is never shuffled. Null and empty
+    texts or passages match nothing; repeated rows of the corpus come out as often as they came in; repeated
     items count once. Other columns of either table are ignored.
     """
     schema = (
@@ -74,23 +78,25 @@ def leaked_passages(
     source = corpus.select(corpus_id, text_col)
     item_type = {"int": pa.int32(), "bigint": pa.int64()}.get(items.select(item_id).schema[0].dataType.simpleString(), pa.string())
 
-    def scan(block, least):
-        shared = corpus.sparkSession.sparkContext.broadcast(block)
+    def scan(block):
+        """One pass over the corpus for passages by the run of words that each is searched by."""
+        shared = corpus.sparkSession.sparkContext.broadcast([_Index(passages, least) for least, passages in sorted(block.items())])
 
         def run(batches):
-            index = _Index(shared.value, least)
             for batch in batches:
                 out = []
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     ws = raw_words(text)
-                    if len(ws) < least:
+                    if not ws:
                         continue
-                    for p, seeds in index.seeds(rolling(HASHES.array(ws), least)).items():
-                        item, name, passage = index.passages[p]
-                        found = mark(ws, passage, seeds, least)
-                        covered = sum(n for _, _, n in found)
-                        if found and covered >= min_coverage * len(passage):
-                            out.append((k, item, name, max(n for _, _, n in found), len(found), covered, covered / len(passage)))
+                    hashes = HASHES.array(ws)
+                    for index in shared.value:
+                        for p, seeds in index.seeds(rolling(hashes, index.least)).items():
+                            item, name, passage = index.passages[p]
+                            found = mark(ws, passage, seeds, index.least)
+                            covered = sum(n for _, _, n in found)
+                            if found and covered >= min_coverage * len(passage):
+                                out.append((k, item, name, max(n for _, _, n in found), len(found), covered, covered / len(passage)))
                 cols = list(zip(*out)) if out else [[]] * 7
                 kinds = [item_type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                 arrays = [pa.array(c, t) for c, t in zip(cols[1:], kinds)]
@@ -98,20 +104,18 @@ def leaked_passages(
 
         return source.mapInArrow(run, schema)
 
-    parts, block, filled = [], [], 0
-    short: dict[int, list] = defaultdict(list)
+    parts: list[DataFrame] = []
+    block: dict[int, list] = defaultdict(list)
+    filled = 0
     for row in items.select(item_id, *passage_cols).filter(F.col(item_id).isNotNull()).dropDuplicates().toLocalIterator():
         for name in passage_cols:
             ws = raw_words(row[name])
-            if len(ws) >= min_words:
-                block.append((row[item_id], name, ws))
+            if ws:
+                block[min(len(ws), min_words)].append((row[item_id], name, ws))
                 filled += len(ws)
-            elif ws:
-                short[len(ws)].append((row[item_id], name, ws))
-            if filled >= BLOCK_WINDOWS:
-                parts.append(scan(block, min_words))
-                block, filled = [], 0
-    if block or not (parts or short):
-        parts.append(scan(block, min_words))
-    parts += [scan(group, n) for n, group in sorted(short.items())]
+            if filled >= BLOCK_WORDS:
+                parts.append(scan(block))
+                block, filled = defaultdict(list), 0
+    if block or not parts:
+        parts.append(scan(block))
     return reduce(DataFrame.unionByName, parts)

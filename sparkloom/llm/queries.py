@@ -128,6 +128,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_passages(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p7_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of which tiles of five words or more cover three fifths, in any order: cut up, reordered or edited."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_prompts"), min_words=5, min_coverage=0.6)
+
+
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items: how many documents hold them, and the most that one document covers."""
     found = p7_passages(spark, d)

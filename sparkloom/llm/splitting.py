@@ -50,7 +50,8 @@ def _cuts(text: str, level: int, headings: dict[int, int], fences: list[tuple[in
     if level <= 6:
         return sorted(p for p, depth in headings.items() if depth == level)
     if level == 7:
-        inside = lambda p: any(a < p < b for a, b in fences[max(0, bisect_right([x for x, _ in fences], p) - 1) :][:1])
+        starts = [a for a, _ in fences]
+        inside = lambda p: (k := bisect_right(starts, p) - 1) >= 0 and starts[k] < p < fences[k][1]
         return sorted({p for m in _BLANK.finditer(text) if not inside(p := m.end())} | {a for a, _ in fences})
     if level == 8:
         return [m.end() for m in re.finditer(r"\r\n|[\n\r\v\f  ]", text)]
@@ -81,22 +82,22 @@ class _Document:
     def size(self, a: int, b: int) -> int:
         return int(self.before[b] - self.before[a])
 
-    def pack(self, a: int, b: int, limit: int, level: int = 1) -> list[tuple[int, int]]:
-        """Spans of pre-tokens [a, b), each within ``limit`` unless it is a single longer pre-token."""
-        if self.size(a, b) <= limit or b - a == 1:
+    def pack(self, a: int, b: int, limit: int, first: int, level: int = 1) -> list[tuple[int, int]]:
+        """Spans of pre-tokens [a, b), each within ``limit`` (the text's first within ``first``) unless it is a single longer pre-token."""
+        if self.size(a, b) <= (limit if a else first) or b - a == 1:
             return [(a, b)]
         if level <= 9:
             own = self.boundaries(level)
             inner = own[bisect_right(own, a) : bisect_left(own, b)]
             if not inner:
-                return self.pack(a, b, limit, level + 1)
+                return self.pack(a, b, limit, first, level + 1)
             edges = [a, *inner, b]
-            children = [s for x, y in zip(edges, edges[1:]) for s in self.pack(x, y, limit, level + 1)]
+            children = [s for x, y in zip(edges, edges[1:]) for s in self.pack(x, y, limit, first, level + 1)]
         else:
             children = [(k, k + 1) for k in range(a, b)]
         merged = [children[0]]
         for x, y in children[1:]:
-            if self.size(merged[-1][0], y) <= limit:
+            if self.size(merged[-1][0], y) <= (limit if merged[-1][0] else first):
                 merged[-1] = (merged[-1][0], y)
             else:
                 merged.append((x, y))
@@ -124,12 +125,13 @@ def split_text(text: str, enc, max_tokens: int, overlap: int) -> list[tuple[int,
         return [(0, len(text), doc.total, True)]
     limit = max_tokens - overlap - SLACK
     cores: list[tuple[int, bool]] = []  # first token of each piece without its overlap
-    for a, b in doc.pack(0, len(doc.pieces), limit):
+    for a, b in doc.pack(0, len(doc.pieces), limit, max_tokens):
         first, last = int(doc.before[a]), int(doc.before[b])
         cores.append((first, True))
-        while last - first > limit:
-            _, cut = doc.offset(first + limit)
-            first = cut if cut > first else min(first + limit, last)
+        while last - first > (limit if first else max_tokens):
+            room = limit if first else max_tokens - SLACK
+            _, cut = doc.offset(first + room)
+            first = cut if cut > first else min(first + room, last)
             cores.append((first, False))
     if len(cores) > 1 and cores[1][0] <= overlap:
         del cores[0]  # the second piece's overlap would hold all of the first
@@ -137,15 +139,27 @@ def split_text(text: str, enc, max_tokens: int, overlap: int) -> list[tuple[int,
     out = []
     for k, (first, natural) in enumerate(cores):
         last = cores[k + 1][0] if k + 1 < len(cores) else doc.total
-        begin, end = doc.offset(max(0, first - overlap))[0] if k else 0, doc.offset(last)[0]
-        count = len(enc.encode(text[begin:end]))
-        while count > max_tokens and begin < doc.offset(first)[0]:
-            begin += 1
-            count = len(enc.encode(text[begin:end]))
+        end = doc.offset(last)[0]
+        whole = k + 1 == len(cores) or cores[k + 1][1]  # ends with a pre-token
+        begin, count = _begin(doc, first, end, overlap, max_tokens) if k else (0, last if whole else len(enc.encode(text[:end])))
         out.append((begin, end, count, natural))
     return out
 
 
+def _begin(doc: _Document, first: int, end: int, overlap: int, max_tokens: int) -> tuple[int, int]:
+    """Where a piece begins whose own tokens begin at ``first``, and its tokens when it is encoded alone.
+
+    A piece that begins inside a pre-token may take more tokens alone. Then a few tokens more of overlap are
+    tried, as one that begins with a pre-token takes no more; only if none fits is the overlap cut down.
+    """
+    for more in [*range(SLACK + 1), *range(-1, -overlap - 1, -1)]:
+        begin = doc.offset(max(0, first - overlap - more))[0]
+        count = len(doc.enc.encode(doc.text[begin:end]))
+        if count <= max_tokens:
+            return begin, count
+    return doc.offset(first)[0], count
+
+
 def split_oversized(
     df: DataFrame,
     id_col: str = "doc_id",

@@ -54,11 +54,29 @@ def test_against_brute_force(spark, monkeypatch):
     c = spark.createDataFrame([(d, t, "item") for d, t in docs], "doc_id bigint, text string, item_id string")
     i = spark.createDataFrame(items, "item_id bigint, instruction string, expected_output string")
     want = brute([(d, t or "") for d, t in docs], items)
-    for size in (leakage.BLOCK_WINDOWS, 60):  # one block, several blocks
-        monkeypatch.setattr(leakage, "BLOCK_WINDOWS", size)
+    for size in (leakage.BLOCK_WORDS, 60):  # one block, several blocks
+        monkeypatch.setattr(leakage, "BLOCK_WORDS", size)
         assert {(r[0], r[1]) for r in leaked_passages(c, i).select("doc_id", "item_id").collect()} == want
 
 
+def test_reordered_passage_by_its_coverage(spark):
+    w = [f"w{k}" for k in range(40)]
+    parts = [w[k : k + 8] for k in range(0, 40, 8)]
+    text = " and then ".join(" ".join(p) for p in reversed(parts))
+    c = spark.createDataFrame([(1, text), (2, " ".join(w[:8])), (3, "other")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, " ".join(w), None)], "item_id bigint, instruction string, expected_output string")
+    assert leaked_passages(c, i).count() == 0  # no twelve words in a row
+    found = leaked_passages(c, i, min_words=5, min_coverage=0.6).collect()
+    assert [(r["doc_id"], r["tiles"], r["covered"], r["coverage"]) for r in found] == [(1, 5, 40, 1.0)]
+
+
+def test_passages_of_all_lengths_take_one_scan(spark):
+    c = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join("abcdef"[: k + 1]), None) for k in range(6)], "item_id bigint, instruction string, expected_output string")
+    found = leaked_passages(c, i)
+    assert found.count() == 6 and str(found._jdf.queryExecution().executedPlan()).count("MapInArrow ") == 1
+
+
 def test_empty_sides_and_short_passages(spark):
     c = spark.createDataFrame([(1, "we saw alpha beta gamma there")], "doc_id bigint, text string")
     i = spark.createDataFrame([(7, "Alpha, beta gamma!", None), (8, None, ""), (None, "saw alpha", "x")], "item_id bigint, instruction string, expected_output string")

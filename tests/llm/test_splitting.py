@@ -16,7 +16,7 @@ def check(text, enc, limit=60, overlap=10):
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for a, b in zip(pieces, pieces[1:]):
         assert a[0] < b[0] <= a[1] < b[1]
-        assert overlap - 2 <= len(enc.encode(text[b[0] : a[1]])) <= overlap + 4
+        assert overlap - 2 <= len(enc.encode(text[b[0] : a[1]])) <= overlap + 8
     assert all(len(enc.encode(text[a:b])) <= limit for a, b, _, _ in pieces)
     return pieces
 
@@ -43,6 +43,17 @@ def test_random_texts(enc):
         check(text, enc)
 
 
+def test_first_piece_is_filled_to_the_limit(enc):
+    pieces = check(" a." * 200, enc, 60, 10)
+    assert pieces[0][2] >= 58 and pieces[1][2] >= 50
+
+
+def test_many_fences_and_blank_lines(enc):
+    text = "```\ncode\n\nmore\n```\n\nprose here\n\n" * 400
+    pieces = check(text, enc, 60, 10)
+    assert all(natural for _, _, _, natural in pieces)
+
+
 def test_table_cases(spark):
     long = "One sentence here. " * 500
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "short", 1), (4, long, 1), (4, long, 1), (None, long, 1), (6, "   ", 1)], "doc_id bigint, text string, piece_no int")
