@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, argmax, first_match, hits
@@ -69,6 +69,32 @@ ERROR_FAMILIES = {
 _EXPLAIN = r"(?i)explain\s+(what|how|why)|what\s+(does|is)\s+(the\s+)?(address|memory|register)|describe\s+(the|how)|what\s+(is|are)\s+stored?\s+(in|at)|tell\s+me\s+about"
 
 
+def domains(df: DataFrame, text: Column, rules: dict | None = None) -> DataFrame:
+    """``df`` with ``domain`` and ``confidence`` of a text; see :func:`domain`.
+
+    The text in lower case and each rule's score are columns of their own, so that they are made once a row.
+    """
+    rules = rules or DOMAIN_RULES
+    low = df.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_low", F.lower("_t"))
+    scored = low.select(*df.columns, *(_score(F.col("_t"), F.col("_low"), *rule).alias(f"_s{k}") for k, rule in enumerate(rules.values())))
+    best = argmax([(name, F.col(f"_s{k}")) for k, name in enumerate(rules)])
+    return scored.withColumn("_b", best).select(*df.columns, F.col("_b.label").alias("domain"), F.least(F.col("_b.score") / 10, F.lit(1.0)).alias("confidence"))
+
+
+def _score(text: Column, low: Column, keywords: list[str], patterns: list[str], required: list[str]) -> Column:
+    score = F.lit(0.0)
+    for k in keywords:
+        score = score + F.contains(low, F.lit(k.lower())).cast("double") * 2.0
+    for p in patterns:
+        score = score + F.when(text.rlike("(?i)" + p), 3.0).otherwise(0.0)
+    if not required:
+        return score
+    any_word = F.lit(False)
+    for k in required:
+        any_word = any_word | F.contains(low, F.lit(k.lower()))
+    return F.when(any_word, score).otherwise(0.0)
+
+
 def domain(text: Column, rules: dict | None = None) -> Column:
     """struct(domain, confidence) by arg-max: 2 for each keyword, 3 for each pattern, none without a required word.
 
@@ -76,13 +102,7 @@ def domain(text: Column, rules: dict | None = None) -> Column:
     confidence 0; confidence is score / 10, at most 1. Null text counts as ''.
     """
     text = F.coalesce(text, F.lit(""))
-    scores = []
-    for name, (keywords, patterns, required) in (rules or DOMAIN_RULES).items():
-        score = hits(text, keywords) * 2.0
-        for p in patterns:
-            score = score + F.when(text.rlike("(?i)" + p), 3.0).otherwise(0.0)
-        scores.append((name, F.when(any_of(text, required), score).otherwise(0.0) if required else score))
-    best = argmax(scores)
+    best = argmax([(name, _score(text, F.lower(text), *rule)) for name, rule in (rules or DOMAIN_RULES).items()])
     return F.struct(best["label"].alias("domain"), F.least(best["score"] / 10, F.lit(1.0)).alias("confidence"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import asm
-from ..functions.text import any_of, filled, first_match, or_empty, strip
+from ..functions.text import filled, first_match, or_empty, strip
 
 _KINDS = r"(LOCAL|LONG|JUMP\s*LOCATION|ALTERNATE\s*ENTRY\s*POINT|DATA|MAIN\s*ENTRY\s*POINT)?\.?"
 # Markers of disassembly files, removed from instructions, in this order.
@@ -56,9 +56,11 @@ def infer_domain(instruction: Column) -> Column:
     return first_match([(low.startswith("summarize") & F.contains(low, F.lit("asm change")), "asm-git"), (low.startswith("summarize"), "asm-comment"), (low.startswith("write a 65816 routine"), "asm-generate")], "asm")
 
 
-def normalize_records(df: DataFrame, default_source: str = "unknown", drop_todo: bool = True, parse_error: Column | None = None) -> DataFrame:
+def normalize_records(df: DataFrame, default_source: str = "unknown", drop_todo: bool = True, parse_error: Column | None = None, metadata: Column | None = None) -> DataFrame:
     """``df`` with instruction, output, domain and source normalised, and ``reject_reason`` (null: kept).
 
+    With ``metadata``, a map of texts, it comes out merged with what was done to the record; its own entries win.
+
     Reasons, the first that holds: parse_error, drop_missing_output, drop_empty_instruction,
     drop_todo_instruction. Null texts count as empty; a blank domain is inferred from the instruction.
     """
@@ -70,8 +72,12 @@ def normalize_records(df: DataFrame, default_source: str = "unknown", drop_todo:
     reason = F.when(parse_error if parse_error is not None else F.lit(False), "parse_error").when(F.col("output") == "", "drop_missing_output").when(text == "", "drop_empty_instruction")
     if drop_todo:
         reason = reason.when(F.contains(F.lower(text), F.lit("todo")), "drop_todo_instruction")
+    done = []
+    if metadata is not None:
+        flags = F.map_filter(F.create_map(F.lit("instruction_cleaned"), F.when(F.col("_n.cleaned"), "true"), F.lit("generated_kind"), F.col("_n.generated_kind")), lambda _, v: v.isNotNull())
+        done = [merge_metadata(flags, metadata).alias("metadata")]
     return step.select(
-        *(c for c in df.columns if c not in ("instruction", "output", "domain", "source")),
+        *(c for c in df.columns if c not in ("instruction", "output", "domain", "source") and not (done and c == "metadata")), *done,
         text.alias("instruction"), "output", filled(F.col("domain"), infer_domain(text)).alias("domain"), filled(F.col("source"), default_source).alias("source"),
         F.col("_n.cleaned").alias("instruction_cleaned"), F.col("_n.generated_kind").alias("generated_kind"), reason.alias("reject_reason"),
     )
@@ -120,5 +126,29 @@ def diff_window(diff: Column, least: int = 5, most: int = 200) -> Column:
     return F.when(F.size(ls) < least, F.lit(None)).otherwise(F.array_join(F.slice(ls, 1, most), "\n"))
 
 
-def mentions(text: Column, keywords: list[str]) -> Column:
-    return any_of(or_empty(text), keywords)
+
+def chars_at_least(text: Column, least: int) -> Column:
+    """Whether a text has ``least`` code points; null has none."""
+    return F.length(or_empty(text)) >= least
+
+
+def selected(category: Column, difficulty: Column, tags: Column, wanted: str | None = None, level: str | None = None, any_tag: list[str] | None = None) -> Column:
+    """Whether a case is of a category, of a difficulty and has any of some tags; what is not given is not asked for."""
+    test = F.lit(True)
+    if wanted is not None:
+        test = test & F.coalesce(category == wanted, F.lit(False))
+    if level is not None:
+        test = test & F.coalesce(difficulty == level, F.lit(False))
+    if any_tag:
+        test = test & F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, any_tag))), F.lit(False))
+    return test
+
+
+def labelled(label: Column, tags: Column, word: str) -> Column:
+    """Whether a label holds a word, case ignored, or a tag is that word."""
+    return F.contains(F.lower(or_empty(label)), F.lit(word.lower())) | F.coalesce(F.array_contains(tags, word), F.lit(False))
+
+
+def scan_status(chars: Column, error: Column, least: int = 200) -> Column:
+    """The status of a scanned document in its manifest: failed, short (too little text) or ok."""
+    return F.when(or_empty(error) != "", "failed").when(F.coalesce(chars, F.lit(0)) < least, "short").otherwise("ok")

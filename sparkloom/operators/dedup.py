@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, strip
@@ -17,12 +16,14 @@ def record_key(*columns: str) -> Column:
 def mark_duplicates(df: DataFrame, key: Column, order: list[Column], out: str = "duplicate") -> DataFrame:
     """``df`` with ``out``: whether an earlier row has the same key. A null key never repeats another.
 
-    Rows of a null key get keys of their own, so that they do not meet in one task. Keys shared by
-    very many rows only cost the comparison of order columns: use :func:`first_per_key` to keep one row.
+    The first place of each key that repeats comes from a partial aggregate and is joined back, so that a
+    key of very many rows is neither sorted nor held in one task. Rows that tie in ``order`` are equally
+    first; give an order without ties.
     """
-    own = F.coalesce(key, F.concat(F.lit("null:"), F.monotonically_increasing_id().cast("string")))
-    number = F.row_number().over(W.partitionBy("_key").orderBy(*order))
-    return df.withColumn("_key", own).withColumn(out, number > 1).drop("_key")
+    place = F.struct(*(c.alias(f"_o{k}") for k, c in enumerate(order)))
+    keyed = df.withColumn("_key", key).withColumn("_place", place)
+    first = keyed.filter("_key is not null").groupBy(F.col("_key").alias("_k")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return keyed.join(first, F.col("_key") == F.col("_k"), "left").withColumn(out, F.coalesce(F.col("_place") > F.col("_first"), F.lit(False))).drop("_key", "_place", "_k", "_first", "_n")
 
 
 def first_per_key(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -33,6 +34,12 @@ def first_per_key(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return best.select(*(F.col(f"_row.`{c}`").alias(c) for c in columns))
 
 
+def content_duplicates(df: DataFrame, content: str, order: list[Column]) -> DataFrame:
+    """``df`` with ``md5`` of its content and whether an earlier row has the same; null and empty contents have none."""
+    digest = F.when(or_empty(F.col(content)) != "", F.md5(content))
+    return mark_duplicates(df.withColumn("md5", digest), F.col("md5"), order)
+
+
 def gold(df: DataFrame, order: list[Column], fields: tuple[str, ...] = ("instruction", "input", "output")) -> DataFrame:
     """Rows with ``status``: missing (no instruction or output), duplicate of an earlier row, or kept."""
     missing = (strip(or_empty(F.col("instruction"))) == "") | (strip(or_empty(F.col("output"))) == "")

@@ -112,7 +112,40 @@ def every_nth(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_k") % n == 0).drop("_k")
 
 
-def steps(df: DataFrame, keys: list[str], order: list[str], success: Column) -> DataFrame:
-    """``df`` with ``next_step`` (successes so far) and ``last_success`` (order value of the latest)."""
+def capped(df: DataFrame, pool: str, order: list[Column], caps: dict[str, int], default: int) -> DataFrame:
+    """The first rows of each pool, as many as its cap says."""
+    most = F.coalesce(F.create_map(*(F.lit(x) for pair in caps.items() for x in pair))[F.col(pool)], F.lit(default)) if caps else F.lit(default)
+    return top_per_group(df, pool, order, max([default, *caps.values()])).filter(F.col("rank") <= most)
+
+
+def natural_key(name: Column) -> Column:
+    """A text by which names sort naturally: runs of digits count as numbers, case is ignored."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+
+def watcher_samples(df: DataFrame, keys: list[str], order: list[str], tool: str, failed: Column, entry: Column, n: int = 10) -> DataFrame:
+    """(keys, order, instruction, input, output): a sample for each call after which a session spins or makes progress.
+
+    The input is the last ``n`` entries of the session, the output the state and its reason as JSON.
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    seen = progress(df, keys, order, tool, failed)
+    last5 = F.collect_list(F.when(~failed, F.col(tool))).over(w.rowsBetween(-4, 0))
+    seen = seen.withColumn("_in", F.array_join(F.collect_list(entry).over(w.rowsBetween(1 - n, 0)), "\n---\n")).withColumn("_d", F.size(F.array_distinct(last5)))
+    reason = F.when(F.col("state") == "spinning", F.concat(F.lit("Repeated failures with "), tool, F.lit(" detected."))).otherwise(F.concat(F.lit("Successful execution of "), F.col("_d").cast("string"), F.lit(" different tools.")))
+    answer = F.to_json(F.struct(F.col("state").alias("progress_status"), reason.alias("reason")))
+    ask = "Analyze the tool execution history and determine the agent's progress status (progress_status, reason)."
+    return seen.filter("state is not null").select(*keys, *order, F.lit(ask).alias("instruction"), F.col("_in").alias("input"), answer.alias("output"))
+
+
+def steps(df: DataFrame, keys: list[str], order: list[str], success: Column, backtrack: Column | None = None) -> DataFrame:
+    """``df`` with ``next_step`` (successes so far) and ``last_success`` (order value of the latest).
+
+    Where a ``backtrack`` point was given so far, the next step is the one after the last such point.
+    """
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("next_step", F.sum(success.cast("bigint")).over(w)).withColumn("last_success", F.max(F.when(success, F.col(order[0]))).over(w))
+    done = F.sum(success.cast("bigint")).over(w)
+    if backtrack is not None:
+        done = F.coalesce(F.last(backtrack, ignorenulls=True).over(w).cast("bigint") + 1, done)
+    return df.withColumn("next_step", done).withColumn("last_success", F.max(F.when(success, F.col(order[0]))).over(w))

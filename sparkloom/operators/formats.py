@@ -38,3 +38,32 @@ def response_prompt(instruction: Column, extra: Column) -> Column:
 def sample_json(instruction: Column, output: Column, extra: Column, thinking: Column, meta: Column) -> Column:
     """A record as a JSON line: empty input and thinking are left out, the rest is nested in ``_metadata``."""
     return F.to_json(F.struct(instruction.alias("instruction"), output.alias("output"), F.nullif(extra, F.lit("")).alias("input"), F.nullif(thinking, F.lit("")).alias("thinking"), meta.alias("_metadata")))
+
+
+# System texts by expert.
+EXPERT_SYSTEMS = {
+    "farore": "You are Farore, a 65816 assembly debugging expert. Analyze bugs, identify issues, and explain fixes.",
+    "veran": "You are Veran, a 65816 assembly hardware expert. Explain SNES hardware, registers, and low-level operations.",
+    "oracle_specialist": "You are an expert on the Oracle of Secrets ALTTP ROM hack. Explain code, systems, and implementations.",
+}
+DEFAULT_SYSTEM = "You are a helpful 65816 assembly expert."
+
+
+def expert_system(expert: Column) -> Column:
+    """The system text of an expert, a general one for others."""
+    out = F.lit(None).cast("string")
+    for name, text in EXPERT_SYSTEMS.items():
+        out = F.when(expert == name, F.lit(text)).otherwise(out)
+    return F.coalesce(out, F.lit(DEFAULT_SYSTEM))
+
+
+def expert_messages(expert: Column, user: Column, output: Column) -> Column:
+    """Messages for an expert; empty user and assistant turns are left out, so that a count of two or more tells real samples."""
+    turn = lambda role, c: F.when(or_empty(c) != "", message(role, c))
+    return F.array_compact(F.array(message("system", expert_system(expert)), turn("user", user), turn("assistant", output)))
+
+
+def pool_record(instruction: Column, output: Column, extra: Column, domain: Column, source: Column, expert: Column, quality: Column, teacher: Column) -> Column:
+    """A chat sample as a record of an expert's pool, with where it came from in ``metadata``."""
+    meta = F.struct(expert.alias("expert"), F.coalesce(quality, F.lit(0.0)).alias("original_quality"), F.coalesce(teacher, F.lit("unknown")).alias("teacher_model"), F.array(F.lit("distillation"), expert).alias("tags"))
+    return F.struct(or_empty(instruction).alias("input"), or_empty(output).alias("output"), or_empty(extra).alias("context"), F.coalesce(domain, F.lit("unknown")).alias("domain"), F.concat(F.lit("chat_distillation_"), F.coalesce(source, F.lit("unknown"))).alias("source"), meta.alias("metadata"))

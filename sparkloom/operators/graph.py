@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small
+from .dedup import distinct_ignoring_case
 
 
 
@@ -15,12 +16,13 @@ def node_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array_distinct(F.array_compact(keys))).alias("lookup")).distinct()
 
 
-def coverage(mentions: DataFrame, key: str, entities: str, nodes: DataFrame, validated: str | None = None) -> DataFrame:
-    """(key, mentioned, found, missing, coverage, score) of an array of entities by record.
+def coverage(mentions: DataFrame, key: str, entities: str, nodes: DataFrame, validated: str | None = None, least: float = 0.3) -> DataFrame:
+    """(key, mentioned, found, missing, coverage, low, score) of an array of entities by record.
 
-    coverage is found / mentioned, 1 if nothing is mentioned; score = min(1, coverage + 0.3), 0.1 more
-    (1 at most) if the record is tagged as validated, less 0.05 for each missing entity but not below
-    0.3. Entities are compared without case; repeats count once; null arrays mention nothing.
+    coverage is found / mentioned, 1 if nothing is mentioned, and ``low`` below ``least``, which is a warning
+    or a strict validator's error; score = min(1, coverage + 0.3), 0.1 more (1 at most) if the record is
+    tagged as validated, less 0.05 for each missing entity but not below 0.3. Entities are compared without
+    case; repeats count once; null arrays mention nothing.
     """
     tagged = F.coalesce(F.col(validated), F.lit(False)) if validated else F.lit(False)
     base = mentions.select(key, tagged.alias("_v"), F.array_distinct(F.transform(F.coalesce(F.col(entities), F.expr("cast(array() as array<string>)")), F.lower)).alias("_e"))
@@ -31,7 +33,8 @@ def coverage(mentions: DataFrame, key: str, entities: str, nodes: DataFrame, val
     cover = F.when(n == 0, 1.0).otherwise(F.col("found") / n)
     lifted = F.least(F.least(cover + 0.3, F.lit(1.0)) + F.when(F.col("_v") & (n > 0), 0.1).otherwise(0.0), F.lit(1.0))
     missing = n - F.col("found")
-    return joined.select(key, n.alias("mentioned"), "found", missing.alias("missing"), cover.alias("coverage"), F.when(missing > 0, F.greatest(lifted - missing * 0.05, F.lit(0.3))).otherwise(lifted).alias("score"))
+    score = F.when(missing > 0, F.greatest(lifted - missing * 0.05, F.lit(0.3))).otherwise(lifted)
+    return joined.select(key, n.alias("mentioned"), "found", missing.alias("missing"), cover.alias("coverage"), ((n > 0) & (cover < least)).alias("low"), score.alias("score"))
 
 
 def neighbours(edges: DataFrame, entity: str) -> DataFrame:
@@ -68,20 +71,72 @@ def manifest_diff(expected: DataFrame, actual: DataFrame, key: str, size: str, d
 
 
 def registry(files: DataFrame, directory: str, name: str, size: str, mtime: str, required: list[str]) -> DataFrame:
-    """Directories that hold one of ``required`` file names: files, size and latest change."""
-    each = files.groupBy(directory).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.max(mtime).alias("latest"), F.count_if(F.col(name).isin(required)).alias("_known"))
-    return each.filter("_known > 0").drop("_known")
+    """Directories that hold one of ``required`` file names: files, size, latest change and which required files they hold.
 
+    The list holds required names only, so that it does not grow with a directory.
+    """
+    known = F.when(F.col(name).isin(required), F.col(name))
+    each = files.groupBy(directory).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.max(mtime).alias("latest"), F.array_sort(F.collect_set(known)).alias("found"))
+    return each.filter(F.size("found") > 0)
+
+
+def inventory(files: DataFrame, directory: str, name: str, size: str, flags: dict[str, str], checkpoint: str = r"^checkpoint-(\d+)$") -> DataFrame:
+    """Model folders: total size, ``has_<flag>`` for each file pattern of ``flags``, and the numbers of their checkpoints."""
+    number = F.nullif(F.regexp_extract(name, checkpoint, 1), F.lit("")).cast("bigint")
+    return files.groupBy(directory).agg(
+        F.sum(size).alias("bytes"), *(F.bool_or(F.col(name).rlike(p)).alias(f"has_{k}") for k, p in flags.items()), F.array_sort(F.collect_set(number)).alias("checkpoints")
+    )
+
+
+def manifest_totals(files: DataFrame, size: str) -> DataFrame:
+    """One row: files and bytes of a manifest."""
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+# Patterns of entity names in any text, then in listings and in C++ code.
+ENTITY_PATTERNS = [
+    r"`([A-Z][a-zA-Z0-9_]+)`",
+    r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b",
+    r"\b(Link_[A-Za-z0-9_]+)\b",
+    r"\b(Player_[A-Za-z0-9_]+)\b",
+    r"\b(Sprite_[A-Za-z0-9_]+)\b",
+    r"\b(Module_[A-Za-z0-9_]+)\b",
+    r"\b([A-Z][A-Za-z0-9]+_[A-Z][A-Za-z0-9]+)\b",
+]
+ASM_ENTITIES = [r"\b([A-Z][a-z]+_[A-Z][a-z_0-9]+)\b", r"@([A-Za-z_][A-Za-z0-9_]+)"]
+CPP_ENTITIES = [r"\bclass\s+([A-Z][a-zA-Z0-9_]+)\b", r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)::\w+"]
+# How code names routines and symbols.
+ROUTINE_REFERENCES = [r"(?i)\b(?:JSR|JSL|JMP|JML)\s+([A-Za-z_][A-Za-z0-9_]+)\b", r"(?i)\b(?:BRA|BRL|BEQ|BNE|BCC|BCS|BMI|BPL)\s+([A-Za-z_][A-Za-z0-9_]+)\b"]
+SYMBOL_REFERENCES = [r"(?i)\b(?:LDA|LDX|LDY|STA|STX|STY)\s+([A-Za-z_][A-Za-z0-9_]+)\b"]
+
+
+def _all(text: Column, patterns: list[str]) -> Column:
+    return F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in patterns)))
+
+
+def entities(text: Column, domain: Column | None = None) -> Column:
+    """Names in a text, in order of pattern and place, without repeats but for case; further ones by domain."""
+    found = _all(text, ENTITY_PATTERNS)
+    if domain is not None:
+        none = F.expr("cast(array() as array<string>)")
+        found = F.concat(found, F.when(domain.startswith("asm"), _all(text, ASM_ENTITIES)).when(domain == "cpp", _all(text, CPP_ENTITIES)).otherwise(none))
+    return distinct_ignoring_case(found)
+
+
+def routine_references(code: Column) -> Column:
+    """Routines and labels that a listing jumps or branches to, each once, sorted."""
+    return F.array_sort(F.array_distinct(_all(code, ROUTINE_REFERENCES)))
 
-# Generic entity patterns.
-ENTITY_PATTERNS = [r"(\$[0-9A-Fa-f]{4,6})\b", r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+(?:_[A-Za-z0-9]+)*)", r"\b([A-Z]{2,}_[A-Z0-9_]+)\b", r"\b((?:Sprite|Link|Module|Room|Player)_[A-Za-z0-9_]+)"]
 
+def symbol_references(code: Column) -> Column:
+    """Symbols that a listing loads or stores, each once, sorted."""
+    return F.array_sort(F.array_distinct(_all(code, SYMBOL_REFERENCES)))
 
-def entities(text: Column) -> Column:
-    """Names and addresses in a text, in order of pattern and place, without repeats but for case."""
-    from .dedup import distinct_ignoring_case
 
-    return distinct_ignoring_case(F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in ENTITY_PATTERNS))))
+def unknown_references(df: DataFrame, key: str, references: Column, known: DataFrame) -> DataFrame:
+    """(key, reference) of references that ``known`` (lookup, lower case) does not hold."""
+    each = df.select(key, F.explode(references).alias("reference"))
+    return each.join(broadcast_if_small(known), F.lower("reference") == known["lookup"], "left_anti")
 
 
 def with_default(df: DataFrame, lookup: DataFrame, key: str, value: str, default: Column | str | float) -> DataFrame:

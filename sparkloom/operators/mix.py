@@ -31,23 +31,56 @@ def stratified_split(df: DataFrame, stratum: str, key: str, fraction: float = 0.
 
 
 def mix_report(split: DataFrame, dataset: str) -> DataFrame:
-    """Rows in all, for training and evaluation, and the percentage of the whole, by dataset."""
-    each = split.groupBy(dataset).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "eval").alias("eval"))
-    return each.withColumn("ratio_percent", F.col("train") * 100.0 / F.sum("train").over(W.partitionBy()))
+    """Rows in all, for training and evaluation, and the percentage of the training rows, by dataset and in all (null, ``is_total``)."""
+    is_train = F.col("split") == "train"
+    each = split.rollup(dataset).agg(F.count(F.lit(1)).alias("total"), F.count_if(is_train).alias("train"), F.count_if(F.col("split") == "eval").alias("eval"), F.grouping(dataset).cast("boolean").alias("is_total"))
+    return each.withColumn("ratio_percent", F.col("train") * 100.0 / F.nullif(F.max(F.when(F.col("is_total"), F.col("train"))).over(W.partitionBy()), F.lit(0)))  # one row for each dataset
+
+
+def value_at(df: DataFrame, order: str, rank: int, parts: int = 1024) -> object:
+    """The value at a 1-based rank of a numeric column without nulls, by counts of ever narrower ranges.
+
+    Each pass counts the rows of ``parts`` equal ranges and goes on with the one that holds the rank, so no
+    task or driver holds more than ``parts`` counts, however many rows or different values there are.
+    """
+    value = F.col(order)
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    before = 0
+    while low < high:
+        width = (high - low) / parts
+        inside = df.filter(value.between(low, high))
+        part = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(parts - 1)).cast("int")
+        counts = inside.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy("p").collect()
+        for row in counts:
+            if before + row["n"] >= rank:
+                low, high = row["lo"], row["hi"]
+                break
+            before += row["n"]
+    return low
 
 
 def ordered_split(df: DataFrame, order: str, fraction: float = 0.9) -> DataFrame:
-    """``df`` with ``split``: the first ``fraction`` of the rows by a unique ``order`` column train, the rest validates.
+    """``df`` with ``split``: the first ``fraction`` of the rows by a unique numeric ``order`` column train, the rest validates.
 
-    The cut is the value at that position, found by an exact percentile over one column; rows are not
-    put into a single task.
+    The cut is the value at that position, found by counts of ranges of that one column; rows are
+    neither sorted nor put into a single task.
     """
     n = df.count()
     cut = int(n * fraction)
     if cut == 0:
         return df.withColumn("split", F.lit("val"))
-    at = df.agg(F.expr(f"percentile_disc({(cut - 0.5) / n!r}) within group (order by `{order}`)").alias("v")).first()["v"]
-    return df.withColumn("split", F.when(F.col(order) <= F.lit(at), "train").otherwise("val"))
+    return df.withColumn("split", F.when(F.col(order) <= F.lit(value_at(df, order, cut)), "train").otherwise("val"))
+
+
+def shuffled_outputs(split: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """A :func:`stratified_split` as the files of a mix: train, eval, and val that mirrors eval, each in a seeded order ``place``."""
+    rows = split.withColumn("place", seeded_order(seed, F.col("split"), F.col(key)))
+    return rows.unionByName(rows.filter("split = 'eval'").withColumn("split", F.lit("val")))
+
+
+def random_split(df: DataFrame, key: str, fraction: float = 0.95, seed: int = 42) -> DataFrame:
+    """``df`` with ``split``: about ``fraction`` of the rows train, the others validate, by each row's key alone."""
+    return df.withColumn("split", F.when(seeded_uniform(seed, F.col(key)) < fraction, "train").otherwise("val"))
 
 
 def hash_sample(df: DataFrame, key: str, rate: float | Column, seed: int = 42) -> DataFrame:

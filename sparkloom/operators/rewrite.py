@@ -19,6 +19,19 @@ def scan_symbols(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.filter("name <> ''").select(key, "line_no", "name", "address")
 
 
+def markdown_symbols(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, address) of bold blocks of a page: every name in back quotes with every address, short forms of 7Exxxx added.
+
+    A block names several symbols by slashes.
+    """
+    blocks = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\*\*([^\n]*?)\*\*"), 1)).alias("_b"))
+    names = F.filter(F.split(F.array_join(F.regexp_extract_all("_b", F.lit(r"`([A-Z0-9_/]+)`"), 1), "/"), "[/ ]+"), lambda x: x != "")
+    addresses = F.transform(F.regexp_extract_all("_b", F.lit(r"`\$([0-9A-Fa-f]+)`"), 1), F.upper)
+    both = blocks.select(key, F.explode(names).alias("name"), addresses.alias("_a")).select(key, "name", F.explode("_a").alias("address"))
+    short = both.filter(F.col("address").rlike("^7E[0-9A-F]{4}$")).withColumn("address", F.substring("address", 3, 4))
+    return both.unionByName(short).distinct()
+
+
 def merge_symbols(symbols: DataFrame) -> DataFrame:
     """(address, name) from (address, name, priority, line_no): the highest priority wins, in it the last line.
 
@@ -75,7 +88,7 @@ def missing_labels(errors: Column) -> Column:
 
 def latest_index(df: DataFrame, group: str, name: str) -> DataFrame:
     """The name with the highest number before its extension, by group."""
-    number = F.regexp_extract(F.col(name), r"(\d+)(?:\.[A-Za-z0-9]+)?$", 1).cast("bigint")
+    number = F.nullif(F.regexp_extract(F.col(name), r"(\d+)(?:\.[A-Za-z0-9]+)?$", 1), F.lit("")).cast("bigint")
     return df.withColumn("_n", number).filter("_n is not null").groupBy(group).agg(F.max_by(name, F.struct("_n", name)).alias("latest"), F.max("_n").alias("number"))
 
 

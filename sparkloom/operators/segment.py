@@ -9,58 +9,57 @@ from pyspark.sql import functions as F
 from ..functions.text import lines, seeded_uniform, strip
 
 
-def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no from 0, line): every line of every text; null texts give none."""
-    return df.select(key, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
-
-
 def sections(df: DataFrame, key: str, text: str, least: int = 120, most: int = 2000) -> DataFrame:
     """(key, section_no, title, body) of markdown texts: a section for each line that begins with ``#``.
 
     Text before the first heading is a section without title. Bodies are stripped, those under
     ``least`` code points left out and longer ones than ``most`` cut. A ``#`` inside fenced code begins
-    a section too. The windows run within one text.
+    a section too. Each text is split within its row: nothing is shuffled.
     """
-    w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    heading = F.col("line").startswith("#")
-    numbered = line_table(df, key, text).withColumn("section_no", F.sum(heading.cast("int")).over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~heading, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    each = numbered.groupBy(key, "section_no").agg(F.max(F.when(heading, strip(F.regexp_replace("line", "^#+", "")))).alias("title"), strip(body).alias("body"))
+    part = F.posexplode(F.split(F.col(text), r"(?md)^(?=#)")).alias("_p", "_c")
+    cut = df.select(key, F.col(text).startswith("#").cast("int").alias("_first"), part).withColumn("section_no", (F.col("_p") + F.col("_first")).cast("bigint"))
+    heading, rest = F.substring_index("_c", "\n", 1), F.when(F.contains("_c", F.lit("\n")), F.regexp_replace("_c", r"^[^\n]*\n", "")).otherwise("")
+    titled = F.col("section_no") > 0
+    each = cut.select(key, "section_no", F.when(titled, strip(F.regexp_replace(heading, "^#+", ""))).alias("title"), strip(F.when(titled, rest).otherwise(F.col("_c"))).alias("body"))
     return each.filter(F.length("body") >= least).withColumn("body", F.substring("body", 1, most))
 
 
 def context(df: DataFrame, key: str, text: str, pattern: str, around: int = 2) -> DataFrame:
-    """(key, line_no, line, before, after) of lines that match, with up to ``around`` lines on either side."""
-    all_lines = lines(F.col(text))
-    hit = df.withColumn("_l", all_lines).select(key, "_l", F.posexplode("_l").alias("line_no", "line")).filter(F.col("line").rlike(pattern))
-    start = F.greatest(F.col("line_no") - around, F.lit(0))
-    return hit.select(
-        key, "line_no", "line",
-        F.array_join(F.slice("_l", start + 1, F.col("line_no") - start), "\n").alias("before"),
-        F.array_join(F.slice("_l", F.col("line_no") + 2, F.lit(around)), "\n").alias("after"),
-    )
+    """(key, line_no, line, before, after) of lines that match, with up to ``around`` lines on either side.
+
+    Only the hits are exploded, each with its own few lines.
+    """
+    ls = df.filter(F.col(text).rlike(f"(?md){pattern}")).select(key, lines(F.col(text)).alias("_l"))
+    at = F.array_compact(F.transform("_l", lambda x, i: F.when(x.rlike(pattern), i)))
+
+    def hit(i: Column) -> Column:
+        start = F.greatest(i - around, F.lit(0))
+        before, after = F.slice(F.col("_l"), start + 1, i - start), F.slice(F.col("_l"), i + 2, F.lit(around))
+        return F.struct(i.alias("line_no"), F.get("_l", i).alias("line"), F.array_join(before, "\n").alias("before"), F.array_join(after, "\n").alias("after"))
+
+    return ls.select(key, F.explode(F.transform(at, hit)).alias("_h")).select(key, "_h.*")
+
+
+_LABEL_LINE = r"(?md)^(?=[ \t\r\f]*[A-Za-z_][A-Za-z0-9_]*:[ \t\r\f]*$)"
 
 
 def commented_blocks(df: DataFrame, key: str, text: str, most_lines: int = 40) -> DataFrame:
-    """(key, line_no, label, comment, code): labels with the comment lines directly above and the code up to the next label.
+    """(key, block_no, label, comment, code): labels with the comment lines directly above and the code up to the next label.
 
-    Gaps and islands: a comment line belongs to the label that ends its run of comment lines. Labels
-    without a comment or without code are left out.
+    ``block_no`` counts the labels of a text. Code keeps its first ``most_lines`` lines that are neither
+    blank nor a comment. Labels without a comment or without code are left out. Each text is split at
+    its labels within its row: nothing is shuffled.
     """
-    w = W.partitionBy(key).orderBy("line_no")
-    kind = F.when(strip(F.col("line")).startswith(";"), "comment").when(strip(F.col("line")).rlike(r"^[A-Za-z_][A-Za-z0-9_]*:$"), "label").otherwise("code")
-    t = line_table(df, key, text).withColumn("kind", kind)
-    t = t.withColumn("owner", F.sum(F.when(F.col("kind") == "label", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    t = t.withColumn("run", F.coalesce(F.sum(F.when(F.col("kind") != "comment", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    comments = t.filter(F.col("kind") == "comment").groupBy(key, "run").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", strip(F.regexp_replace(strip(F.col("line")), "^;+", "")).alias("c")))), lambda x: x["c"]), " ").alias("comment"), F.max("line_no").alias("_end")
-    )
-    code = t.filter((F.col("kind") == "code") & (strip(F.col("line")) != "")).withColumn("_k", F.row_number().over(W.partitionBy(key, "owner").orderBy("line_no"))).filter(F.col("_k") <= most_lines)
-    code = code.groupBy(key, "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("code"))
-    labels = t.filter(F.col("kind") == "label").select(key, "line_no", F.regexp_replace(strip(F.col("line")), ":$", "").alias("label"), "owner")
-    above = comments.select(F.col(key).alias("_key"), (F.col("_end") + 1).alias("_at"), "comment")
-    found = labels.join(above, (F.col(key) == F.col("_key")) & (F.col("line_no") == F.col("_at"))).join(code, [key, "owner"])
-    return found.select(key, "line_no", "label", "comment", "code")
+    chunks = df.select(key, F.split(F.col(text), _LABEL_LINE).alias("_c")).filter(F.size("_c") > 0)
+    # Text that begins with a label has nothing before it.
+    chunks = chunks.withColumn("_c", F.when(F.element_at("_c", 1).rlike(r"^[ \t\r\f]*[A-Za-z_][A-Za-z0-9_]*:[ \t\r\f]*(\n|$)"), F.concat(F.array(F.lit("")), "_c")).otherwise(F.col("_c")))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.struct(i.alias("block_no"), F.get("_c", i - 1).alias("above"), F.get("_c", i).alias("own")))
+    rows = chunks.filter(F.size("_c") > 1).select(key, F.explode(pairs).alias("_p")).select(key, "_p.*")
+    run = F.regexp_extract("above", r"(?:^|\n)((?:[ \t\r\f]*;[^\n]*\n)+)\z", 1)
+    comment = F.array_join(F.transform(F.filter(lines(run), lambda x: x != ""), lambda x: strip(F.regexp_replace(strip(x), "^;+", ""))), " ")
+    body = F.filter(F.slice(lines(F.col("own")), 2, 1_000_000_000), lambda x: (strip(x) != "") & ~strip(x).startswith(";"))
+    found = rows.select(key, "block_no", F.regexp_extract("own", r"^[ \t\r\f]*([A-Za-z_][A-Za-z0-9_]*):", 1).alias("label"), run.alias("_run"), comment.alias("comment"), F.array_join(F.slice(body, 1, most_lines), "\n").alias("code"))
+    return found.filter((F.col("_run") != "") & (F.col("code") != "")).drop("_run")
 
 
 def completion_windows(df: DataFrame, key: str, text: str, per_text: int = 3, prefix: int = 400, completion: int = 80, suffix: int = 200, seed: int = 42) -> DataFrame:
@@ -113,3 +112,13 @@ def paraphrases(df: DataFrame, key: str, text: str, templates: list[tuple[str, s
     rows = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(chosen).alias("_p", "_c"))
     first = rows.withColumn("_k", F.row_number().over(W.partitionBy(key, F.lower("_c.variant")).orderBy("_p"))).filter("_k = 1")
     return first.select(key, F.col("_c.style").alias("style"), F.col("_c.variant").alias("variant"))
+
+
+# The parts of an assistant's message that tell its state, in order.
+STATE_PARTS = [r"### Current Status:.*?(?=###|\z)", r"### Details:.*?(?=###|\z)", r"### Errors:.*?(?=###|\z)", r"### Next Steps:.*?(?=###|\z)", r"Decision:.*?(?=\n\n|\z)"]
+
+
+def state_sections(content: Column) -> Column:
+    """The first part of each kind that tells a state, stripped and joined by blank lines; '' without any."""
+    parts = [F.nullif(strip(F.regexp_extract(content, f"(?is)({p})", 1)), F.lit("")) for p in STATE_PARTS]
+    return F.concat_ws("\n\n", *parts)

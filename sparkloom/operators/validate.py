@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import asm
-from ..functions.text import any_of, lines, or_empty, strip
+from ..functions.text import lines, or_empty, strip
 
 
 def verdict(valid: Column, score: Column, errors: Column | None = None, warnings: Column | None = None) -> Column:
@@ -17,6 +17,12 @@ def verdict(valid: Column, score: Column, errors: Column | None = None, warnings
     return F.struct(valid.alias("valid"), score.cast("double").alias("score"), F.coalesce(errors, none).alias("errors") if errors is not None else none.alias("errors"), F.coalesce(warnings, none).alias("warnings") if warnings is not None else none.alias("warnings"))
 
 
+def hint(word: Column) -> Column:
+    """`` (did you mean X?)`` with the first instruction one edit away from an unknown one, else ''."""
+    near = F.filter(F.array(*map(F.lit, asm.MNEMONICS)), lambda m: F.levenshtein(word, m) <= 1)
+    return F.coalesce(F.concat(F.lit(" (did you mean "), F.try_element_at(near, F.lit(1)), F.lit("?)")), F.lit(""))
+
+
 def listing(code: Column, strict: bool = False) -> Column:
     """Share of known instructions, 0.1 more (1 at most) if a hardware register is named; 0.5 if there is none.
 
@@ -27,37 +33,46 @@ def listing(code: Column, strict: bool = False) -> Column:
     found, known = F.size(heads), F.size(F.filter(heads, asm.is_mnemonic))
     bonus = F.when(F.upper(code).rlike("|".join(asm.REGISTERS)), 0.1).otherwise(0.0)
     score = F.when(found == 0, 0.5).otherwise(F.least(known / found + bonus, F.lit(1.0)))
-    unknown = F.transform(F.array_sort(F.array_distinct(F.filter(heads, lambda w: ~asm.is_mnemonic(w)))), lambda w: F.concat(F.lit("unknown instruction "), w))
+    unknown = F.transform(F.array_sort(F.array_distinct(F.filter(heads, lambda w: ~asm.is_mnemonic(w)))), lambda w: F.concat(F.lit("unknown instruction "), w, hint(w)))
     none = F.when(found == 0, F.array(F.lit("no instruction"))).otherwise(unknown)
     return verdict((F.size(unknown) == 0) if strict else F.lit(True), score, unknown if strict else None, None if strict else none)
 
 
-def semantic_score(code: Column) -> Column:
-    """struct(instructions, modes, registers, returns, orphans, comment_ratio, score) of a listing."""
-    code = or_empty(code)
-    raw = lines(code)
-    bare = F.transform(raw, asm.code_of)
-    kept = F.filter(bare, lambda x: x != "")
-    comments = F.size(F.filter(raw, lambda x: (asm.code_of(x) == "") & F.contains(x, F.lit(";"))))
-    inst = F.filter(kept, lambda x: asm.is_mnemonic(asm.head(x)))
-    operands = F.array_join(F.transform(inst, asm.operand), "\n")
-    modes = F.lit(0)
+_HEAD = "(?mdi)^[ \\t\\r\\f]*((?:%s):*(?:[ \\t\\r\\f\\x0B][^\\n]*)?)$"
+_INSTRUCTION = _HEAD % "|".join(asm.MNEMONICS)
+_RETURN = _HEAD % "RTS|RTL|RTI"
+
+
+def semantic_scores(df: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, instructions, modes, registers, returns, orphans, comment_ratio, score) of listings; null counts as ''.
+
+    0.05 for each addressing mode (0.3 at most), 0.04 for each hardware register (0.2 at most), 0.2 for a
+    return, 0.1 for a share of comment lines from 0.1 to 0.5, 0.2 for any instruction, less 0.1 if a label is
+    never used. Patterns run over whole texts; what several of them read is a column of its own.
+    """
+    text = df.select(key, or_empty(F.col(code)).alias("_t"))
+    bare = text.select(key, F.regexp_replace("_t", ";[^\n]*", "").alias("_b"), F.regexp_count("_t", F.lit(r"(?md)^[ \t\r\f]*;")).alias("_comments"))
+    found = bare.select(
+        key, "_comments", "_b", F.regexp_count("_b", F.lit(r"(?md)^[ \t\r\f]*[^ \t\r\f\n]")).alias("_lines"), F.regexp_extract_all("_b", F.lit(_INSTRUCTION), 1).alias("_inst"),
+        F.regexp_replace("_b", r"(?md)^[ \t\r\f]*\S+", "").alias("_rest"),
+    )
+    parts = found.select(
+        key, "_comments", "_lines", F.size("_inst").alias("instructions"), F.lower(F.array_join("_inst", "\n")).alias("_named"), F.col("_b").rlike(_RETURN).alias("returns"),
+        F.array_join(F.transform("_inst", asm.operand), "\n").alias("_ops"),
+        F.regexp_extract_all("_b", F.lit(r"(?md)^[ \t\r\f]*([A-Za-z_][A-Za-z0-9_]*)[ \t]*:"), 1).alias("_defined"), F.split(F.regexp_replace("_rest", r"[#$(),\[\]]", ""), r"[ \t\n\r\f]+").alias("_used"),
+    )
+    modes, registers = F.lit(0), F.lit(0)
     for pattern in asm.MODES.values():
-        modes = modes + operands.rlike("(?m)" + pattern).cast("int")
-    named = F.lower(F.array_join(inst, "\n"))
-    registers = F.lit(0)
+        modes = modes + F.col("_ops").rlike("(?m)" + pattern).cast("int")
     for r in asm.REGISTERS:
-        registers = registers + F.contains(named, F.lit(r.lower())).cast("int")
-    returns = F.exists(inst, lambda x: asm.head(x).isin("RTS", "RTL", "RTI"))
-    defined = F.filter(F.transform(kept, lambda x: F.regexp_extract(x, r"^([A-Za-z_][A-Za-z0-9_]*)[ \t]*:", 1)), lambda x: x != "")
-    used = F.flatten(F.transform(kept, lambda x: F.transform(F.split(asm.operand(x), r"[ \t]+"), lambda w: F.regexp_replace(w, r"[#$(),\[\]]", ""))))
-    orphans = F.size(F.array_except(defined, used))
-    total = F.size(kept) + comments
-    ratio = F.when(total > 0, comments / total).otherwise(0.0)
-    score = F.least(modes * 0.05, F.lit(0.3)) + F.least(registers * 0.04, F.lit(0.2)) + F.when(returns, 0.2).otherwise(0.0)
-    score = score + F.when(ratio.between(0.1, 0.5), 0.1).otherwise(0.0) + F.when(F.size(inst) > 0, 0.2).otherwise(0.0)
-    score = F.least(F.when(orphans > 0, F.greatest(score - 0.1, F.lit(0.0))).otherwise(score), F.lit(1.0))
-    return F.struct(F.size(inst).alias("instructions"), modes.alias("modes"), registers.alias("registers"), returns.alias("returns"), orphans.alias("orphans"), ratio.alias("comment_ratio"), score.alias("score"))
+        registers = registers + F.contains("_named", F.lit(r.lower())).cast("int")
+    total = F.col("_lines") + F.col("_comments")
+    made = parts.select(
+        key, "instructions", modes.alias("modes"), registers.alias("registers"), "returns", F.size(F.array_except("_defined", "_used")).alias("orphans"), F.when(total > 0, F.col("_comments") / total).otherwise(0.0).alias("comment_ratio")
+    )
+    score = F.least(F.col("modes") * 0.05, F.lit(0.3)) + F.least(F.col("registers") * 0.04, F.lit(0.2)) + F.when(F.col("returns"), 0.2).otherwise(0.0)
+    score = score + F.when(F.col("comment_ratio").between(0.1, 0.5), 0.1).otherwise(0.0) + F.when(F.col("instructions") > 0, 0.2).otherwise(0.0)
+    return made.withColumn("score", F.least(F.when(F.col("orphans") > 0, F.greatest(score - 0.1, F.lit(0.0))).otherwise(score), F.lit(1.0)))
 
 
 def assembled_score(assembled: Column, semantic: Column) -> Column:
@@ -182,15 +197,61 @@ def log_errors(tail: Column) -> Column:
     return F.array_compact(F.array(*(F.when(or_empty(tail).rlike(p), F.lit(k)) for k, p in LOG_ERRORS.items())))
 
 
-def disk_severity(used: Column, threshold: int = 85) -> Column:
-    """critical at ten points over the threshold (99 at most), warning at the threshold, else null."""
-    return F.when(used >= min(99, threshold + 10), "critical").when(used >= threshold, "warning")
-
-
-def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
-    """Seconds to wait before a retry: base x 2^attempt, at most ``most``, without jitter."""
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
+def health_issues(r: dict[str, Column], idle_minutes: int = 15, idle_percent: float = 5.0, disk_percent: int = 85) -> Column:
+    """array<struct(level, kind)> of what is wrong with an instance.
 
+    ``r`` has instance, status, remote (whether there is any), training, log_path, log_age, gpu, disk and
+    log_errors. Without an instance nothing else is looked at; without a remote status nothing after it.
+    """
+    issue = lambda test, level, kind: F.when(test, F.struct(F.lit(level).alias("level"), F.lit(kind).alias("kind")))
+    here, reached = F.coalesce(r["instance"], F.lit(False)), F.coalesce(r["remote"], F.lit(False))
+    seen = here & reached
+    disk_level = F.when(r["disk"] >= min(99, disk_percent + 10), "critical").otherwise("warning")
+    rules = [
+        issue(~here, "critical", "instance_missing"),
+        issue(here & (or_empty(r["status"]) != "") & (r["status"] != "running"), "critical", "instance_state"),
+        issue(here & ~reached, "critical", "ssh_unavailable"),
+        issue(seen & (r["training"] == "IDLE"), "warning", "training_idle"),
+        issue(seen & r["log_path"].isNull(), "warning", "log_missing"),
+        issue(seen & (r["log_age"] > idle_minutes * 60), "warning", "log_stale"),
+        issue(seen & (r["training"] == "TRAINING") & (r["gpu"] < idle_percent), "warning", "gpu_idle"),
+        F.when(seen & (r["disk"] >= disk_percent), F.struct(disk_level.alias("level"), F.lit("disk_warning").alias("kind"))),
+    ]
+    errors = F.when(seen, F.transform(r["log_errors"], lambda e: F.struct(F.lit("critical").alias("level"), F.lit("log_error").alias("kind"))))
+    return F.concat(F.array_compact(F.array(*rules)), F.coalesce(errors, F.expr("cast(array() as array<struct<level: string, kind: string>>)")))
+
+
+# The setting that switches the alert of an event off.
+ALERTS = {
+    "training-start": "alert_on_training_start", "training-complete": "alert_on_training_complete", "training-failed": "alert_on_training_failed", "eval-complete": "alert_on_eval_complete",
+    "backup-complete": "alert_on_backup_complete", "export-complete": "alert_on_export_complete", "budget-warning": "alert_on_budget_warning", "idle-detected": "alert_on_idle_detection", "disk-warning": "alert_on_disk_warning",
+}
+
+
+def suppressed(event: Column, config: dict[str, bool]) -> Column:
+    """Whether the alert of an event is switched off; unknown and null events are not."""
+    off = [e for e, setting in ALERTS.items() if not config.get(setting, True)]
+    return F.coalesce(event.isin(off), F.lit(False)) if off else F.lit(False)
+
+
+def respond(text: Column, error: Column, category: Column, text_categories: list[str], judge: Column) -> Column:
+    """struct(mode, valid, score) of a reply: an error gives 0, categories of prose the check of a text, all others ``judge``."""
+    prose = text_reply(text)
+    failed, reads = or_empty(error) != "", F.coalesce(category.isin(text_categories), F.lit(False))
+    return F.struct(
+        F.when(failed, "error").when(reads, "text").otherwise("asm").alias("mode"),
+        F.when(failed, False).when(reads, prose["valid"]).otherwise(judge["valid"]).alias("valid"),
+        F.when(failed, 0.0).when(reads, prose["score"]).otherwise(judge["score"]).alias("score"),
+    )
+
+
+def assembled(found: Column, ok: Column) -> Column:
+    """The verdict of an outside assembler: 1 or 0, or valid at 0.5 with a warning where there is none."""
+    return F.when(~found, verdict(F.lit(True), F.lit(0.5), None, F.array(F.lit("assembler not found")))).otherwise(verdict(ok, F.when(ok, 1.0).otherwise(0.0)))
+
+
+def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, jitter: Column | None = None) -> Column:
+    """Seconds to wait before a retry: base x 2^attempt, at most ``most``, with a share ``jitter`` of it added."""
+    wait = F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
+    return wait * (F.lit(1.0) + jitter) if jitter is not None else wait
 
-def mentions(text: Column, words: list[str]) -> Column:
-    return any_of(or_empty(text), words)

@@ -13,51 +13,24 @@ from ..functions.text import any_of, lines, or_empty, seeded_order, slug, strip
 from ..operators import classify, curate, dedup, events, formats, graph, mix, profile, rewrite, routines, segment, validate
 from ..runtime import norm_label, table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that must give the same rows."""
-
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
+from .registry import query
+from .registry import sql_any as _any
+from .registry import sql_hits as _hits
+from .registry import sql_norm as _norm
+from .registry import sql_strip as _strip
+from .registry import sql_uniform as _uniform
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-# --- SQL fragments ---------------------------------------------------------------------------------
-
-
-def _strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
-
-
-def _norm(x: str) -> str:
-    return rf"regexp_replace(regexp_replace(lower({x}), '^\s+|\s+$', '', 'g'), '[-\s]', '_', 'g')"
-
+    from . import cases, registry  # registers more
 
-def _any(x: str, words: list[str]) -> str:
-    return "(" + " or ".join(f"contains({x}, '{w.lower().replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+    return registry.registered() if cases else {}
 
 
-def _hits(x: str, words: list[str]) -> str:
-    return "(" + " + ".join(f"contains({x}, '{w.lower().replace(chr(39), chr(39) * 2)}')::int" for w in words) + ")"
-
+def oracle_sql() -> dict[str, str]:
+    from . import cases, registry
 
-def _uniform(seed: int, key: str) -> str:
-    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 8))::bigint / 4294967296.0"
+    return registry.registered_sql() if cases else {}
 
 
 # --- deduplication and profiles --------------------------------------------------------------------
@@ -142,17 +115,31 @@ def clean_instructions(spark, d):
     return _library(spark, d, "instruction").select("rec_id", cleaned.alias("cleaned"), (cleaned != F.col("instruction")).alias("changed"))
 
 
-@query(f"""with c as (select rec_id, {_strip("coalesce(output, '')")} as o, {_clean_sql(_strip("coalesce(instruction, '')"))} as i from {_LIBRARY})
-select case when o = '' then 'drop_missing_output' when i = '' then 'drop_empty_instruction' when contains(lower(i), 'todo') then 'drop_todo_instruction' else 'kept' end as reason, count(*) as n from c group by 1""")
-def normalize_reject_stats(spark, d):
-    return curate.reject_stats(curate.normalize_records(_library(spark, d, "instruction", "output", "domain", "source")))
+_STRIPPED = r"'^[ .;:-]+|[ .;:-]+$', '', 'g'"
+_NORMALIZED = rf"""with b as (select rec_id, {_strip("coalesce(instruction, '')")} as raw, {_strip("coalesce(output, '')")} as output, domain, source from {_LIBRARY}), c as (select *, {_clean_sql("raw")} as cleaned from b),
+s as (select rec_id, {_strip("unnest(string_split(output, chr(10)))")} as line, generate_subscripts(string_split(output, chr(10)), 1) as k from b),
+label as (select rec_id, arg_min(regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_.]*)', 1), k) as label from s where not starts_with(line, ';') and not starts_with(line, '#_') and regexp_matches(line, '^[A-Za-z_][A-Za-z0-9_.]*[ \t]*::?[ \t]*\{{?$') group by 1),
+w as (select rec_id, upper(regexp_extract(regexp_replace(regexp_replace(line, '^#_[^:]*:\s*', ''), '^[A-Za-z0-9_]+:\s*', ''), '^(\S+)', 1)) as h from s where line <> '' and not starts_with(line, ';')),
+kind as (select rec_id, case when bool_or(h in ({", ".join(repr(m) for m in asm.MNEMONICS)})) then 'code' when bool_or(lower(h) in ({", ".join(repr(m) for m in asm.DIRECTIVES)})) then 'data' else 'unknown' end as kind from w group by 1),
+r as (select c.*, coalesce(label, '') as label, coalesce(kind, 'unknown') as kind, starts_with(lower(cleaned), 'write a 65816 routine that') as generic, {_strip("substr(cleaned, 27)")} as rest from c left join label using (rec_id) left join kind using (rec_id)),
+t as (select *, regexp_matches(regexp_replace({_strip(r"regexp_replace(replace(regexp_replace(regexp_replace(rest, 'org\s+\$[0-9A-Fa-f]+', '', 'gi'), '\$[0-9A-Fa-f]{4,6}', '', 'g'), 'org', ''), '[\s,;:]+', ' ', 'g')")}, {_STRIPPED}), '[A-Za-z]') as worded from r),
+n as (select *, case when not generic then cleaned when worded then 'Write a 65816 routine that ' || regexp_replace(rest, {_STRIPPED}) || '.' else '' end as kept, case when label = '' then '' when kind = 'data' then 'Define the ASM data table ' || label || '.' else 'Write a 65816 routine named ' || label || '.' end as made from t),
+i as (select *, case when kept <> '' then kept else made end as instruction from n)
+select rec_id, instruction, output, coalesce(nullif({_strip("domain")}, ''), case when starts_with(lower(instruction), 'summarize') and contains(lower(instruction), 'asm change') then 'asm-git' when starts_with(lower(instruction), 'summarize') then 'asm-comment' when starts_with(lower(instruction), 'write a 65816 routine') then 'asm-generate' else 'asm' end) as domain,
+coalesce(nullif({_strip("source")}, ''), 'unknown') as source, cleaned <> raw as instruction_cleaned, case when kept = '' and made <> '' then kind end as generated_kind,
+case when output = '' then 'drop_missing_output' when instruction = '' then 'drop_empty_instruction' when contains(lower(instruction), 'todo') then 'drop_todo_instruction' end as reject_reason from i"""
 
 
-@query()
+@query(_NORMALIZED)
 def normalize_records(spark, d):
     return curate.normalize_records(_library(spark, d, "instruction", "output", "domain", "source")).drop("loaded_at")
 
 
+@query(f"select coalesce(reject_reason, 'kept') as reason, count(*) as n from ({_NORMALIZED}) group by 1")
+def normalize_reject_stats(spark, d):
+    return curate.reject_stats(curate.normalize_records(_library(spark, d, "instruction", "output", "domain", "source")))
+
+
 @query(rf"""with l as (select doc_id, {_strip("unnest(string_split(text, chr(10)))")} as line from documents),
 w as (select doc_id, upper(regexp_extract(regexp_replace(regexp_replace(line, '^#_[^:]*:\s*', ''), '^[A-Za-z0-9_]+:\s*', ''), '^(\S+)', 1)) as h from l where line <> '' and not starts_with(line, ';'))
 select doc_id, case when bool_or(h in ({", ".join(repr(m) for m in asm.MNEMONICS)})) then 'code' when bool_or(lower(h) in ({", ".join(repr(m) for m in asm.DIRECTIVES)})) then 'data' else 'unknown' end as kind from (select doc_id, h from w union all select doc_id, '' from documents where text is not null) group by doc_id""")
@@ -193,8 +180,7 @@ select rec_id, domain, least(score::double / 10, 1.0) as confidence from (select
 @query(_domain_sql())
 def classify_argmax(spark, d):
     text = F.concat(F.col("instruction"), F.lit(" "), or_empty(F.col("output")))
-    rows = _library(spark, d, "instruction", "output").select("rec_id", classify.domain(text).alias("c"))
-    return rows.select("rec_id", "c.domain", "c.confidence").filter("confidence >= 0.3")
+    return classify.domains(_library(spark, d, "instruction", "output"), text).select("rec_id", "domain", "confidence").filter("confidence >= 0.3")
 
 
 @query(f"""with x as (select doc_id, lower(text) as low from documents where text is not null), m as (select doc_id, case when {_any("low", classify.POOLS["oos"])} then 'oos' when {_any("low", classify.POOLS["asm"])} then 'asm' end as pool from x
@@ -225,11 +211,20 @@ def intent_category(spark, d):
     return table(spark, d, "test_cases", "test_id", "prompt").select("test_id", classify.eval_category(p).alias("category"), classify.intent(p).alias("intent"))
 
 
-@query(f"""with x as (select unnest(string_split(text, chr(10))) as line from documents), s as (select lower(line) as low from x where regexp_matches(line, '^    [A-Z]'))
-select case {" ".join(f"when {_any('low', k)} then '{n}'" for n, k in classify.COMMITS.items())} else 'other' end as commit_type, count(*) as n from s group by 1""")
+_COMMITS = rf"""(with d as (select doc_id, unnest(list_filter(string_split(chr(10) || text, chr(10) || 'commit '), lambda x: regexp_matches(x, '^[0-9a-f]{{7,40}}[ \t\r]*(\n|$)'))) as c from documents),
+h as (select doc_id, regexp_extract(c, '^([0-9a-f]+)', 1) as hash, list_transform(list_filter(string_split(split_part(c, chr(10) || 'diff --git', 1), chr(10)), lambda x: starts_with(x, '    ')), lambda x: {_strip("substr(x, 5)")}) as said from d)
+select doc_id, hash, coalesce(said[1], '') as subject, {_strip("coalesce(array_to_string(said[2:], chr(10)), '')")} as body from h)"""
+
+
+@query(f"select doc_id, hash, subject, body from {_COMMITS}")
+def commits(spark, d):
+    """The commits of every log among the documents."""
+    return routines.parse_commits(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "hash", "subject", "body")
+
+
+@query(f"""with s as (select lower(subject) as low from {_COMMITS}) select case {" ".join(f"when {_any('low', k)} then '{n}'" for n, k in classify.COMMITS.items())} else 'other' end as commit_type, count(*) as n from s group by 1""")
 def commit_types(spark, d):
-    docs = table(spark, d, "documents", "text").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
-    return docs.groupBy(classify.commit_type(F.col("line")).alias("commit_type")).agg(F.count(F.lit(1)).alias("n"))
+    return commits(spark, d).groupBy(classify.commit_type(F.col("subject")).alias("commit_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""select case {" ".join(f"when lower(regexp_extract(path, '([.][A-Za-z0-9]+)$', 1)) = '{e}' then '{k}'" for e, k in classify.FILE_KINDS.items())} else 'unknown' end as file_kind, count(*) as n from documents where path is not null group by 1""")
@@ -269,7 +264,7 @@ def stratified_split(spark, d):
     return mix.stratified_split(rows, "source", "rec_id")
 
 
-@query(f"""select source, count(*) as total, count(*) filter (split = 'train') as train, count(*) filter (split = 'eval') as eval, count(*) filter (split = 'train') * 100.0::double / sum(count(*) filter (split = 'train')) over () as ratio_percent from ({_SPLIT}) group by source""")
+@query(f"""select source, count(*) as total, count(*) filter (split = 'train') as train, count(*) filter (split = 'eval') as eval, grouping(source) = 1 as is_total, count(*) filter (split = 'train') * 100.0::double / (select count(*) from ({_SPLIT}) where split = 'train') as ratio_percent from ({_SPLIT}) group by rollup (source)""")
 def mix_ratio(spark, d):
     return mix.mix_report(stratified_split(spark, d), "source")
 
@@ -327,12 +322,9 @@ def rolling_context(spark, d):
     return events.rolling_context(_events(spark, d), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "context")
 
 
-@query("select event_type, count(*) as calls, count(*) filter (value < 20) as failures from events group by event_type")
-def tool_rollup(spark, d):
-    return tool_rollup_running_avg(spark, d).select("event_type", "calls", "failures")
-
-
-@query()
+@query("""with n as (select event_type, value, row_number() over (partition by event_type order by ts, event_id) as n from events),
+w as (select *, coalesce(sum(case when value > 0 and n > 1 then ln(1 - 1.0::double / n) else 0.0 end) over (partition by event_type order by n desc rows between unbounded preceding and 1 preceding), 0.0) as l from n)
+select event_type, count(*) as calls, count(*) filter (value < 20) as failures, avg(case when value > 0 then value end) as mean_positive, coalesce(sum(case when value > 0 then exp(l) * value / n end), 0.0) as running_avg from w group by event_type""")
 def tool_rollup_running_avg(spark, d):
     return events.tool_rollup(_events(spark, d), "event_type", F.col("value") < 20, F.col("value"), F.struct("ts", "event_id"), F.date_trunc("day", F.col("ts").cast("timestamp")))
 
@@ -404,22 +396,29 @@ def context_lines(spark, d):
     return segment.context(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", "(JSL|JSR) [A-Z]")
 
 
-@query()
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where text is not null), s as (select *, {_strip("line")} as s from l),
+t as (select *, case when starts_with(s, ';') then 'comment' when regexp_matches(s, '^[A-Za-z_][A-Za-z0-9_]*:$') then 'label' else 'code' end as kind from s),
+o as (select *, sum((kind = 'label')::int) over (partition by doc_id order by k) as block_no, k - row_number() over (partition by doc_id, kind order by k) as island from t),
+c as (select doc_id, max(k) as last, string_agg({_strip("regexp_replace(s, '^;+', '')")}, ' ' order by k) as comment from o where kind = 'comment' group by doc_id, island),
+n as (select *, row_number() over (partition by doc_id, block_no order by k) as place from o where kind = 'code' and s <> ''), b as (select doc_id, block_no, string_agg(line, chr(10) order by k) as code from n where place <= 40 group by all)
+select o.doc_id, o.block_no::int as block_no, regexp_replace(s, ':$', '') as label, comment, code from o join c on c.doc_id = o.doc_id and c.last = o.k - 1 join b on b.doc_id = o.doc_id and b.block_no = o.block_no where kind = 'label'""")
 def commented_blocks(spark, d):
     return segment.commented_blocks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+@query("""with t as (select doc_id, text, unnest(range(3)) as attempt from documents where length(text) >= 100), a as (select *, floor(('0x' || substr(md5('42|' || doc_id::varchar || '|' || attempt::varchar), 1, 8))::bigint / 4294967296.0 * (length(text) - 1))::int + 1 as place from t)
+select doc_id, attempt::int as attempt, substr(text, greatest(place - 400, 0) + 1, place - greatest(place - 400, 0)) as prefix, substr(text, place + 1, 80) as completion, substr(text, place + 81, 200) as suffix from a""")
 def completion_windows(spark, d):
     return segment.completion_windows(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query(r"""with t as (select rec_id, regexp_split_to_array(instruction, '\s+') as p, regexp_split_to_array(coalesce(output, ''), '\s+') as c from pattern_library where loaded_at = (select max(q.loaded_at) from pattern_library q where q.rec_id = pattern_library.rec_id))
-select rec_id, least(len(p), greatest(60 - len(c), 0)) as prefix_tokens, least(len(c), 60) as completion_tokens from t""")
+@query(rf"""with t as (select rec_id, regexp_split_to_array(instruction, '\s+') as p, regexp_split_to_array(coalesce(output, ''), '\s+') as c, regexp_split_to_array(coalesce(thinking, ''), '\s+') as x from {_LIBRARY}),
+o as (select *, greatest(len(p) + len(c) + len(x) - 60, 0) as over from t), f as (select *, least(over, len(p)) as fp from o), g as (select *, least(over - fp, len(x)) as fx from f)
+select rec_id, array_to_string(p[fp + 1:], ' ') as prefix, array_to_string(c[:len(c) - (over - fp - fx)], ' ') as completion, array_to_string(x[:len(x) - fx], ' ') as suffix from g""")
 def token_trim(spark, d):
-    rows = dedup.first_per_key(table(spark, d, "pattern_library", "rec_id", "loaded_at", "instruction", "output"), F.col("rec_id"), [-F.unix_micros(F.col("loaded_at").cast("timestamp"))])
-    cut = segment.trim_tokens(F.split("instruction", r"\s+"), F.split(or_empty(F.col("output")), r"\s+"), F.expr("cast(array() as array<string>)"), 60)
-    return rows.select("rec_id", F.size(cut["prefix"]).alias("prefix_tokens"), F.size(cut["completion"]).alias("completion_tokens"))
+    words = lambda c: F.split(or_empty(F.col(c)), r"\s+", -1)
+    cut = segment.trim_tokens(words("instruction"), words("output"), words("thinking"), 60)
+    return _library(spark, d, "instruction", "output", "thinking").select("rec_id", *(F.array_join(cut[k], " ").alias(k) for k in ("prefix", "completion", "suffix")))
 
 
 _STYLES = [("polite", "Please {}"), ("terse", "Task: {}"), ("team", "For the team: {}"), ("review", "In review: {}")]
@@ -439,12 +438,21 @@ def address_usage(spark, d):
     return rows.groupBy(F.upper(F.regexp_extract("line", r"\$([0-9A-Fa-f]{4,6})", 1)).alias("address")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query()
+# A few hardware registers and their addresses, and a name of lower precedence.
+_SYMBOLS = [("2100", "INIDISP", 2, 0), ("2115", "VMAIN", 2, 1), ("2116", "VMADDL", 2, 2), ("4200", "NMITIMEN", 2, 3), ("420B", "MDMAEN", 2, 4), ("420C", "HDMAEN", 2, 5), ("4212", "HVBJOY", 2, 6), ("2100", "screen", 1, 0)]
+
+
+def _enriched_sql(x: str) -> str:
+    for _ in range(2):  # what ends an address is consumed, so neighbours need a second pass
+        for address, name, priority, _ in _SYMBOLS:
+            x = rf"regexp_replace({x}, '\${address}([^0-9A-Fa-f]|$)', '{name}\1', 'gi')" if priority == 2 else x
+    return x
+
+
+@query(f"select rec_id, {_enriched_sql('output')} as enriched from {_LIBRARY} where {_enriched_sql('output')} <> output")
 def symbol_enrich(spark, d):
     """Listings with hardware addresses named; symbols of two sources merged by precedence."""
-    # A few hardware registers and their addresses.
-    rows = [("2100", "INIDISP", 2, 0), ("2115", "VMAIN", 2, 1), ("2116", "VMADDL", 2, 2), ("4200", "NMITIMEN", 2, 3), ("420B", "MDMAEN", 2, 4), ("420C", "HDMAEN", 2, 5), ("4212", "HVBJOY", 2, 6), ("2100", "screen", 1, 0)]
-    symbols = rewrite.merge_symbols(spark.createDataFrame(rows, "address string, name string, priority int, line_no int"))
+    symbols = rewrite.merge_symbols(spark.createDataFrame(_SYMBOLS, "address string, name string, priority int, line_no int"))
     return rewrite.enrich(_library(spark, d, "output"), "rec_id", "output", symbols).select("rec_id", "enriched")
 
 
@@ -464,16 +472,21 @@ _IN = ", ".join(f"'{m}'" for m in asm.MNEMONICS)
 @query(rf"""with r as (select result_id, any_value(response) as t from test_results group by 1), l as (select result_id, {_strip("split_part(unnest(string_split(t, chr(10))), ';', 1)")} as c from r),
 h as (select result_id, upper(regexp_extract({_strip("split_part(c, ':', -1)")}, '^(\S+)', 1)) as w from l where c <> ''),
 k as (select result_id, count(*) as found, count(*) filter (w in ({_IN})) as known from h where w in ({_IN}) or regexp_matches(w, '^[A-Z]{{2,4}}') group by 1)
-select result_id, case when found is null then 0.5 else least(known / found + case when regexp_matches(upper(t), '{"|".join(asm.REGISTERS)}') then 0.1 else 0.0 end, 1.0) end as score from r left join k using (result_id)""")
+select result_id, true as valid, coalesce(found - known, 0) > 0 as unknown, case when found is null then 0.5 else least(known / found + case when regexp_matches(upper(t), '{"|".join(asm.REGISTERS)}') then 0.1 else 0.0 end, 1.0) end as score from r left join k using (result_id)""")
 def asm_verdict(spark, d):
     rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "response", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
-    return rows.select("result_id", validate.listing(F.col("response")).alias("v")).select("result_id", F.col("v.score").alias("score"))
+    return rows.select("result_id", validate.listing(F.col("response")).alias("v")).select("result_id", "v.valid", F.exists("v.warnings", lambda x: x.startswith("unknown")).alias("unknown"), "v.score")
 
 
-@query()
+@query(rf"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents), c as (select *, {_strip("split_part(line, ';', 1)")} as c from l),
+h as (select *, regexp_replace(upper(regexp_extract(c, '^(\S+)', 1)), ':+$', '') as h, {_strip(r"regexp_replace(c, '^\S+', '')")} as op, regexp_extract(c, '^([A-Za-z_][A-Za-z0-9_]*)[ \t]*:', 1) as label from c),
+g as (select doc_id, count(*) filter (c <> '') as kept, count(*) filter (c = '' and contains(line, ';')) as comments, count(*) filter (h in ({_IN})) as instructions, coalesce(string_agg(op, chr(10) order by k) filter (h in ({_IN})), '') as ops, coalesce(lower(string_agg(c, chr(10) order by k) filter (h in ({_IN}))), '') as named, coalesce(bool_or(h in ('RTS', 'RTL', 'RTI')), false) as returns from h group by 1),
+u as (select distinct doc_id, regexp_replace(unnest(regexp_split_to_array(op, '[ \t]+')), '[#$(),\[\]]', '', 'g') as w from h where c <> ''), f as (select distinct doc_id, label as w from h where label <> ''), o as (select doc_id, count(*) as orphans from f anti join u using (doc_id, w) group by 1),
+m as (select g.*, coalesce(orphans, 0) as orphans, {" + ".join(f"regexp_matches(ops, '(?m){p}')::int" for p in asm.MODES.values())} as modes, {_hits("named", asm.REGISTERS)} as registers, case when kept + comments > 0 then comments / (kept + comments) else 0.0 end::double as comment_ratio from g left join o using (doc_id)),
+t as (select *, least(modes * 0.05::double, 0.3) + least(registers * 0.04::double, 0.2) + case when returns then 0.2 else 0.0 end::double + case when comment_ratio between 0.1 and 0.5 then 0.1 else 0.0 end::double + case when instructions > 0 then 0.2 else 0.0 end::double as s from m)
+select doc_id, instructions, modes, registers, returns, orphans, comment_ratio, least(case when orphans > 0 then greatest(s - 0.1::double, 0.0) else s end, 1.0) as score from t""")
 def semantic_score(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
-    return docs.select("doc_id", validate.semantic_score(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return validate.semantic_scores(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query()
@@ -507,22 +520,37 @@ def keyword_coverage(spark, d):
     return _tested(spark, d).select("result_id", validate.expert_test(F.col("response"), F.col("expected_keywords"), F.col("anti_keywords")).alias("v")).select("result_id", "v.*")
 
 
-@query("select model, count(*) as total, count(*) filter (passed) as passed, count(*) filter (passed) / count(*) as pass_rate, count(*) filter (latency_ms > 1000) as slow, max(latency_ms) as worst from (select result_id, min(model) as model, bool_or(passed) as passed, min(latency_ms) as latency_ms from test_results group by 1) group by model")
+_RESULTS = "(select * from (select *, row_number() over (partition by result_id order by loaded_at) as rn from test_results) where rn = 1)"
+
+
+def _results(spark, d, *columns):
+    """Each result once, as it was first delivered."""
+    return dedup.first_per_key(table(spark, d, "test_results", "result_id", "loaded_at", *columns), F.col("result_id"), [F.col("loaded_at")])
+
+
+@query(f"select model, count(*) as total, count(*) filter (passed) as passed, avg(score) as avg_score, avg(case when latency_ms > 0 then latency_ms end) as avg_latency, count(*) filter (latency_ms > 1000) as slow from {_RESULTS} group by model")
 def expert_test_rollup(spark, d):
-    rows = table(spark, d, "test_results", "result_id", "model", "passed", "latency_ms").groupBy("result_id").agg(F.min("model").alias("model"), F.bool_or("passed").alias("passed"), F.min("latency_ms").alias("latency_ms"))
-    total = F.count(F.lit(1))
-    return rows.groupBy("model").agg(total.alias("total"), F.count_if("passed").alias("passed"), (F.count_if("passed") / total).alias("pass_rate"), F.count_if(F.col("latency_ms") > 1000).alias("slow"), F.max("latency_ms").alias("worst"))
+    rows = _results(spark, d, "model", "passed", "score", "latency_ms")
+    report = profile.eval_report(rows, F.col("score"), F.col("passed"), F.lit(False), F.col("latency_ms"), ["model"]).drop("pass_rate")
+    return report.join(rows.groupBy("model").agg(F.count_if(F.col("latency_ms") > 1000).alias("slow")), "model")
 
 
-@query(f"select coalesce(nullif({_norm('category')}, ''), 'uncategorized') as category, count(*) as total from {_TESTED} group by 1")
+@query(f"""with x as (select result_id, {_COVER} as cover, {_ANTI} as anti_found, coalesce(nullif({_norm('category')}, ''), 'uncategorized') as category from {_TESTED}), y as (select category, case when anti_found then cover * 0.5 else cover end as score, not anti_found and cover >= 0.6 as passed from x)
+select category, count(*) as total, count(*) filter (passed) as passed, count(*) filter (passed) / count(*) as pass_rate, avg(score) as avg_score from y group by 1""")
 def eval_by_category(spark, d):
-    return _tested(spark, d).groupBy(F.coalesce(F.nullif(norm_label(F.col("category")), F.lit("")), F.lit("uncategorized")).alias("category")).agg(F.count(F.lit(1)).alias("total"))
+    judged = _tested(spark, d).select(F.coalesce(F.nullif(norm_label(F.col("category")), F.lit("")), F.lit("uncategorized")).alias("category"), validate.expert_test(F.col("response"), F.col("expected_keywords"), F.col("anti_keywords")).alias("v"))
+    return profile.eval_report(judged, F.col("v.score"), F.col("v.passed"), F.lit(False), F.lit(1.0), ["category"]).drop("avg_latency")
 
 
-@query()
+_TOKENS = "len(regexp_extract_all(coalesce(response, ''), '[A-Za-z0-9]+')) * 1000.0::double / nullif(latency_ms, 0)"
+
+
+@query(f"""select model, count(*) as total, count(*) filter (passed) as passed, count(*) filter (passed) / count(*) as pass_rate, avg(case when starts_with(coalesce(error, ''), 'timeout') then 0.0 else score end) as avg_score, avg(case when latency_ms > 0 then latency_ms end) as avg_latency,
+avg(case when {_TOKENS} > 0 then {_TOKENS} end) as avg_tokens_per_second from {_RESULTS} group by model""")
 def eval_report(spark, d):
-    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "model", "score", "passed", "error", "latency_ms", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
-    return profile.eval_report(rows, F.col("score"), F.col("passed"), F.coalesce(F.col("error").startswith("timeout"), F.lit(False)), F.col("latency_ms"), ["model"])
+    rows = _results(spark, d, "model", "score", "passed", "error", "latency_ms", "response")
+    rate = F.regexp_count(or_empty(F.col("response")), F.lit("[A-Za-z0-9]+")) * 1000.0 / F.nullif("latency_ms", F.lit(0.0))
+    return profile.eval_report(rows, F.col("score"), F.col("passed"), F.coalesce(F.col("error").startswith("timeout"), F.lit(False)), F.col("latency_ms"), ["model"], rate)
 
 
 @query("select keyword, count(*) as n from (select result_id, unnest(missing_keywords) as keyword from (select result_id, any_value(missing_keywords) as missing_keywords from test_results group by 1)) group by keyword order by n desc, keyword limit 5")
@@ -542,12 +570,12 @@ def log_errors(spark, d):
 
 @query(f"""with e as (select rec_id, list_distinct(list_transform(coalesce(kg_entities, []), lambda x: lower(x))) as es, coalesce(kg_validated, false) as v from {_LIBRARY}), n as (select distinct lower(unnest(kg_entities)) as k from pattern_library where kg_validated),
 f as (select rec_id, count(*) as found from (select rec_id, unnest(es) as k from e) join n using (k) group by 1), c as (select rec_id, v, len(es) as mentioned, coalesce(found, 0) as found from e left join f using (rec_id))
-select rec_id, mentioned, found, mentioned - found as missing, case when mentioned = 0 then 1.0 else found / mentioned end as coverage from c""")
+select rec_id, mentioned, found, mentioned - found as missing, coverage, mentioned > 0 and coverage < 0.3 as low, case when mentioned > found then greatest(lifted - (mentioned - found) * 0.05::double, 0.3) else lifted end as score
+from (select *, least(least(coverage + 0.3::double, 1.0) + case when v and mentioned > 0 then 0.1::double else 0.0 end, 1.0) as lifted from (select *, case when mentioned = 0 then 1.0 else found / mentioned end::double as coverage from c))""")
 def kg_coverage(spark, d):
     rows = _library(spark, d, "kg_entities", "kg_validated")
     nodes = table(spark, d, "pattern_library", "kg_entities", "kg_validated").filter("kg_validated").select(F.explode("kg_entities").alias("name")).distinct()
-    found = graph.coverage(rows, "rec_id", "kg_entities", nodes.select(F.col("name").alias("id"), "name"), "kg_validated")
-    return found.drop("score")
+    return graph.coverage(rows, "rec_id", "kg_entities", nodes.select(F.col("name").alias("id"), "name"), "kg_validated")
 
 
 @query("""with e as (select n_name as source, r_name as target from nation join region on n_regionkey = r_regionkey) select source, target, case when contains(lower(source), 'ia') then 'outgoing' else 'incoming' end as direction from e where contains(lower(source), 'ia') or contains(lower(target), 'ia')""")
@@ -580,7 +608,7 @@ def manifest_diff(spark, d):
     return graph.manifest_diff(expected, actual, "run_id", "size", "h")
 
 
-@query("""select project, count(*) as files, sum(n_chars) as bytes, max(updated_at) as latest from documents where project is not null group by project having count(*) filter (split_part(path, '/', -1) in ('hud_util.asm', 'room_core.asm')) > 0""")
+@query("""select project, count(*) as files, sum(n_chars) as bytes, max(updated_at) as latest, list_sort(list_distinct(list(split_part(path, '/', -1)) filter (split_part(path, '/', -1) in ('hud_util.asm', 'room_core.asm')))) as found from documents where project is not null group by project having count(*) filter (split_part(path, '/', -1) in ('hud_util.asm', 'room_core.asm')) > 0""")
 def registry_rollup(spark, d):
     docs = table(spark, d, "documents", "project", "path", "n_chars", "updated_at").filter("project is not null").withColumn("name", F.substring_index("path", "/", -1))
     return graph.registry(docs, "project", "name", "n_chars", "updated_at", ["hud_util.asm", "room_core.asm"])
@@ -602,9 +630,11 @@ def suite_rollup(spark, d):
 def _techniques_sql(t: str) -> str:
     tests = []
     for name, signs in routines.TECHNIQUES:
-        glue = " and " if isinstance(signs, tuple) else " or "
-        tests.append((name, "(" + glue.join(f"contains({t}, '{s}')" for s in signs) + ")"))
-    tests.insert(8, ("loop with counter", rf"regexp_matches({t}, '(?s)\bLDX\b.*#\$0[0-9A-F]\b.*\bDEX\b.*\bBPL\b')"))
+        if isinstance(signs, str):
+            tests.append((name, f"regexp_matches({t}, '{signs}')"))
+        else:
+            glue = " and " if isinstance(signs, tuple) else " or "
+            tests.append((name, "(" + glue.join(f"contains({t}, '{s}')" for s in signs) + ")"))
     return "array_to_string(list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in tests) + "], lambda v: v is not null), '; ')"
 
 
@@ -636,26 +666,41 @@ def task_cases(spark, d):
     return routines.task_cases(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "line_no", "marker", "task_type")
 
 
-@query(f"""with s as (select lower(line) as low from (select unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '^    [A-Z]'))
+@query(f"""with s as (select lower(subject) as low from {_COMMITS})
 select case when {_any("low", ["fix", "bug", "crash", "issue", "regress"])} then 'farore' else 'oos_specialist' end as expert, case {" ".join(f"when {_any('low', w)} then '{n}'" for n, w in routines.SYSTEMS.items())} else 'Core' end as system, count(*) as n from s group by all""")
 def commit_profiles(spark, d):
-    docs = table(spark, d, "documents", "text").select(F.explode(lines(F.col("text"))).alias("line")).filter(F.col("line").rlike("^    [A-Z]"))
-    return docs.select(routines.commit_profile(F.col("line")).alias("c")).groupBy("c.expert", "c.system").agg(F.count(F.lit(1)).alias("n"))
+    return commits(spark, d).select(routines.commit_profile(F.col("subject")).alias("c")).groupBy("c.expert", "c.system").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FAMILY = f"case {' '.join(f'when ' + _any('lower(error)', k) + f' then {chr(39)}{n}{chr(39)}' for n, k in classify.ERROR_FAMILIES.items())} else 'other' end"
+
 
+def _texts(keys: str, value: str, source: str) -> str:
+    """A histogram as text by ``keys`` in SQL."""
+    return f"(select {keys}, string_agg(v || ':' || n, ';' order by v) as h from (select {keys}, {value} as v, count(*) as n from {source} where {value} is not null group by all) group by all)"
 
-@query("""with r as (select result_id, min(model) as model, bool_or(passed) as passed, any_value(score) as score, any_value(error) as error from test_results group by 1)
-select model, count(*) as total, count(*) filter (error is null) as attempted, count(*) filter (error is null and passed) as passed, count(*) filter (error is null) - count(*) filter (error is null and passed) as failed, count(*) filter (error is not null) as skipped,
-count(*) filter (error is null and passed) / nullif(count(*) filter (error is null), 0) as pass_rate from r group by model""")
+
+@query(f"""with r as (select *, score >= 0.4 as tried from {_RESULTS}), f as {_texts("model", "case when coalesce(tried, false) and not coalesce(passed, false) then " + _FAMILY + " end", "r")}
+select model, count(*) as total, count(*) filter (tried) as attempted, count(*) filter (tried and passed) as passed, count(*) filter (tried) - count(*) filter (tried and passed) as failed, count(*) - count(*) filter (tried) as skipped, count(*) filter (tried and passed) / nullif(count(*) filter (tried), 0) as pass_rate,
+avg(case when tried then score end) as mean_score, avg(case when tried and passed then score end) as mean_score_valid, any_value(h) as failure_families from r left join f using (model) group by model""")
 def validation_summary(spark, d):
-    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "model", "passed", "score", "error", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
-    found = profile.validation_summary(rows, F.col("error").isNull(), F.col("passed"), F.col("score"), classify.error_family(F.col("error")), ["model"])
-    return found.drop("mean_score", "mean_score_valid", "failure_families")
+    """Results of a score of 0.4 or more count as attempted."""
+    rows = _results(spark, d, "model", "passed", "score", "error")
+    return profile.validation_summary(rows, F.col("score") >= 0.4, F.col("passed"), F.col("score"), classify.error_family(F.col("error")), ["model"])
 
 
-@query()
+_EXPERT_ROLLUP = f"""with r as (select * from {_RESULTS}), f as {_texts("expert", "substr(error, 1, 50)", "r")}, g as (select expert, count(*) as calls, count(*) filter (passed) as completed, count(*) filter (score < 0.5) as low_confidence, avg(score) as mean_confidence from r group by 1)
+select g.*, calls / sum(calls) over () as share, h as reasons from g left join f on f.expert = g.expert"""
+
+
+@query(_EXPERT_ROLLUP)
 def expert_rollup(spark, d):
-    rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "expert", "score", "passed", "error", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
-    return profile.expert_rollup(rows, "expert", F.col("error"), F.col("score"), F.col("passed"))
+    return profile.expert_rollup(_results(spark, d, "expert", "score", "passed", "error"), "expert", F.col("error"), F.col("score"), F.col("passed"))
+
+
+@query(f"select expert, calls, share, mean_confidence, completed / calls as success_rate from ({_EXPERT_ROLLUP})")
+def expert_analysis(spark, d):
+    return profile.expert_analysis(expert_rollup(spark, d), "expert")
 
 
 @query("select r.result_id, coalesce(e.harness_version, 'unknown') as harness_version from (select distinct result_id, run_id from test_results) r left join eval_runs e using (run_id)")

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import events
+from sparkloom import runtime
+from sparkloom.operators import curate, events, generate, mix
 from sparkloom.sources import files
 from sparkloom.streaming import jobs
 
@@ -67,7 +69,7 @@ def test_files_and_parsers(spark, tmp_path):
     assert one(files.pdf_info(F.lit(b"%PDF-1.4 /Title (A b) /Author ()"))).asDict() == {"is_pdf": True, "title": "A b", "author": None}
     assert [(e["file"], e["line"]) for e in one(files.compiler_errors(F.lit("a.asm:12: error: bad\nb: note")))] == [("a.asm", 12)]
     assert one(files.linker_symbols(F.lit("7e:0010 Foo")))[0].asDict() == {"address": 0x7E0010, "name": "Foo"}
-    assert one(files.scan_rows(F.lit("RSSI: -40 Ch: 6 BSSID: AA:BB:CC:DD:EE:FF ESSID: net")))[0]["channel"] == 6
+    assert one(files.scan_log(F.lit("#scanall\nRSSI: -40 Ch: 6 BSSID: AA:BB:CC:DD:EE:FF ESSID: net")))["networks"][0]["channel"] == 6
     assert one(F.try_variant_get(files.marked_json(F.lit('x<<{"a":1}>>y'), "<<", ">>"), "$.a", "int")) == 1
     assert one(F.try_variant_get(files.reply_json(F.lit('```json\n{"a":2}\n```')), "$.a", "int")) == 2
     assert one(files.reply_json(F.lit("no json"))) is None
@@ -84,8 +86,97 @@ def test_streams_equal_batch(spark, tmp_path):
     batch = jobs.windowed(rows, "ts", "user", "value")
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, batch.collect()))
     jobs.current_state(stream, ["user"], "id", str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "state/v0")).collect()) == [195, 196, 197, 198, 199]
+    state = lambda: sorted(r["id"] for r in jobs.read_state(spark, str(tmp_path / "state"), rows.schema).collect())
+    assert state() == [195, 196, 197, 198, 199]
+    rows.filter("id = 0").withColumn("id", F.lit(900).cast("bigint")).write.mode("append").parquet(src)
+    jobs.current_state(stream, ["user"], "id", str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
+    assert state() == [196, 197, 198, 199, 900]  # only the part of the changed key has a new version
+    assert len(list((tmp_path / "state/v=1").glob("part=*"))) == 1
+    with pytest.raises(Exception, match="another checkpoint"):
+        jobs.current_state(stream, ["user"], "id", str(tmp_path / "state"), str(tmp_path / "cp2")).awaitTermination(120)
     raw = spark.createDataFrame([('{"kind":"scan","networks":[]}',), ("not json",), ('{"links":[1]}',)], "value string")
     got = jobs.ingest(raw).select("error", "raw", jobs.is_scan(F.col("kind"), F.col("body")).alias("s")).collect()
     assert [(r["error"], r["raw"], bool(r["s"])) for r in got] == [(None, None, True), ("invalid_json", "not json", False), (None, None, True)]
     assert jobs.sessions(rows, "ts", "user").count() == 5
+
+
+def test_fan_out_and_handlers(spark, tmp_path):
+    src, rows = str(tmp_path / "src"), spark.range(20).select("id", F.when(F.col("id") % 2 == 0, "tool").otherwise("route").alias("kind"))
+    rows.write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).parquet(src)
+    sinks = {name: (lambda batch, number, name=name: batch.write.mode("overwrite").parquet(f"{tmp_path}/{name}/{number}")) for name in ("a", "b")}
+    jobs.fan_out(stream, sinks, str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/a/*").count() == spark.read.parquet(f"{tmp_path}/b/*").count() == 20
+    handlers = jobs.Handlers()
+    handlers.on("tool", "calls", lambda: F.lit("x"))
+    handlers.on("tool", "sum", lambda: F.lit("x"), lambda: F.col("id"))
+    q = handlers.metrics(stream, "kind").writeStream.format("memory").queryName("m").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("m").collect())) == sorted(map(tuple, handlers.metrics(rows, "kind").collect())) == [("calls", "x", 10, 10.0), ("sum", "x", 10, 90.0)]
+
+
+def test_sinks_and_configuration(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Explain it", "LDA $10", None, None), (2, "x", "", None, None), (3, "TODO later", "RTS", None, None)], "id int, instruction string, output string, domain string, source string")
+    annotated = curate.normalize_records(rows)
+    counts = files.write_normalized(annotated, str(tmp_path / "out"))
+    assert counts == {"kept": 1, "drop_missing_output": 1, "drop_todo_instruction": 1}
+    assert spark.read.json(f"{tmp_path}/out/status=kept").count() == 1 and spark.read.json(f"{tmp_path}/out/status=rejected").count() == 2
+    assert spark.read.json(f"{tmp_path}/out_report").count() == 3
+    with pytest.raises(Exception):
+        files.write_jsonl(rows, str(tmp_path / "out"))
+    files.write_jsonl(rows, str(tmp_path / "plain"))
+    files.write_index(rows.select("id"), str(tmp_path / "index"))
+    assert spark.read.json(str(tmp_path / "plain")).count() == spark.read.json(str(tmp_path / "index")).count() == 3
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf/a.toml").write_text('name = "x"\n[limits]\nmost = 3\n')
+    got = files.read_config("a.toml", ["/nowhere", str(tmp_path / "conf")], {"name": "d", "limits": {"most": 1, "least": 0}})
+    assert got == {"name": "x", "limits": {"most": 3, "least": 0}}
+    assert files.read_config("none.json", [str(tmp_path)], {"a": 1}) == {"a": 1} and files.resolve_path("b.toml", [str(tmp_path / "conf")]) is None
+    assert [r["error"] for r in files.missing_roots(spark, [str(tmp_path), str(tmp_path / "gone")]).collect()] == ["missing"]
+    assert files.fixed_width(spark.createDataFrame([("a", 1.5), ("bcd", None)], "k string, v double")).splitlines() == ["k    v", "a    1.50", "bcd"]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.json").write_text('{"messages": [{"role": "user"},\n {"role": "x"}]}')
+    (tmp_path / "logs/b.json").write_text("broken")
+    assert [r["message"]["role"] for r in files.read_messages(spark, str(tmp_path / "logs"), "role: string").orderBy("message_no").collect()] == ["user", "x"]
+    (tmp_path / "tree").mkdir()
+    for name in ("a.md", "b.md", "skipme.md"):
+        (tmp_path / "tree" / name).write_text("x")
+    assert [r["name"] for r in files.index_files(spark, [str(tmp_path / "tree")], "*.md", skip=["skipme"], most=1).collect()] == ["a.md"]
+
+
+def test_generators(spark):
+    made = generate.Generators()
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, t string")
+    made.add("all", lambda rows: rows.select("id", F.col("t").alias("instruction")))
+    made.add("some", lambda rows: rows.select("id", F.upper("t").alias("instruction")), lambda: F.col("t") == "a")
+    samples, report = made.run(df, ["id", "instruction"])
+    assert samples.count() == 4 and {tuple(r) for r in report.select("generator", "taken", "skipped").collect()} == {("all", 3, 0), ("some", 1, 2)}
+
+
+def test_ordered_split_over_any_numbers(spark):
+    for rows in ([(float(k * k),) for k in range(1000)], [(0.5,)], [(k * 10**15 + (k == 999),) for k in range(1000)]):
+        df = spark.createDataFrame(rows, "v double" if isinstance(rows[0][0], float) else "v bigint")
+        for fraction in (0.0, 0.1, 0.9, 1.0):
+            got = mix.ordered_split(df, "v", fraction)
+            want = sorted(r[0] for r in rows)[: int(len(rows) * fraction)]
+            assert sorted(r["v"] for r in got.filter("split = 'train'").collect()) == want
+
+
+def test_mix_of_datasets_has_the_known_sizes(spark):
+    """Six datasets of known sizes at 2 %, one row at least, rounded half to even."""
+    sizes = {"a": 28707, "b": 11044, "c": 19303, "d": 3894, "e": 211, "f": 53}
+    rows = None
+    for name, n in sizes.items():
+        one = spark.range(n).select(F.concat(F.lit(name), F.col("id").cast("string")).alias("id"), F.lit(name).alias("dataset"))
+        rows = one if rows is None else rows.unionByName(one)
+    report = {r["dataset"]: r for r in mix.mix_report(mix.stratified_split(rows, "dataset", "id"), "dataset").collect()}
+    assert report[None]["is_total"] and (report[None]["train"], report[None]["eval"]) == (61_948, 1_264)
+    assert [round(report[k]["ratio_percent"], 2) for k in sizes] == [45.41, 17.47, 30.54, 6.16, 0.33, 0.08]
+
+
+def test_broadcasts_and_filters_of_keys(spark):
+    big = spark.range(200_000).withColumn("t", F.repeat(F.lit("x"), 300))
+    assert runtime.broadcast_if_small(big, 1000) is big and runtime.broadcast_if_small(big.limit(3), 1 << 40) is not None
+    wanted = spark.createDataFrame([(3,), (77,), (None,)], "id bigint")
+    kept = runtime.maybe_among(spark.range(1000), "id", wanted)
+    assert {3, 77} <= {r["id"] for r in kept.collect()} and kept.count() < 10
