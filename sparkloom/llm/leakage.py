@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tiling import mark
+from .tiling import diagonals, joined, mark, meetings
 from .words import HASHES, raw_words, rolling
 
 #: Words of evaluation text sent to the executors at a time, 16 bytes each and the words themselves; more
@@ -36,16 +36,18 @@ class _Index:
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(flat >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def seeds(self, hashes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Seeds (position in the text, position in the passage) by passage."""
+    def seeds(self, hashes: np.ndarray) -> dict[int, np.ndarray]:
+        """Seeds by passage, as rows of :func:`.tiling.diagonals`."""
         near = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if len(near):
-            lo, hi = (np.searchsorted(self.keys, hashes[near], side) for side in ("left", "right"))
-            for i, a, b in zip(near.tolist(), lo.tolist(), hi.tolist()):
-                for k in range(a, b):
-                    found[int(self.owner[k])].append((i, int(self.place[k])))
-        return found
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for at, k in meetings(hashes[near], self.keys) if len(near) else ():
+            owner, i, j = self.owner[k], near[at], self.place[k].astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            owner, i, j = owner[order], i[order], j[order]
+            edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                found[int(owner[a])].append(diagonals(i[a:b], j[a:b]))
+        return {p: joined(parts) for p, parts in found.items()}
 
 
 def leaked_passages(
@@ -91,9 +93,9 @@ def leaked_passages(
                         continue
                     hashes = HASHES.array(ws)
                     for index in shared.value:
-                        for p, seeds in index.seeds(rolling(hashes, index.least)).items():
+                        for p, runs in index.seeds(rolling(hashes, index.least)).items():
                             item, name, passage = index.passages[p]
-                            found = mark(ws, passage, seeds, index.least)
+                            found = mark(ws, passage, runs, index.least)
                             covered = sum(n for _, _, n in found)
                             if found and covered >= min_coverage * len(passage):
                                 out.append((k, item, name, max(n for _, _, n in found), len(found), covered, covered / len(passage)))

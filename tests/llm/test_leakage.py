@@ -32,6 +32,15 @@ def test_tiles_do_not_overlap_and_are_common():
         assert max((n for _, _, n in found), default=0) == longest
 
 
+def test_repetitive_texts_end(monkeypatch):
+    text, pattern = ["a"] * 60_000, ["a"] * 80
+    assert tiles(text, pattern, HASHES.array(text), HASHES.array(pattern), 5) == [(0, 0, 80)]
+    text, pattern = "a b a b a b c a b a b".split() * 30, "a b a b x a b c a b".split()
+    whole = tiles(text, pattern, HASHES.array(text), HASHES.array(pattern), 2)
+    monkeypatch.setattr("sparkloom.llm.tiling.PAIRS", 7)  # seeds in many parts give the same tiles
+    assert tiles(text, pattern, HASHES.array(text), HASHES.array(pattern), 2) == whole
+
+
 def brute(docs, items, least=12):
     grams = lambda t: {tuple(w[i : i + least]) for w in [words(t)] for i in range(len(w) - least + 1)}
     return {(d, i) for d, t in docs for i, a, b in items if grams(t) & (grams(a) | grams(b))}
