@@ -14,6 +14,7 @@ MARKERS = [r";\s*\*?\$[0-9A-Fa-f]+-\$[0-9A-Fa-f]+\s*" + _KINDS, r"\*\$[0-9A-Fa-f
 # The opening that generated instructions share, and what tells code from prose.
 ROUTINE_PREFIX = "write a 65816 routine that"
 CODE_SIGNS = ["$", "LDA", "STA", "JSR", "JSL", "RTS", "RTL", "#$", "db ", "dw "]
+RELAXED_SIGNS = [*CODE_SIGNS, ";", "namespace"]
 _ORG = r"(?i)\borg\s+\$[0-9A-Fa-f]+\b"
 
 

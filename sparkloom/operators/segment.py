@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, seeded_uniform, strip
+from ..functions.text import lines, seeded_order, seeded_uniform, strip
 
 
 def sections(df: DataFrame, key: str, text: str, least: int = 120, most: int = 2000) -> DataFrame:
@@ -100,18 +99,25 @@ def abstract(text: Column, most: int = 1200) -> Column:
 
 
 def paraphrases(df: DataFrame, key: str, text: str, templates: list[tuple[str, str]], n: int = 3, seed: int = 42) -> DataFrame:
-    """(key, style, variant): the text itself and ``n`` - 1 templates of different styles in a seeded order.
+    """(key, style, variant): the text itself and ``n`` - 1 templates in a seeded order, one of each style first and then any.
 
-    ``templates`` are (style, text with ``{}``). Variants that repeat another but for case are left out.
+    ``templates`` are (style, text with ``{}``). Variants that repeat an earlier one but for case are left out
+    before they are counted. All is chosen within the row; null texts give none.
     """
-    from ..functions.text import seeded_order
-
-    base = F.struct(F.lit("").alias("o"), F.lit("original").alias("style"), F.col(text).alias("variant"))
-    made = [F.struct(seeded_order(seed, F.col(key), F.lit(s)).alias("o"), F.lit(s).alias("style"), F.replace(F.lit(t), F.lit("{}"), F.col(text)).alias("variant")) for s, t in templates]
-    chosen = F.slice(F.array_sort(F.array(base, *made)), 1, n)
-    rows = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(chosen).alias("_p", "_c"))
-    first = rows.withColumn("_k", F.row_number().over(W.partitionBy(key, F.lower("_c.variant")).orderBy("_p"))).filter("_k = 1")
-    return first.select(key, F.col("_c.style").alias("style"), F.col("_c.variant").alias("variant"))
+    styles: dict[str, list[str]] = {}
+    for style, template in templates:
+        styles.setdefault(style, []).append(template)
+    order = lambda style, t: seeded_order(seed, F.col(key), F.lit(style), F.lit(t))
+    entry = lambda o, style, variant: F.struct(o.alias("o"), F.lit(style).alias("style"), variant.alias("variant"))
+    tiered = [
+        F.transform(F.array_sort(F.array(*(entry(order(style, t), style, F.replace(F.lit(t), F.lit("{}"), F.col(text))) for t in group))), lambda x, i: F.struct((i > 0).alias("more"), x["o"].alias("o"), x["style"].alias("style"), x["variant"].alias("variant")))
+        for style, group in styles.items()
+    ]
+    base = F.array(F.struct(F.lit(False).alias("more"), F.lit("").alias("o"), F.lit("original").alias("style"), F.col(text).alias("variant")))
+    rows = df.filter(F.col(text).isNotNull()).select(key, F.array_sort(F.concat(base, *tiered)).alias("_v"))
+    rows = rows.withColumn("_w", F.transform("_v", lambda x: F.lower(x["variant"])))
+    first = F.filter("_v", lambda x, i: F.array_position("_w", F.lower(x["variant"])) == i + 1)
+    return rows.select(key, F.explode(F.slice(first, 1, n)).alias("_c")).select(key, F.col("_c.style").alias("style"), F.col("_c.variant").alias("variant"))
 
 
 # The parts of an assistant's message that tell its state, in order.

@@ -181,6 +181,12 @@ class Registry:
         )
 
 
+    def batch(self, name: str) -> Column:
+        """The verdict of one validator on every record; one that it does not take is valid with 1.0 and a warning."""
+        applies, judge = self.entries[name]
+        return F.when(applies(), judge()).otherwise(verdict(F.lit(True), F.lit(1.0), None, F.array(F.lit(f"{name} skipped: domain mismatch"))))
+
+
 def default_registry(code: str = "output", domain: str = "domain") -> Registry:
     r = Registry()
     r.add("listing", lambda: F.coalesce(F.col(domain).isin("asm", "hack_curated") | F.col(domain).startswith("asm"), F.lit(False)), lambda: listing(F.col(code)))
@@ -188,6 +194,20 @@ def default_registry(code: str = "output", domain: str = "domain") -> Registry:
     return r
 
 
+def enhanced_registry(code: str = "output", domain: str = "domain", found: Column | None = None, ok: Column | None = None, semantic: Column | None = None) -> Registry:
+    """The default validators and an outside assembler, 0.6 of whose score is assembling and 0.4 the semantic score.
+
+    ``found`` tells whether there is an assembler and ``ok`` what it said; without it half of its part is given.
+    """
+    r = default_registry(code, domain)
+    here = found if found is not None else F.lit(False)
+    said = F.coalesce(ok, F.lit(False)) if ok is not None else F.lit(False)
+    applies = r.entries["listing"][0]
+    plain = lambda: assembled(here, said)
+    r.add("assembler", applies, (lambda: verdict(plain()["valid"], assembled_score(F.when(here, said), semantic), None, plain()["warnings"])) if semantic is not None else plain)
+    return r
+
+
 # What marks an error in a log.
 LOG_ERRORS = {"traceback": "(?i)Traceback", "cuda_oom": "(?i)CUDA out of memory", "runtime_error": "(?i)RuntimeError", "value_error": "(?i)ValueError", "assert_error": "(?i)AssertionError", "exception": "(?i)Exception", "error_line": "(?im)^error"}
 

@@ -363,6 +363,14 @@ def composite_verdicts(spark, d):
     return _CODES.df(spark).select("id", verdict.alias("v")).select("id", "v.valid", F.round("v.score", 6).alias("score"))
 
 
+@query(f"select id, case when domain like 'asm%' then case id when 1 then 1.0 else 0.5 end else 1.0 end::double as score, coalesce(domain not like 'asm%', true) as skipped, case when domain like 'asm%' then case id when 1 then 0.75 else 0.5 end when domain = 'cpp' then score else 1.0 end::double as enhanced from {_CODES.sql}")
+def batch_verdicts(spark, d):
+    """One validator over all records, and the enhanced registry without an assembler."""
+    one, all_of = validate.default_registry("code", "domain").batch("listing"), validate.enhanced_registry("code", "domain").composite()
+    rows = _CODES.df(spark).select("id", one.alias("v"), all_of.alias("w"))
+    return rows.select("id", F.round("v.score", 6).alias("score"), F.exists("v.warnings", lambda x: F.contains(x, F.lit("domain mismatch"))).alias("skipped"), F.round("w.score", 6).alias("enhanced"))
+
+
 _ASSEMBLED = Rows("id bigint, found boolean, ok boolean, semantic double", (1, True, True, 0.5), (2, True, False, 1.0), (3, False, None, 0.25))
 
 

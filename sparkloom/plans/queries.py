@@ -147,11 +147,14 @@ def output_kind(spark, d):
     return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", asm.output_kind(F.col("text")).alias("kind"))
 
 
-@query("""select rec_id, length(coalesce(output, '')) >= 50 and length(coalesce(instruction, '')) >= 10 and (contains(output, '$') or contains(output, 'LDA') or contains(output, 'STA') or contains(output, 'JSR') or contains(output, 'JSL')
-or contains(output, 'RTS') or contains(output, 'RTL') or contains(output, '#$') or contains(output, 'db ') or contains(output, 'dw ')) as strict, coalesce(length(output), 0) >= 20 and length(coalesce(instruction, '')) >= 10 and (contains(output, '$') or contains(output, 'byte')) as relaxed from """ + _LIBRARY)
+def _gate_sql(least: int, signs: list[str]) -> str:
+    return f"length(coalesce(output, '')) >= {least} and length(coalesce(instruction, '')) >= 10 and (" + " or ".join(f"contains(coalesce(output, ''), '{s}')" for s in signs) + ")"
+
+
+@query(f"select rec_id, {_gate_sql(50, curate.CODE_SIGNS)} as strict, {_gate_sql(20, curate.RELAXED_SIGNS)} as relaxed from {_LIBRARY}")
 def quality_gate(spark, d):
     i, o = F.col("instruction"), F.col("output")
-    return _library(spark, d, "instruction", "output").select("rec_id", curate.quality_gate(i, o).alias("strict"), curate.quality_gate(i, o, 20, signs=["$", "byte"]).alias("relaxed"))
+    return _library(spark, d, "instruction", "output").select("rec_id", curate.quality_gate(i, o).alias("strict"), curate.quality_gate(i, o, 20, signs=curate.RELAXED_SIGNS).alias("relaxed"))
 
 
 @query("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview, case when length(text) > 500 then substr(text, 1, 450) || ' [more]' else text end as reply from documents where text is not null")
@@ -227,16 +230,6 @@ def commit_types(spark, d):
     return commits(spark, d).groupBy(classify.commit_type(F.col("subject")).alias("commit_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""select case {" ".join(f"when lower(regexp_extract(path, '([.][A-Za-z0-9]+)$', 1)) = '{e}' then '{k}'" for e, k in classify.FILE_KINDS.items())} else 'unknown' end as file_kind, count(*) as n from documents where path is not null group by 1""")
-def file_kinds(spark, d):
-    return table(spark, d, "documents", "path").filter("path is not null").groupBy(classify.file_kind(F.col("path")).alias("file_kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""with x as (select lower(error) as low from test_results where error is not null) select case {" ".join(f"when {_any('low', k)} then '{n}'" for n, k in classify.ERROR_FAMILIES.items())} else 'other' end as family, count(*) as n from x group by 1""")
-def error_families(spark, d):
-    return table(spark, d, "test_results", "error").filter("error is not null").groupBy(classify.error_family(F.col("error")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- formats ---------------------------------------------------------------------------------------
 
 
@@ -421,14 +414,14 @@ def token_trim(spark, d):
     return _library(spark, d, "instruction", "output", "thinking").select("rec_id", *(F.array_join(cut[k], " ").alias(k) for k in ("prefix", "completion", "suffix")))
 
 
-_STYLES = [("polite", "Please {}"), ("terse", "Task: {}"), ("team", "For the team: {}"), ("review", "In review: {}")]
+_STYLES = [("polite", "Please {}"), ("polite", "Kindly {}"), ("terse", "Task: {}"), ("team", "For the team: {}"), ("team", "All of you: {}"), ("team", "Folks, {}")]
 
 
-@query(f"""with v as (select item_id, instruction, '' as o, 'original' as style, instruction as variant from eval_prompts union all
-{" union all ".join(f"select item_id, instruction, md5('42|' || item_id::varchar || '|{s}'), '{s}', replace('{t}', '{{}}', instruction) from eval_prompts" for s, t in _STYLES)})
-select item_id, style, variant from (select *, row_number() over (partition by item_id order by o, style) as k from v) where k <= 3""")
+@query(f"""with v as ({" union all ".join(f"select item_id, instruction, md5('42|' || item_id::varchar || '|{s}|{t}') as o, '{s}' as style, replace('{t}', '{{}}', instruction) as variant from eval_prompts" for s, t in _STYLES)}),
+r as (select *, row_number() over (partition by item_id, style order by o) > 1 as more from v), k as (select *, row_number() over (partition by item_id order by more, o) as k from r)
+select item_id, style, variant from k where k <= 4 union all select item_id, 'original', instruction from eval_prompts where instruction is not null""")
 def paraphrase_expand(spark, d):
-    return segment.paraphrases(table(spark, d, "eval_prompts", "item_id", "instruction"), "item_id", "instruction", _STYLES)
+    return segment.paraphrases(table(spark, d, "eval_prompts", "item_id", "instruction"), "item_id", "instruction", _STYLES, 5)
 
 
 @query(rf"""with l as (select doc_id, {_strip("unnest(string_split(text, chr(10)))")} as line from documents where text is not null) select upper(regexp_extract(line, '\$([0-9A-Fa-f]{{4,6}})', 1)) as address, count(*) as n, count(distinct doc_id) as documents from l where regexp_matches(line, '\$[0-9A-Fa-f]{{4,6}}') group by 1""")
@@ -559,12 +552,6 @@ def missing_concepts_top5(spark, d):
     return profile.top_values(rows.select(F.explode("missing_keywords").alias("k")), F.col("k"), "keyword")
 
 
-@query("""select doc_id, list_filter(['traceback', 'cuda_oom', 'runtime_error', 'value_error', 'assert_error', 'exception', 'error_line'], lambda x: regexp_matches(text, case x when 'traceback' then '(?i)Traceback' when 'cuda_oom' then '(?i)CUDA out of memory' when 'runtime_error' then '(?i)RuntimeError' when 'value_error' then '(?i)ValueError'
-when 'assert_error' then '(?i)AssertionError' when 'exception' then '(?i)Exception' else '(?im)^error' end)) as errors from documents where text is not null""")
-def log_errors(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", validate.log_errors(F.col("text")).alias("errors"))
-
-
 # --- graph, catalog, integrity ---------------------------------------------------------------------
 
 
@@ -578,12 +565,6 @@ def kg_coverage(spark, d):
     return graph.coverage(rows, "rec_id", "kg_entities", nodes.select(F.col("name").alias("id"), "name"), "kg_validated")
 
 
-@query("""with e as (select n_name as source, r_name as target from nation join region on n_regionkey = r_regionkey) select source, target, case when contains(lower(source), 'ia') then 'outgoing' else 'incoming' end as direction from e where contains(lower(source), 'ia') or contains(lower(target), 'ia')""")
-def kg_neighbours(spark, d):
-    n, r = table(spark, d, "nation", "n_name", "n_regionkey"), table(spark, d, "region", "r_regionkey", "r_name")
-    return graph.neighbours(n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.lit("in").alias("relation")), "ia").drop("relation")
-
-
 @query("""with m as (select distinct model, 'model ' || model as v from test_results where model is not null), e as (select distinct expert, 'expert ' || expert as v from test_cases where expert is not null)
 select run_id, coalesce(m.v, e.v, harness_version) as harness_version from eval_runs left join m on m.model = eval_runs.model left join e on e.expert = eval_runs.expert""")
 def override_priority_join(spark, d):
@@ -659,13 +640,6 @@ def prompt_addresses(spark, d):
     return table(spark, d, "test_cases", "test_id", "prompt").select("test_id", routines.extract_address(F.col("prompt")).alias("address"))
 
 
-@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null),
-m as (select doc_id, line_no, upper(regexp_extract(line, '(?i);\s*(TODO|FIXME|HACK|XXX|BUG|NOTE)\s*:?\s*(.+)', 1)) as marker, lower(regexp_extract(line, '(?i);\s*(TODO|FIXME|HACK|XXX|BUG|NOTE)\s*:?\s*(.+)', 2)) as low from l where regexp_matches(line, '(?i);\s*(TODO|FIXME|HACK|XXX|BUG|NOTE)\s*:?\s*(.+)'))
-select doc_id, line_no, marker, case {" ".join(f"when {_any('low', w)} then '{t}'" for t, w in routines.TASKS.items())} else 'unknown' end as task_type from m""")
-def task_cases(spark, d):
-    return routines.task_cases(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "line_no", "marker", "task_type")
-
-
 @query(f"""with s as (select lower(subject) as low from {_COMMITS})
 select case when {_any("low", ["fix", "bug", "crash", "issue", "regress"])} then 'farore' else 'oos_specialist' end as expert, case {" ".join(f"when {_any('low', w)} then '{n}'" for n, w in routines.SYSTEMS.items())} else 'Core' end as system, count(*) as n from s group by all""")
 def commit_profiles(spark, d):
