@@ -548,7 +548,7 @@ def backtracked_steps(spark, d):
 select event_id, c.input, s.state from c join s using (event_id) where s.state is not null""")
 def watcher_samples(spark, d):
     rows = base._events(spark, d)
-    made = events.watcher_samples(rows, ["user_id"], ["ts", "event_id"], "event_type", F.coalesce(F.col("value") < 20, F.lit(False)), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
+    made = events.watcher_samples(rows, ["user_id"], ["ts", "event_id"], "event_type", F.coalesce(F.col("value") < 20, F.lit(False)), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")), slice_of=base._day())
     return made.select("event_id", "input", F.get_json_object("output", "$.progress_status").alias("state"))
 
 

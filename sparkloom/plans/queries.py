@@ -285,6 +285,11 @@ def quality_weighted_select(spark, d):
 # --- events ----------------------------------------------------------------------------------------
 
 
+def _day():
+    """What parts a user's events, so that one user with very many is spread over days."""
+    return F.date_trunc("day", F.col("ts").cast("timestamp"))
+
+
 def _events(spark, d):
     return table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
 
@@ -292,7 +297,7 @@ def _events(spark, d):
 @query("select event_id, last_value(case when event_type = 'purchase' then event_type || user_id::varchar end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as last_purchase from events")
 def sticky_forward_fill(spark, d):
     value = F.when(F.col("event_type") == "purchase", F.concat("event_type", F.col("user_id").cast("string")))
-    return events.sticky(_events(spark, d), value, ["user_id"], ["ts", "event_id"], "last_purchase").select("event_id", "last_purchase")
+    return events.sticky(_events(spark, d), value, ["user_id"], ["ts", "event_id"], "last_purchase", _day()).select("event_id", "last_purchase")
 
 
 @query("select e.event_id, coalesce(f.t < e.ts, false) as seen_before from events e left join (select user_id, min(ts) as t from events where event_type = 'click' group by 1) f using (user_id)")
@@ -307,19 +312,19 @@ _LAGS = ", ".join(f"lag(event_type, {k}) over w as t{k}, lag(value < 20, {k}) ov
 y as (select *, list_distinct(list_filter([case when not f0 then t0 end, case when not f1 then t1 end, case when not f2 then t2 end, case when not f3 then t3 end, case when not f4 then t4 end], lambda v: v is not null)) as good from x)
 select event_id, case when t2 is null then null when f0 and f1 and f2 and t0 = t1 and t1 = t2 then 'spinning' when len(good) >= 2 then 'making_progress' end as state from y""")
 def spinning_detector(spark, d):
-    return events.progress(_events(spark, d), ["user_id"], ["ts", "event_id"], "event_type", F.coalesce(F.col("value") < 20, F.lit(False))).select("event_id", "state")
+    return events.progress(_events(spark, d), ["user_id"], ["ts", "event_id"], "event_type", F.coalesce(F.col("value") < 20, F.lit(False)), _day()).select("event_id", "state")
 
 
 @query("select event_id, string_agg(event_type, ' > ') over (partition by user_id order by ts, event_id rows between 9 preceding and current row) as context from events")
 def rolling_context(spark, d):
-    return events.rolling_context(_events(spark, d), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "context")
+    return events.rolling_context(_events(spark, d), "event_type", ["user_id"], ["ts", "event_id"], slice_of=_day()).select("event_id", "context")
 
 
 @query("""with n as (select event_type, value, row_number() over (partition by event_type order by ts, event_id) as n from events),
 w as (select *, coalesce(sum(case when value > 0 and n > 1 then ln(1 - 1.0::double / n) else 0.0 end) over (partition by event_type order by n desc rows between unbounded preceding and 1 preceding), 0.0) as l from n)
 select event_type, count(*) as calls, count(*) filter (value < 20) as failures, avg(case when value > 0 then value end) as mean_positive, coalesce(sum(case when value > 0 then exp(l) * value / n end), 0.0) as running_avg from w group by event_type""")
 def tool_rollup_running_avg(spark, d):
-    return events.tool_rollup(_events(spark, d), "event_type", F.col("value") < 20, F.col("value"), F.struct("ts", "event_id"), F.date_trunc("day", F.col("ts").cast("timestamp")))
+    return events.tool_rollup(_events(spark, d), "event_type", F.col("value") < 20, F.col("value"), F.struct("ts", "event_id"), _day())
 
 
 @query("select event_type, count(*) as n, count(*) / sum(count(*)) over () as share from events group by event_type")
@@ -347,7 +352,7 @@ def latest_state(spark, d):
 
 @query("select user_id, count(*) as gaps, max(g) as longest from (select user_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) as u, (epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts))) / 1e6 as g from events) where u > 15 * 60 * 1000000 group by user_id")
 def idle_gaps(spark, d):
-    return events.idle_gaps(_events(spark, d), ["user_id"], "ts").groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"), F.max("gap_seconds").alias("longest"))
+    return events.idle_gaps(_events(spark, d), ["user_id"], "ts", slice_of=_day()).groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"), F.max("gap_seconds").alias("longest"))
 
 
 @query("select time_bucket(interval '5 minutes', ts) as window_start, event_type, count(*) as n from events group by all")
@@ -358,12 +363,12 @@ def event_window_counts(spark, d):
 
 @query("select event_id from (select event_id, row_number() over (partition by user_id order by ts, event_id) as k from events) where k % 5 = 0")
 def reflect_every_fifth(spark, d):
-    return events.every_nth(_events(spark, d), ["user_id"], ["ts", "event_id"], 5).select("event_id")
+    return events.every_nth(_events(spark, d), ["user_id"], ["ts", "event_id"], 5, _day()).select("event_id")
 
 
 @query("select event_id, sum((value >= 20)::int) over w as next_step, max(case when value >= 20 then ts end) over w as last_success from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)")
 def success_steps(spark, d):
-    return events.steps(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("value") >= 20).select("event_id", "next_step", "last_success")
+    return events.steps(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("value") >= 20, slice_of=_day()).select("event_id", "next_step", "last_success")
 
 
 @query("select event_type, count(*) as n, sum((props::json->>'$.k')::bigint) as k from events group by event_type")
@@ -624,7 +629,14 @@ def technique_tags(spark, d):
     return _library(spark, d, "output").select("rec_id", F.array_join(routines.techniques(F.col("output")), "; ").alias("techniques"))
 
 
-@query()
+_TECHNIQUES = _techniques_sql("upper(coalesce(output, ''))").replace("array_to_string(", "", 1).removesuffix(", '; ')")
+
+
+@query(rf"""with r as (select rec_id, output, {_norm("category")} as category, 'Routine' || rec_id::varchar as name, {_TECHNIQUES} as t from {_LIBRARY} where output is not null), l as (select rec_id, unnest(string_split(output, chr(10))) as line from r), s as (select rec_id, {_strip("line")} as s, {_strip(r"regexp_replace(line, '#_[0-9A-Fa-f]+:\s*', '', 'g')")} as x from l),
+k as (select rec_id, count(*) filter (s <> '') as n, coalesce(bool_and(regexp_matches(lower(x), '{routines.DATA_LINE}')) filter (x <> '' and not starts_with(x, ';') and not ends_with(x, ':') and not starts_with(x, '===')), true) as data from s group by 1),
+q as (select r.*, least(least(len(t) * 0.15::double, 0.6) + case when n between 8 and 50 then 0.3 when n between 5 and 7 then 0.15 when n > 50 then 0.2 else 0.0 end::double + case when category in ('sprite_behavior', 'player_action', 'damage_system', 'spawn_entity') then 0.2 else 0.0 end::double, 1.0) as q from r join k using (rec_id) where not data)
+select rec_id, 'explain' as kind, 'Explain the routine ' || name || '.' as instruction, output from q union all select rec_id, 'generate', 'Write a 65816 routine named ' || name || '.', output from q where ('0x' || substr(md5('42|' || rec_id::varchar || '|generate'), 1, 8))::bigint / 4294967296.0 < q * 0.6
+union all select rec_id, 'technique', 'Which techniques does ' || name || ' show?', array_to_string(t, '; ') from q where len(t) > 0 and ('0x' || substr(md5('42|' || rec_id::varchar || '|technique'), 1, 8))::bigint / 4294967296.0 < q""")
 def routine_samples(spark, d):
     rows = _library(spark, d, "output", "category").withColumn("name", F.concat(F.lit("Routine"), F.col("rec_id").cast("string"))).filter("output is not null")
     return routines.routine_samples(rows, "rec_id", "name", "output", norm_label(F.col("category")))

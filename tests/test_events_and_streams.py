@@ -180,3 +180,26 @@ def test_broadcasts_and_filters_of_keys(spark):
     wanted = spark.createDataFrame([(3,), (77,), (None,)], "id bigint")
     kept = runtime.maybe_among(spark.range(1000), "id", wanted)
     assert {3, 77} <= {r["id"] for r in kept.collect()} and kept.count() < 10
+
+
+def test_slices_of_a_key_give_what_the_whole_key_gives(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice("uvw") if k % 3 else "hot", rng.choice("abc"), rng.random() < 0.5, rng.choice([None, "", "x", "y"]), rng.choice([None] * 9 + [1])) for k in range(400)]
+    df = spark.createDataFrame(rows, "seq int, user string, tool string, failed boolean, value string, back int")
+    keys, order, part, failed = ["user"], ["seq"], F.floor(F.col("seq") / 23), F.col("failed")
+    timed = df.withColumn("ts", F.timestamp_seconds(F.col("seq") * F.col("seq") * 7))
+    for make in (
+        lambda s: events.sticky(df, F.col("value"), keys, order, "out", s),
+        lambda s: events.progress(df, keys, order, "tool", failed, s),
+        lambda s: events.rolling_context(df, "tool", keys, order, 4, slice_of=s),
+        lambda s: events.idle_gaps(timed, keys, "ts", 15, s),
+        lambda s: events.every_nth(df, keys, order, 7, s),
+        lambda s: events.steps(df, keys, order, ~failed, F.col("back"), s),
+        lambda s: events.watcher_samples(df, keys, order, "tool", failed, F.col("tool"), 6, s),
+    ):
+        whole, sliced = make(None), make(part)
+        assert whole.columns == sliced.columns
+        assert sorted(map(str, whole.collect())) == sorted(map(str, sliced.collect())) != []
+    assert events.sticky(df.limit(0), F.col("value"), keys, order, "out", part).count() == 0
