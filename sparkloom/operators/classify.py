@@ -75,18 +75,18 @@ def domains(df: DataFrame, text: Column, rules: dict | None = None) -> DataFrame
     The text in lower case and each rule's score are columns of their own, so that they are made once a row.
     """
     rules = rules or DOMAIN_RULES
-    low = df.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_low", F.lower("_t"))
-    scored = low.select(*df.columns, *(_score(F.col("_t"), F.col("_low"), *rule).alias(f"_s{k}") for k, rule in enumerate(rules.values())))
+    low = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    scored = low.select(*df.columns, *(_score(F.col("_low"), *rule).alias(f"_s{k}") for k, rule in enumerate(rules.values())))
     best = argmax([(name, F.col(f"_s{k}")) for k, name in enumerate(rules)])
     return scored.withColumn("_b", best).select(*df.columns, F.col("_b.label").alias("domain"), F.least(F.col("_b.score") / 10, F.lit(1.0)).alias("confidence"))
 
 
-def _score(text: Column, low: Column, keywords: list[str], patterns: list[str], required: list[str]) -> Column:
+def _score(low: Column, keywords: list[str], patterns: list[str], required: list[str]) -> Column:
     score = F.lit(0.0)
     for k in keywords:
         score = score + F.contains(low, F.lit(k.lower())).cast("double") * 2.0
-    for p in patterns:
-        score = score + F.when(text.rlike("(?i)" + p), 3.0).otherwise(0.0)
+    for p in patterns:  # case is ignored, so both sides are in lower case
+        score = score + F.when(low.rlike(p.lower()), 3.0).otherwise(0.0)
     if not required:
         return score
     any_word = F.lit(False)
@@ -102,7 +102,7 @@ def domain(text: Column, rules: dict | None = None) -> Column:
     confidence 0; confidence is score / 10, at most 1. Null text counts as ''.
     """
     text = F.coalesce(text, F.lit(""))
-    best = argmax([(name, _score(text, F.lower(text), *rule)) for name, rule in (rules or DOMAIN_RULES).items()])
+    best = argmax([(name, _score(F.lower(text), *rule)) for name, rule in (rules or DOMAIN_RULES).items()])
     return F.struct(best["label"].alias("domain"), F.least(best["score"] / 10, F.lit(1.0)).alias("confidence"))
 
 

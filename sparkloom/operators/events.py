@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if_small
+
 # Severity levels in ascending order.
 LEVELS = ["debug", "info", "warning", "error", "metric"]
 
@@ -31,7 +33,7 @@ def _carried(cut: DataFrame, parts: DataFrame, keys: list[str], **values: Column
     same = F.col("_s").eqNullSafe(F.col("_k_s"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return cut.join(side, same).drop("_k_s", *(f"_k_{k}" for k in keys))
+    return cut.join(broadcast_if_small(side), same).drop("_k_s", *(f"_k_{k}" for k in keys))
 
 
 def _earlier(keys: list[str]):

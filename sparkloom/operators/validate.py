@@ -19,17 +19,19 @@ def verdict(valid: Column, score: Column, errors: Column | None = None, warnings
 
 def hint(word: Column) -> Column:
     """`` (did you mean X?)`` with the first instruction one edit away from an unknown one, else ''."""
-    near = F.filter(F.array(*map(F.lit, asm.MNEMONICS)), lambda m: F.levenshtein(word, m) <= 1)
-    return F.coalesce(F.concat(F.lit(" (did you mean "), F.try_element_at(near, F.lit(1)), F.lit("?)")), F.lit(""))
+    near = F.filter(F.array(*map(F.lit, asm.MNEMONICS)), lambda m: F.levenshtein(word, m, 1) >= 0)
+    # Instructions have three letters, so longer and shorter words are not compared with all of them.
+    return F.when(F.length(word).between(2, 4), F.coalesce(F.concat(F.lit(" (did you mean "), F.try_element_at(near, F.lit(1)), F.lit("?)")), F.lit(""))).otherwise("")
 
 
-def listing(code: Column, strict: bool = False) -> Column:
+def listing(code: Column, strict: bool = False, heads: Column | None = None) -> Column:
     """Share of known instructions, 0.1 more (1 at most) if a hardware register is named; 0.5 if there is none.
 
-    An unknown instruction is a warning, or with ``strict`` an error.
+    An unknown instruction is a warning, or with ``strict`` an error. ``heads`` is a column that holds
+    :func:`..functions.asm.instruction_heads` of the listing, where it has been made before.
     """
     code = or_empty(code)
-    heads = asm.instruction_heads(code)
+    heads = asm.instruction_heads(code) if heads is None else heads
     found, known = F.size(heads), F.size(F.filter(heads, asm.is_mnemonic))
     bonus = F.when(F.upper(code).rlike("|".join(asm.REGISTERS)), 0.1).otherwise(0.0)
     score = F.when(found == 0, 0.5).otherwise(F.least(known / found + bonus, F.lit(1.0)))

@@ -473,7 +473,8 @@ k as (select result_id, count(*) as found, count(*) filter (w in ({_IN})) as kno
 select result_id, true as valid, coalesce(found - known, 0) > 0 as unknown, case when found is null then 0.5 else least(known / found + case when regexp_matches(upper(t), '{"|".join(asm.REGISTERS)}') then 0.1 else 0.0 end, 1.0) end as score from r left join k using (result_id)""")
 def asm_verdict(spark, d):
     rows = dedup.first_per_key(table(spark, d, "test_results", "result_id", "response", "loaded_at"), F.col("result_id"), [F.col("loaded_at")])
-    return rows.select("result_id", validate.listing(F.col("response")).alias("v")).select("result_id", "v.valid", F.exists("v.warnings", lambda x: x.startswith("unknown")).alias("unknown"), "v.score")
+    rows = rows.select("result_id", "response", asm.instruction_heads(or_empty(F.col("response"))).alias("heads"))
+    return rows.select("result_id", validate.listing(F.col("response"), heads=F.col("heads")).alias("v")).select("result_id", "v.valid", F.exists("v.warnings", lambda x: x.startswith("unknown")).alias("unknown"), "v.score")
 
 
 @query(rf"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents), c as (select *, {_strip("split_part(line, ';', 1)")} as c from l),

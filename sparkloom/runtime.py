@@ -136,7 +136,7 @@ def exact_rank(df: DataFrame, keys: list[str], order: str, tie: str, out: str, s
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inner = W.partitionBy(*keys, "_slice").orderBy(order, tie)
-    ranked = cut.withColumn("_in", F.row_number().over(inner)).join(offsets, same)
+    ranked = cut.withColumn("_in", F.row_number().over(inner)).join(broadcast_if_small(offsets), same)
     return ranked.withColumn(out, F.col("_in") + F.col("_before")).drop(
         "_slice", "_in", "_before", "_k_slice", *(f"_k_{k}" for k in keys)
     )
