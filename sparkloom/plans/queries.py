@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import asm
-from ..functions.text import any_of, lines, or_empty, seeded_order, slug, strip
+from ..functions.text import lines, or_empty, slug, strip
 from ..operators import classify, curate, dedup, events, formats, graph, mix, profile, rewrite, routines, segment, validate
 from ..runtime import norm_label, table
 
