@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
-from .endings import EndModel, fit_ends
+from ..runtime import cut_lineage, spread
+from .endings import Asking, EndModel, end_runs, with_verdict
 from .languages import Languages
 from .lengths import length_limits
 from .refusals import is_refusal
@@ -69,6 +69,10 @@ def is_echo(answer: str, question: str) -> bool:
     return False
 
 
+def _other(answer: str, languages: Languages | None, asked: tuple[str, ...]) -> str | None:
+    return "other_language" if asked and languages and languages.differs(asked, answer) else None
+
+
 def defects(question: str | None, answer: str | None, ends: EndModel | None = None, languages: Languages | None = None, asked: tuple[str, ...] = ()) -> tuple[str | None, str | None]:
     """What :func:`defect` says of an answer at any length, and of one at a significant length of its source."""
     if is_empty(answer):
@@ -78,9 +82,7 @@ def defects(question: str | None, answer: str | None, ends: EndModel | None = No
     if is_refusal(answer):
         return ("refusal",) * 2
     sure, at_limit = endings(answer, ends)
-    other = None
-    if not sure and asked and languages and languages.differs(asked, answer):
-        other = "other_language"
+    other = None if sure else _other(answer, languages, asked)
     return "truncated" if sure else other, "truncated" if at_limit else other
 
 
@@ -103,24 +105,23 @@ def broken_pairs(
 ) -> DataFrame:
     """(``id_col``, defect) of each distinct id whose answer is defective.
 
-    ``ends`` is fitted on the answers themselves if it is not given. With a ``source`` an answer that is
+    Without ``ends`` the sentences of all answers say where one can end. With a ``source`` an answer that is
     complete but for its closing mark is ``truncated`` if its length is significant for its source, as in
     :func:`.truncation.truncated_texts`. Without a question (null or empty) only the answer counts: neither
     ``echo`` nor ``other_language`` is given then. A null answer is ``empty``. Rows with a null id are left
     out; of rows that share an id the first defect in alphabetical order stands. Texts are read whole;
     only ids, lengths and defects are shuffled. Other columns are ignored.
     """
-    if ends is None:
-        ends = fit_ends(df, id_col, answer_col)
     shared = df.sparkSession.sparkContext.broadcast((ends, languages))
     kind = lambda c: df.select(c).schema[0].dataType.simpleString()
-    schema = f"_id {kind(id_col)}, _source {kind(source) if source else 'string'}, _n int, _plain string, _limit string"
+    schema = f"_id {kind(id_col)}, _source {kind(source) if source else 'string'}, _n int, _plain string, _limit string, _asked array<bigint>, _whole string"
 
     def run(batches):
         ends, languages = shared.value
+        ends = ends or Asking()
         asked: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            found, rows = [], []
+            found, rows, keys, whole = [], [], [], []
             answers = batch.column(3).to_pylist()
             for k, (question, answer) in enumerate(zip(batch.column(2).to_pylist(), answers)):
                 if languages and question and question not in asked:
@@ -128,16 +129,22 @@ def broken_pairs(
                         asked.clear()
                     asked[question] = languages.plausible(question)
                 one = defects(question, answer, ends, languages, asked.get(question, ()))
+                open_end = ends.take() if isinstance(ends, Asking) else None
                 if one[0] or one[1]:
                     found.append(one)
                     rows.append(k)
+                    keys.append(open_end)
+                    whole.append(_other(answer, languages, asked.get(question, ())) if open_end is not None else None)
             at = pa.array(rows, pa.int64())
             lengths = pa.array([len(answers[k] or "") for k in rows], pa.int32())
             plain, limit = (pa.array([x[s] for x in found], pa.string()) for s in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lengths, plain, limit], ["_id", "_source", "_n", "_plain", "_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lengths, plain, limit, pa.array(keys, pa.list_(pa.int64())), pa.array(whole, pa.string())], ["_id", "_source", "_n", "_plain", "_limit", "_asked", "_whole"])
 
     flat = df.select(F.col(id_col).alias("_id"), (F.col(source) if source else F.lit(None).cast("string")).alias("_source"), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"))
     found = spread(flat).mapInArrow(run, schema).filter(F.col("_id").isNotNull())
+    if ends is None:
+        found = with_verdict(cut_lineage(found), "_asked", end_runs(flat.filter(F.col("_id").isNotNull()), "_a"), "_ended")
+        found = found.withColumn("_plain", F.when(F.col("_ended"), F.col("_whole")).otherwise(F.col("_plain")))
     if source:
         lengths = flat.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.min(F.struct("_source", F.length("_a").alias("_n"))).alias("r")).select("r.*")
         limits = length_limits(lengths, "_source", "_n").select("_source", "_n", F.lit(True).alias("_hit"))

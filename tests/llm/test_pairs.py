@@ -219,6 +219,23 @@ def test_ends_of_an_empty_table(spark):
     assert not ends.ends("all is well") and not ends.ends("") and endings(None, ends) == (None, None)
 
 
+@pytest.fixture(scope="module")
+def rare_endings(spark):
+    """24,000 texts, of which four say that a sentence can end with "orchard lantern" and two with "harbor lantern"."""
+    texts = ["The loop clears the lower byte."] * 24_000
+    texts[17::5000] = ["It waits for the orchard lantern."] * 5
+    texts[17] = "Then it is done. It waits for the orchard lantern"
+    texts[18::12_000] = ["It asks for a harbor."] * 2
+    texts[18] = "Then it is done. It asks for a harbor"
+    rows = [(k, "m", "What is it?", t) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "result_id bigint, model string, prompt string, response string").repartition(8)
+
+
+def test_ends_are_learned_from_every_text(rare_endings):
+    got = {r["result_id"]: r["inside"] for r in truncated_texts(rare_endings).filter("truncated").collect()}
+    assert got == {18: "sentence"}
+
+
 def test_bare_headings_at_the_end():
     assert stops_inside("It is done.\n\n### Response") is None and stops_inside("It is not do\n\n### Response") == "sentence"
 
