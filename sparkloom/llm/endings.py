@@ -17,6 +17,8 @@ from .words import mix
 LONGEST_RUN, LEAST_SEEN = 5, 4
 #: Characters whose runs are made at a time, and different runs that a task adds up before it passes them on.
 _CHARACTERS, _HELD = 1 << 20, 1 << 20
+#: Different tokens that a task remembers.
+_TOKENS = 100_000
 
 _TOKEN = re.compile(r"[぀-ヿ一-鿿]|[^\s぀-ヿ一-鿿]+")
 _TOKEN_OR_LINE = re.compile(r"\n|" + _TOKEN.pattern)
@@ -49,6 +51,10 @@ _STARTED = np.uint64(_hash("\x02"))
 _STEP, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 2)
 
 
+#: All digits are one where tokens are told apart, as shapes and last parts do not tell them.
+_DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
+
+
 class _Tokens(dict):
     """Number by token; by number the hashes of its shape and of its last part (0: none), and whether it ends a sentence or a line."""
 
@@ -81,13 +87,13 @@ def _run_keys(shapes: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, n
     return out
 
 
-def _observed(texts: list[str]) -> np.ndarray:
+def _observed(texts: list[str], tokens: _Tokens) -> np.ndarray:
     """A number for every word of sentences that end with a mark and every run of words that ends with it.
 
     Its upper 63 bits are the key of the run, or of the word's last part; its lowest says that the sentence ended there.
     """
-    tokens = _Tokens()
-    found = np.fromiter(map(tokens.__getitem__, _TOKEN_OR_LINE.findall("\n".join([*texts, ""]))), np.int64)
+    flat = "\n".join([*texts, ""]).encode("utf-8", "replace").translate(_DIGITS).decode()
+    found = np.fromiter(map(tokens.__getitem__, _TOKEN_OR_LINE.findall(flat)), np.int64)
     if not len(found):
         return np.empty(0, np.uint64)
     stop, line = np.array(tokens.stops, bool)[found], np.array(tokens.lines, bool)[found]
@@ -184,13 +190,14 @@ def end_runs(df: DataFrame, text_col: str) -> DataFrame:
             codes, n = held.pop()
             return pa.RecordBatch.from_arrays([pa.array((codes & _EVEN).view(np.int64)), pa.array(n * (codes & np.uint64(1)).astype(np.int64)), pa.array(n)], ["key", "ends", "seen"])
 
-        fresh = 0
+        fresh, tokens = 0, _Tokens()
         for batch in batches:
             texts = [x for x in batch.column(0).to_pylist() if x]
             size = np.cumsum([0, *map(len, texts)]) // _CHARACTERS
             edge = np.flatnonzero(np.diff(size, prepend=-1, append=size[-1] + 1)).tolist()
             for begin, end in zip(edge, edge[1:]):
-                codes, n = np.unique(_observed(texts[begin:end]), return_counts=True)
+                tokens = tokens if len(tokens) < _TOKENS else _Tokens()
+                codes, n = np.unique(_observed(texts[begin:end], tokens), return_counts=True)
                 held.append((codes, n))
                 fresh += len(codes)
                 if fresh > _HELD:

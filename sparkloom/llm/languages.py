@@ -10,15 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import seeded
+from ..runtime import spread
 from .structure import is_code
 from .words import HASHES
 
-#: Labelled texts, about, that the profiles are fitted on; a larger table gives a sample by a hash of the id.
-FIT_ROWS = 5_000
 #: Counters of a profile; runs of characters share them by hash. A language takes 64 kB of the broadcast.
 COUNTERS = 1 << 14
-#: Languages kept, the most frequent first, and the words that a language needs in the sample.
+#: Languages kept, the most frequent first, and the words that a language needs in the table.
 MOST_LANGUAGES, LEAST_WORDS = 32, 300
 #: The most that one word counts, as a logarithm of a likelihood ratio.
 WORD_WEIGHT = 4.0
@@ -28,6 +26,8 @@ UNSEEN = 2e-5
 SURE, SURE_WORD = 6.0, 1.0
 #: Words remembered, and those of a text added up at a time.
 _CACHED = 100_000
+#: Different words that a task adds up before it counts their runs.
+_HELD = 200_000
 
 # Letters of the scripts, as ranges, and the names they are given.
 _SCRIPTS = [(re.compile(p), k) for p, k in (("[぀-ヿㇰ-ㇿｦ-ﾟ]", "ja"), ("[가-힯ᄀ-ᇿ]", "ko"), ("[Ѐ-ӿ]", "cyrl"), ("[؀-ۿ]", "arab"), ("[֐-׿]", "hebr"), ("[ऀ-ॿ]", "deva"), ("[Ͱ-Ͽ]", "grek"), ("[฀-๿]", "thai"), ("[一-鿿]", "zh"))]
@@ -142,18 +142,8 @@ class Languages:
         return apart >= SURE and apart >= SURE_WORD * len(words)
 
 
-def sample_of(df: DataFrame, id_col: str, rows: int, seed: int = 3) -> DataFrame:
-    """About ``rows`` rows of a table, the same on every layout, by a hash of the id; all of a smaller table.
-
-    They are dealt out evenly, as a small file may be one task.
-    """
-    n = df.count()
-    some = df if n <= rows else df.filter(F.pmod(seeded(seed, F.col(id_col)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-    return some.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = FIT_ROWS) -> Languages:
-    """Fits profiles on about ``rows`` labelled texts.
+def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Languages:
+    """Fits profiles on all labelled texts that have an id.
 
     A label counts if it begins with a code of two letters; others, and null, are left out, as are listings,
     code blocks and quotations. Wrong labels only blur the profiles; a label of texts mostly in another
@@ -163,6 +153,14 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def count(batches):
         sums: dict[str, tuple[np.ndarray, Counter]] = {}
+
+        def counted():
+            for table, words in sums.values():
+                for w, n in words.items():
+                    np.add.at(table, _runs(w), n)
+                table[COUNTERS] += words.total()
+                words.clear()
+
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 known = _LABEL.match(label.lower()) if label and text else None
@@ -174,15 +172,16 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 table[COUNTERS + 1 + other] += 1
                 if not other:
                     words.update(prose_words(text))
-        for name, (table, words) in sums.items():
-            for w, n in words.items():
-                np.add.at(table, _runs(w), n)
-            table[COUNTERS] = words.total()
+            if sum(len(words) for _, words in sums.values()) > _HELD:
+                counted()
+        counted()
+        for name, (table, _) in sums.items():
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(table[at])], ["name", "slot", "n"])
 
-    labelled = sample_of(df.select(id_col, label_col, text_col), id_col, rows).select(label_col, text_col)
-    summed = labelled.mapInArrow(count, "name string, slot int, n bigint").groupBy("name").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+    labelled = spread(df.filter(F.col(id_col).isNotNull()).select(label_col, text_col))
+    summed = labelled.mapInArrow(count, "name string, slot int, n bigint").groupBy("name", "slot").agg(F.sum("n").alias("n"))
+    summed = summed.groupBy("name").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
     tables = {}
     for row in summed.toArrow().to_pylist():  # at most 26 x 26 codes of two letters
         table = np.zeros(COUNTERS + 3, np.int64)

@@ -3,7 +3,7 @@ import math
 import pytest
 
 from sparkloom.llm.endings import fit_ends, last_part, shape
-from sparkloom.llm.languages import fit_languages
+from sparkloom.llm.languages import LEAST_WORDS, fit_languages, prose_words
 from sparkloom.llm.lengths import length_limits, upper_tail
 from sparkloom.llm.pairs import broken_pairs, defect, is_empty
 from sparkloom.llm.refusals import is_refusal
@@ -236,6 +236,20 @@ def test_ends_are_learned_from_every_text(rare_endings):
     assert got == {18: "sentence"}
 
 
+def test_ends_of_pairs_are_learned_from_every_answer(rare_endings):
+    got = [tuple(r) for r in broken_pairs(rare_endings, "result_id", "prompt", "response", source="model").collect()]
+    assert got == [(18, "truncated")]
+
+
+def test_languages_are_learned_from_every_text(spark):
+    rows = [(k, SENTENCES["en"][k % 5], "en") for k in range(12_000)]
+    text = " ".join(SENTENCES["es"])
+    needed = -(-LEAST_WORDS // len(prose_words(text)))  # no text can be spared
+    rows[:: 12_000 // needed + 1] = [(k, text, "es") for k in range(0, 12_000, 12_000 // needed + 1)]
+    known = fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert known.names == ["en", "es"] and known.tell("El contador se guarda en la tabla y luego se borra.") == "es"
+
+
 def test_bare_headings_at_the_end():
     assert stops_inside("It is done.\n\n### Response") is None and stops_inside("It is not do\n\n### Response") == "sentence"
 
